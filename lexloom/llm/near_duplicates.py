@@ -42,7 +42,7 @@ SLICES = 64
 CELL_ENTRIES = 6_000_000
 #: Cost of verifying a pair in list entries, and how much rarer each further common shingle makes a chance pair.
 VERIFY_COST = 3000.0
-CHANCE = 0.75
+CHANCE = 0.65
 LENGTHEN = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Candidate pairs up to this many are sent to the texts by broadcast (about 50 bytes each); more by shuffle.
 BROADCAST_PAIRS = 200_000
@@ -158,13 +158,13 @@ def _prefix_batches(width: int, threshold: float, sketch, buckets: dict[tuple[st
                 s = shingle(norm.as_py())
                 n = len(s)
                 f = freq[s & mask]
-                order = np.lexsort((s, f))
+                order = np.argsort(f, kind="stable")  # s is sorted
                 s, f = s[order], f[order]
                 base = n - math.ceil(threshold * n - 1e-9)
                 band = _band(n, threshold)
                 p = min(n, base + _lengthen(f, base, texts, buckets.get((kind, band), 1)))
                 end = (int(f[p - 1]) << 40) | int(s[p - 1] >> np.uint64(24))
-                token = (s[:p] >> np.uint64(32)).astype(np.uint32)
+                token = np.sort((s[:p] >> np.uint64(32)).astype(np.uint32))
                 for role, at in ((0, band), (1, band - 1)):
                     k = buckets.get((kind, at), 0)
                     if not k:
@@ -173,7 +173,7 @@ def _prefix_batches(width: int, threshold: float, sketch, buckets: dict[tuple[st
                     for x in range(k):
                         t = token[bucket == x] if k > 1 else token
                         if len(t):
-                            for col, v in zip(out, (kind, at, x, role, i, n, (n - p, end), np.sort(t).tobytes()), strict=True):
+                            for col, v in zip(out, (kind, at, x, role, i, n, (n - p, end), t.tobytes()), strict=True):
                                 col.append(v)
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             rem = [r for r, _ in out[6]]
@@ -252,10 +252,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, kind_col: str | N
     """(members, links): members (kind, id, class_id) for every text with a word, class_id being the smallest id with the same words;
     links (kind, a, b, similarity) between classes, a < b. Only texts of one kind are compared."""
     kind = F.col(kind_col).cast("string") if kind_col else F.lit("")
-    keyed = (
+    keyed = materialize(
         df.select(kind.alias("kind"), F.col(id_col).cast("long").alias("id"), normal_words(F.col(text_col)).alias("norm"))
         .filter("id is not null and kind is not null and norm <> ''")
-        .withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
+        .withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")}),
+        "normalised",
     )
     classes = keyed.groupBy("kind", "h1", "h2").agg(F.min(F.struct("id", "norm")).alias("m"))
     reps = materialize(classes.select("kind", F.col("m.id").alias("id"), F.col("m.norm").alias("norm"), "h1", "h2"), "representatives")
