@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 from lexloom.plans.runtime import materialize
 
-#: Rows that fit the lists (times 4 bytes times dimensions on the driver), and rows a list should hold before replication.
-SAMPLE_ROWS = 20_000
-LIST_ROWS = 500
+#: Rows that fit the lists: a twentieth of all, within these bounds (100 MB at 384 dimensions); at least 8 for a list.
+LEAST_SAMPLE, SAMPLE_ROWS = 8_192, 65_536
+#: Rows a list should hold before replication.
+LIST_ROWS = 1000
 #: Rows of one list that meet in one task; larger lists are cut into blocks of this size.
 BLOCK_ROWS = 20_000
 #: A list is searched if its centroid is at most this much farther than the nearest one; at most this many.
-RATIO = 1.25
-MOST_LISTS = 4
+RATIO = 1.1
+MOST_LISTS = 3
 #: A further list is skipped if its centroid is this much nearer to a chosen centroid than to the vector.
 COVER = 0.3
 DEGREE, BEAM, EXPAND = 12, 10, 8
@@ -256,6 +257,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, least: floa
     counts = materialize(counts, "classes")
     heavy = {r["key"]: r["class_id"] for r in counts.filter(F.col("n") > max(2, rows // HEAVY)).collect()}
 
+    sample_rows = min(sample_rows, max(LEAST_SAMPLE, rows // 20))
     lists = max(1, min(rows // list_rows, sample_rows // 8))
     fraction = min(1.0, 1.1 * sample_rows / rows)
     limit = int(fraction * (1 << 30))
