@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_splitting
+from lexloom.llm import queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_splitting, queries_variants
 
-_MODULES = [queries_splitting, queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_moderation]
+_MODULES = [queries_splitting, queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_moderation, queries_variants]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
