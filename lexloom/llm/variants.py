@@ -341,5 +341,6 @@ def link_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
 def _completeness():
     """2: given name or line of business and two tokens, 1: one of these is missing, 0: both."""
     two = (F.size(F.split("rest", " ")) > 1) | (F.length("rest") >= 10)
-    head = F.col("head") != ""
+    # a short form of several given names is no complete head
+    head = (F.col("head") != "") & ~F.col("head").contains(" ")
     return head.cast("int") + two.cast("int")
