@@ -37,6 +37,18 @@ def safe_cell(c: Column) -> Column:
     return F.when(s.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), s)).otherwise(s)
 
 
+def two_decimals(c: Column) -> Column:
+    """A number from 0 to 1 with two decimals, rounded from its exact binary value (0.585 is a little less and gives 0.58)."""
+    exact = (c * float(1 << 60)).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    unit = F.lit(1 << 60).cast("decimal(20,0)")
+    whole = F.floor(exact / unit)
+    rest = exact - whole * unit
+    half = F.lit(1 << 59).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    h = (whole + up.cast("int")).cast("int")
+    return F.format_string("%d.%02d", F.floor(h / 100).cast("int"), h % 100)
+
+
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null without a match."""
     return F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, group))

@@ -11,8 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexloom.functions.text import squeeze, strip
+from lexloom.functions.text import squeeze, strip, two_decimals
 
 #: Labels of the clause taxonomy with indicative words, in label order.
 CLAUSE_WORDS = {
@@ -158,7 +159,7 @@ def citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, f"doc {dict(df.dtypes)[id_col]}, raw_text string, citation_type string, char_start long, char_end long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts (order matters, popular characters of long texts are skipped)."""
     return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
@@ -248,9 +249,9 @@ def route_fields(fields: DataFrame, accept: float = 0.85, reject: float = 0.5, o
     c = F.col("confidence")
     decision = F.when(c >= a, "auto_accept").when(c >= r, "human_review").otherwise("auto_reject")
     reason = (
-        F.when(c >= a, F.format_string("confidence %.2f ≥ accept threshold %.2f", c, a))
-        .when(c >= r, F.format_string("confidence %.2f in review band [%.2f, %.2f)", c, r, a))
-        .otherwise(F.format_string("confidence %.2f < reject threshold %.2f", c, r))
+        F.when(c >= a, F.format_string("confidence %s ≥ accept threshold %s", two_decimals(c), two_decimals(a)))
+        .when(c >= r, F.format_string("confidence %s in review band [%s, %s)", two_decimals(c), two_decimals(r), two_decimals(a)))
+        .otherwise(F.format_string("confidence %s < reject threshold %s", two_decimals(c), two_decimals(r)))
     )
     return f.withColumns({"decision": decision, "reason": reason}).drop("_a", "_r")
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 def insert_status(new: DataFrame, stored: DataFrame) -> DataFrame:
     """(filename, id, status) for new documents (filename, file_hash, extracted_text): inserted, exists (same hash, or same text where a hash
     is missing) or conflict (another document has the name). Of several stored or new rows with one name the first id counts."""
-    s = stored.groupBy("filename").agg(F.min_by(F.struct("id", F.col("file_hash").alias("old_hash"), F.col("extracted_text").alias("old_text")), "id").alias("o")).select("filename", "o.*")
-    j = new.join(s, "filename", "left")
+    s = stored.groupBy("filename").agg(F.min_by(F.struct(F.col("id").alias("stored_id"), F.col("file_hash").alias("old_hash"), F.col("extracted_text").alias("old_text")), "id").alias("o")).select("filename", "o.*")
+    j = new.select("filename", "file_hash", "extracted_text").join(s, "filename", "left")
     same = F.when(F.col("file_hash").isNotNull() & F.col("old_hash").isNotNull(), F.col("file_hash") == F.col("old_hash")).otherwise(F.col("extracted_text").eqNullSafe(F.col("old_text")))
-    return j.select("filename", "id", F.when(F.col("id").isNull(), "inserted").when(same, "exists").otherwise("conflict").alias("status"))
+    return j.select("filename", F.col("stored_id").alias("id"), F.when(F.col("stored_id").isNull(), "inserted").when(same, "exists").otherwise("conflict").alias("status"))
 
 
 def metadata_is(c: Column, filters: dict[str, object]) -> Column:

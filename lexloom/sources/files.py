@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def suffix(path: Column) -> Column:
@@ -108,7 +109,7 @@ def strip_html(html: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "".join(p.out)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     """Text of HTML pages: no scripts, styles and heads, a line for every block."""
     return html.map(strip_html, na_action="ignore")
