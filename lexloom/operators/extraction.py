@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -97,31 +98,48 @@ def dedupe_parties(df: DataFrame, doc: str = "doc", name: str = "name", confiden
     return keep_best(named, [F.col(doc), F.lower(name)], confidence, order)
 
 
+def _letters(text: str) -> np.ndarray:
+    """Counts of a text's characters in 64 classes."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64).astype(np.int32)
+
+
 def _dedupe_group(t: pa.Table, ratio: float) -> pa.Table:
     rows = sorted(t.to_pylist(), key=lambda r: r["ord"])
     kept: list[dict] = []
+    letters = np.zeros((len(rows), 64), np.int32)
+    sizes = np.zeros(len(rows), np.int64)
+    sure = lambda x: -1.0 if x["confidence"] is None else x["confidence"]
+
+    def keep(i: int, r: dict, place: int, own: np.ndarray, size: int) -> None:
+        row = r | {"place": place}
+        kept[i : i + 1] = [row]
+        letters[i], sizes[i] = own, size
+
     for r in rows:
         a = r["text"].strip()
-        for i, k in enumerate(kept):
-            b = k["text"].strip()
+        own, size, n = _letters(a), len(a), len(kept)
+        # common letters bound what the texts can have in common: only these may contain each other or reach the ratio
+        common = np.minimum(letters[:n], own).sum(1)
+        maybe = np.flatnonzero((common >= np.minimum(sizes[:n], size)) | (2 * common >= ratio * (sizes[:n] + size)))
+        for i in map(int, maybe):
+            b = kept[i]["text"].strip()
             if a in b:
                 break
             if b in a:
-                kept[i] = r | {"place": k["place"]}
+                keep(i, r, kept[i]["place"], own, size)
                 break
-            # the ratio is at most twice the shorter length over the sum
-            if 2 * min(len(a), len(b)) >= ratio * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= ratio:
-                if (len(a), r["confidence"]) > (len(b), k["confidence"]) if len(a) == len(b) else len(a) > len(b):
-                    kept[i] = r | {"place": k["place"]}
+            if 2 * common[i] >= ratio * (size + sizes[i]) and SequenceMatcher(None, a, b).ratio() >= ratio:
+                if (size, sure(r)) > (int(sizes[i]), sure(kept[i])):
+                    keep(i, r, kept[i]["place"], own, size)
                 break
         else:
-            kept.append(r | {"place": r["ord"]})
+            keep(n, r, r["ord"], own, size)
     return pa.Table.from_pylist(kept, schema=t.schema.append(pa.field("place", pa.int64())))
 
 
 def dedupe_clauses(df: DataFrame, ratio: float = 0.90) -> DataFrame:
     """Clauses (doc, ord, clause_type, text, confidence) without near-repeats of their type: contained ones go, a containing one takes
-    the place of the contained, of two similar ones the longer (then more confident) stays. Greedy in order, so each
+    the place of the contained, of two similar ones the longer (then more confident, null least) stays. Greedy in order, so each
     (document, type) is one group; groups are as large as one document's clauses of a type."""
     src = df.select("doc", F.col("ord").cast("long"), "clause_type", "text", F.col("confidence").cast("double")).filter("text is not null")
     schema = ", ".join(f"{n} {t}" for n, t in src.dtypes) + ", place long"
