@@ -212,7 +212,7 @@ def deadline_date(text: Column, effective: Column) -> Column:
 
 def ical_text(c: Column) -> Column:
     """A value escaped for a TEXT property of RFC 5545."""
-    s = F.regexp_replace(c, r"([\;,])", r"\\$1")
+    s = F.regexp_replace(c, r"([\\;,])", r"\\$1")
     return F.regexp_replace(s, r"\r\n|\n|\r", r"\\n")
 
 
