@@ -71,6 +71,8 @@ BUSINESS = {
 LEGAL = frozenset("limited ltd limted ltda llc llp lp plc inc incorp incorporated corp corpn corporation corporaton co company cie compagnie gmbh mbh ag kg ohg sa sas sarl sl srl spa bv nv sdad sociedad pty".split())
 TITLES = frozenset("mr mrs ms miss mx dr prof sir dame herr herrn frau mme mlle monsieur madame don dona senor senora sr sra me hon rev".split())
 _LINE = {v: k for k, vs in BUSINESS.items() for v in (k, *vs.split())}
+#: Spellings of one block that are compared in one task.
+BLOCK_FORMS = 4000
 _DOTTED = re.compile(r"\b(?:[a-z]\. ?){1,}[a-z]\b\.?")
 _SPLIT = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Ý])")
 
@@ -254,9 +256,12 @@ def _rest(u: list[str], v: list[str], lu: list[str], lv: list[str]) -> str:
 
 def _match_block(t: pa.Table) -> pa.Table:
     """Edges of one block: a spanning forest of 'same', and every 'open' pair once for each tree."""
+    left, right = t["part_a"][0].as_py(), t["part_b"][0].as_py()
+    parts = t["part"].to_pylist()
     order = sorted(range(t.num_rows), key=lambda i: t["form_id"][i].as_py())
     ids = [t["form_id"][i].as_py() for i in order]
     forms = [tuple(t[c][i].as_py() for c in ("kind", "head", "initial", "rest", "letters")) for i in order]
+    part = [parts[i] for i in order]
     parent = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -268,7 +273,8 @@ def _match_block(t: pa.Table) -> pa.Table:
     edges, loose = [], []
     for j in range(len(ids)):
         for i in range(j):
-            if root(i) == root(j):
+            # two parts of a large block only meet each other here
+            if (left != right and part[i] == part[j]) or root(i) == root(j):
                 continue
             v = agree(forms[i], forms[j])
             if v == "same":
@@ -309,7 +315,17 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(keys, pa.string())], names=[*b.schema.names, "block"])
 
 
-def link_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
+def _parts(keyed: DataFrame, block_forms: int) -> DataFrame:
+    """Blocks of more than ``block_forms`` spellings are cut into parts that meet pairwise, so no task gets more than two parts."""
+    keyed = materialize(keyed, "keys")
+    large = keyed.groupBy("block").count().filter(F.col("count") > block_forms).select("block", F.ceil(F.col("count") / block_forms).cast("int").alias("parts"))
+    k = keyed.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    k = k.withColumn("part", F.pmod(F.xxhash64("form_id"), F.col("parts")).cast("int"))
+    k = k.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return k.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).drop("parts", "other")
+
+
+def link_variants(names: DataFrame, name_col: str = "name", block_forms: int = BLOCK_FORMS) -> DataFrame:
     """(name, entity): one row for every distinct parsable spelling; equal entities are the same person or organisation."""
     spellings = names.select(F.col(name_col).cast("string").alias("name")).filter("name is not null").distinct()
     parsed = materialize(spellings.mapInArrow(_parse_batches, "name string, kind string, head string, initial string, rest string, letters string"), "parsed")
@@ -317,7 +333,7 @@ def link_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
     form_id = F.xxhash64(*parts)
     forms = parsed.select(*parts).distinct().withColumn("form_id", form_id)
     keyed = forms.mapInArrow(_key_batches, "kind string, head string, initial string, rest string, letters string, form_id long, block string")
-    edges = materialize(keyed.groupBy("block").applyInArrow(_match_block, "a long, b long, same boolean").distinct(), "edges")
+    edges = materialize(_parts(keyed, block_forms).groupBy("block", "part_a", "part_b").applyInArrow(_match_block, "a long, b long, same boolean").distinct(), "edges")
     strong = components(edges.filter("same").select("a", "b"))
     nodes = parsed.select(form_id.alias("node")).distinct()
     labelled = materialize(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "strong")

@@ -36,10 +36,11 @@ def test_pieces():
     assert phonetic("Betrestu".lower()) == phonetic("betrestu") and parse(None) is None and parse(" ") is None and parse("Omar") is None
 
 
-def test_links(spark):
+@pytest.mark.parametrize("block_forms", [4000, 2])
+def test_links(spark, block_forms):
     names = [n for pair in SAME + OTHER for n in pair] + ["R. Bigala Dobo", "T. Zofu Bano", "Tomas Zofu Bano", "Thaddeus Zofu Bano", None, "", "X"]
     df = spark.createDataFrame([(i, n, "e") for i, n in enumerate(names * 2)], "id long, name string, entity string")
-    got = {r.name: r.entity for r in link_variants(df).collect()}
+    got = {r.name: r.entity for r in link_variants(df, block_forms=block_forms).collect()}
     for a, b in SAME:
         assert got[a] == got[b], (a, b)
     for a, b in OTHER:
