@@ -76,7 +76,8 @@ class Shingler:
         s ^= s >> np.uint64(32)
         s *= _M1
         s ^= s >> np.uint64(29)
-        return np.unique(s)
+        s.sort()
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def _band(n: int, threshold: float) -> int:
@@ -191,33 +192,35 @@ def match_cell(ids, n, rem, stop, role, tokens, threshold: float, buckets: int)
     order = np.lexsort((ids, n))
     ids, n, rem, stop, role = ids[order], n[order], rem[order], stop[order], role[order]
     lists = [np.frombuffer(tokens[i], np.uint32) for i in order]
-    sizes = np.array([len(x) for x in lists])
-    rank = np.repeat(np.arange(len(ids), dtype=np.uint64), sizes)
-    key = (np.concatenate(lists).astype(np.uint64) << np.uint64(32)) | rank
-    index = np.sort(key[role[rank.astype(np.int64)] == 0])
+    rank = np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in lists])
+    # one sort by (shingle, rank): the list entries before a text's own are then counted by a running sum
+    key = np.sort((np.concatenate(lists).astype(np.uint64) << np.uint64(32)) | rank)
+    rank = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    listed = role[rank] == 0
+    index = rank[listed].astype(np.int32)
     low_rank = np.searchsorted(n, np.ceil(threshold * n - 1e-9)).astype(np.uint64)
-    high_mask = np.uint64(0xFFFFFFFF00000000)
-    low = np.searchsorted(index, (key & high_mask) | low_rank[rank.astype(np.int64)])
-    count = np.searchsorted(index, key) - low
+    low = np.searchsorted(key[listed], (key & np.uint64(0xFFFFFFFF00000000)) | low_rank[rank])
+    count = np.cumsum(listed) - listed - low
+    some = np.flatnonzero(count > 0)
+    some = some[np.argsort(rank[some], kind="stable")]
+    rank, low, count = rank[some], low[some], count[some]
     upto = np.concatenate([[0], np.cumsum(count)])
-    ends_of_text = np.cumsum(sizes)
+    ends = np.append(np.flatnonzero(rank[1:] != rank[:-1]) + 1, len(rank)) if len(rank) else np.zeros(0, np.int64)
     found_a, found_b = [], []
-    start = 0
-    while start < len(key):
-        # whole texts, as many as stay within EVENTS list entries
-        texts = int(np.searchsorted(upto[ends_of_text], upto[start] + EVENTS, "right"))
-        at = max(int(ends_of_text[texts - 1]) if texts else 0, int(ends_of_text[np.searchsorted(ends_of_text, start, "right")]))
+    start = text = 0
+    while start < len(rank):
+        # whole texts, as many as stay within EVENTS list entries, one at least
+        text = max(text + 1, int(np.searchsorted(upto[ends], upto[start] + EVENTS, "right")))
+        at = int(ends[text - 1])
         c, total = count[start:at], int(upto[at] - upto[start])
-        if total:
-            pos = np.repeat(low[start:at] - (upto[start:at] - upto[start]), c) + np.arange(total)
-            code = (np.repeat(rank[start:at], c) << np.uint64(32)) | (index[pos] & np.uint64(0xFFFFFFFF))
-            pairs, common = np.unique(code, return_counts=True)
-            j, i = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            first = np.where(stop[i] < stop[j], rem[i], np.where(stop[j] < stop[i], rem[j], np.maximum(rem[i], rem[j])))
-            least = np.maximum(1, _need(threshold, n[i], n[j]) - first)
-            ok = common >= -(-least // buckets)
-            found_a.append(ids[i[ok]])
-            found_b.append(ids[j[ok]])
+        pos = np.repeat(low[start:at] - (upto[start:at] - upto[start]), c) + np.arange(total)
+        pairs, common = np.unique((np.repeat(rank[start:at], c) << 32) | index[pos], return_counts=True)
+        j, i = pairs >> 32, pairs & 0xFFFFFFFF
+        first = np.where(stop[i] < stop[j], rem[i], np.where(stop[j] < stop[i], rem[j], np.maximum(rem[i], rem[j])))
+        least = np.maximum(1, _need(threshold, n[i], n[j]) - first)
+        ok = (common >= -(-least // buckets)) & (i != j)
+        found_a.append(ids[i[ok]])
+        found_b.append(ids[j[ok]])
         start = at
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
