@@ -74,3 +74,16 @@ def require(df: DataFrame, column: str, least: float) -> None:
     value = df.select(column).first()[0]
     if value is None or value < least:
         raise AssertionError(f"{column} is {value}, below {least}")
+
+
+def provenance_coverage(fields: DataFrame, doc: str, found: Column) -> DataFrame:
+    """(doc, coverage): share of a document's fields whose origin is known."""
+    return fields.groupBy(doc).agg((F.count_if(found) / F.count("*")).alias("coverage"))
+
+
+def by_tag(cases: DataFrame, tag: str) -> DataFrame:
+    return cases.filter(F.array_contains("tags", tag))
+
+
+def by_doc_type(cases: DataFrame, doc_type: str) -> DataFrame:
+    return cases.filter(F.col("doc_type") == doc_type)

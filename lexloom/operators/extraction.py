@@ -290,3 +290,33 @@ def upcoming(obligations: DataFrame, date_col: str, reference, days: int) -> Dat
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+# ---- contracts ------------------------------------------------------------------------------------------------------
+
+
+def compare_contracts(parties: tuple[DataFrame, DataFrame], clauses: tuple[DataFrame, DataFrame], terms: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(doc, kind, item, change) between two versions: parties (doc, name, role) only in one or with another role, clause types (doc,
+    clause_type) only in one or in other numbers, financial terms (doc, term_type, amount) whose amounts differ as numbers."""
+    one = lambda d, *c: d.select("doc", *c).filter(F.col(c[0]).isNotNull())
+    p1, p2 = (one(p, "name", "role").groupBy("doc", F.lower(squeeze(F.col("name"))).alias("item")).agg(F.min("role").alias("v")) for p in parties)
+    c1, c2 = (one(c, "clause_type").groupBy("doc", F.col("clause_type").alias("item")).agg(F.count("*").cast("string").alias("v")) for c in clauses)
+    amounts = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("amount").cast("decimal(38,8)"))), lambda x: x.cast("string")), ",")
+    t1, t2 = (one(t, "term_type", "amount").groupBy("doc", F.col("term_type").alias("item")).agg(amounts.alias("v")) for t in terms)
+
+    def differ(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        j = a.withColumn("l", F.lit(True)).withColumnRenamed("v", "v1").join(b.withColumn("r", F.lit(True)).withColumnRenamed("v", "v2"), ["doc", "item"], "full")
+        change = F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").when(~F.col("v1").eqNullSafe(F.col("v2")), "changed")
+        return j.select("doc", F.lit(kind).alias("kind"), "item", change.alias("change")).filter("change is not null")
+
+    return differ(p1, p2, "party").unionByName(differ(c1, c2, "clause")).unionByName(differ(t1, t2, "term"))
+
+
+def duration_days(effective: Column, expiration: Column) -> Column:
+    return F.date_diff(expiration, effective)
+
+
+def low_confidence_warning(df: DataFrame, doc: str, name: str, confidence: str, least: float) -> DataFrame:
+    """(doc, warning): names of the items of a document below a confidence, in order."""
+    low = df.filter(F.col(confidence) < least).groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
+    return low.select(doc, F.concat(F.lit("low confidence: "), "names").alias("warning"))

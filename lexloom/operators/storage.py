@@ -89,3 +89,17 @@ def search(index: DataFrame, words: list[str]) -> DataFrame:
     want = sorted({w.lower() for w in words})
     found = index.filter(F.col("token").isin(want)).groupBy("doc").agg(F.count_distinct("token").alias("k"), F.sum("n").alias("hits"))
     return found.filter(F.col("k") == len(want)).select("doc", "hits")
+
+
+def update_column(df: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows with a column's new values (key, column) where there are any; keys without a row are ignored."""
+    n = new.groupBy(key).agg(F.first(column).alias("_new"), F.lit(True).alias("_set"))
+    return df.join(n, key, "left").withColumn(column, F.when(F.col("_set"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_set").select(*df.columns)
+
+
+def jdbc(spark, url: str, dbtable: str, key: str | None = None, parts: int = 16, bounds: tuple[int, int] | None = None, **options: str) -> DataFrame:
+    """A table of a database as a DataFrame, read in parallel along a numeric key where its bounds are given."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", dbtable).options(**options)
+    if key and bounds:
+        r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return r.load()
