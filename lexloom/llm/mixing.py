@@ -37,11 +37,12 @@ def _plan(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, total
     texts = materialize(texts, "texts")
     have = texts.groupBy("source_key").agg(F.count("*").alias("texts"), F.sum("tokens").alias("available"))
     joined = goal.join(have, "source_key", "left").select("source_key", "share", "max_repeats", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("available", F.lit(0)).alias("available"))
-    sums = joined.agg(F.sum(F.when(F.col("available") > 0, F.col("share"))).alias("shares"), F.sum("available").alias("everything"))
-    aim = F.lit(float(total)) if total is not None else F.col("everything").cast("double")
-    rate = F.when(F.col("available") > 0, F.least(F.col("share") / F.col("shares") * aim / F.col("available"), F.coalesce(F.col("max_repeats").cast("double"), F.lit(float("inf"))))).otherwise(0.0)
-    rates = joined.join(F.broadcast(sums), F.lit(True))
-    return texts, rates.select("source_key", (F.col("share") / F.col("shares")).alias("target_share"), "max_repeats", "texts", "available", rate.alias("rate"))
+    # two numbers
+    sums = joined.agg(F.sum(F.when(F.col("available") > 0, F.col("share"))).alias("shares"), F.sum("available").alias("everything")).first()
+    part = F.col("share") / F.lit(sums["shares"] or 1.0)
+    aim = F.lit(float(total if total is not None else sums["everything"] or 0))
+    rate = F.when(F.col("available") > 0, F.least(part * aim / F.col("available"), F.coalesce(F.col("max_repeats").cast("double"), F.lit(float("inf"))))).otherwise(0.0)
+    return texts, joined.select("source_key", part.alias("target_share"), "max_repeats", "texts", "available", rate.alias("rate"))
 
 
 def _copies(texts: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
@@ -64,8 +65,8 @@ def mix_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
     texts, rates = _plan(docs, targets, id_col, text_col, total, path)
     got = _copies(texts, rates, seed).groupBy("source_key").agg(F.sum(F.col("copies") * F.col("tokens")).alias("emitted"), F.max("copies").alias("most_copies"))
     joined = rates.join(got, "source_key", "left")
-    whole = joined.agg(F.sum("emitted").alias("mixture"))
-    return joined.join(F.broadcast(whole), F.lit(True)).select(
+    whole = joined.agg(F.sum("emitted")).first()[0] or 1
+    return joined.select(
         F.col("source_key").alias("source"),
         F.round("target_share", 6).alias("target_share"),
         "max_repeats",
@@ -74,5 +75,5 @@ def mix_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
         F.round("rate", 6).alias("rate"),
         F.coalesce("emitted", F.lit(0)).alias("emitted_tokens"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.round(F.coalesce(F.col("emitted"), F.lit(0)) / F.col("mixture"), 6).alias("reached_share"),
+        F.round(F.coalesce(F.col("emitted"), F.lit(0)) / F.lit(float(whole)), 6).alias("reached_share"),
     )
