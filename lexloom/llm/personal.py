@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -331,11 +332,11 @@ def find_spans(text: str | None) -> list[Span]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
     found = [*emails(t), *addresses(t, low), *numbers(t), *persons(t, low)]
     found.sort(key=lambda s: (ORDER[s.kind], -s.score, s.start, -s.end))
-    taken: list[Span] = []
+    taken: list[Span] = []  # in order of position
     for s in found:
-        if all(s.end <= x.start or s.start >= x.end for x in taken):
-            taken.append(s)
-    taken.sort()
+        i = bisect_left(taken, s)
+        if (i == 0 or taken[i - 1].end <= s.start) and (i == len(taken) or taken[i].start >= s.end):
+            taken.insert(i, s)
     if where is not None:
         taken = [Span(where[s.start], where[s.end - 1] + 1, s.kind, s.score) for s in taken]
     return taken

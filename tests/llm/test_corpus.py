@@ -3,7 +3,7 @@ import pytest
 
 from lexloom.llm.mixing import mix, mix_report
 from lexloom.llm.packing import harmonic_pack, pack, plan_patterns
-from lexloom.llm.tokens import encoding
+from lexloom.llm.tokens import encoding, length
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -20,6 +20,15 @@ def test_plan_places_everything(seed):
     assert (placed == counts).all()
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2500 + "b c", " " * 2500, "x\n" + "\n \t" * 1200 + "\ny" + " " * 3000, "", "plain text"])
+def test_long_blanks_count_as_the_pattern_says(text):
+    assert length(text) == len(encoding().encode_ordinary(text))
+
+
+def test_runs_beyond_the_pattern_engine():
+    assert length("\n" * 1_000_000 + "a") > 1
+
+
 def rows(spark):
     texts = [None, "", "one two three", "one two three"] + ["word " * n for n in (3, 5, 8, 13, 21, 40, 90)] * 3
     return spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, tokens string")
