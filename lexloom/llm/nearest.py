@@ -262,7 +262,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, least: floa
     fraction = min(1.0, 1.1 * sample_rows / rows)
     limit = int(fraction * (1 << 30))
     picked = src.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit).limit(sample_rows)
-    sample = _vectors(*(lambda t: (t["id"].combine_chunks(), t["vec"].combine_chunks()))(picked.toArrow()), dim)[1]
+    got = picked.toArrow()
+    sample = _vectors(got["id"].combine_chunks(), got["vec"].combine_chunks(), dim)[1]
     if not len(sample):
         sample = np.ones((1, dim), np.float32)
     graph = CentroidGraph(fit_lists(sample, max(1, math.ceil(len(sample) / lists))))
