@@ -232,9 +232,10 @@ _LOW_STOP = _NOT_SURNAME | frozenset(
 )
 _AMBIGUOUS = frozenset("will rich bill sue pat rob jo ed ben sandy mark nat mina rick dick jack frank art isa dora tori meg peg hank len leo sam dan ted tad ned kate belle eliza pete matt mick jim joe tony tina chris terry tom harry annie john james george henry peter david maria pierre karl".split())
 #: Short forms that are ordinary words in lower case.
-_WORDS = frozenset("will rich bill sue pat rob jo ed ben mark nat mina dick jack frank art tori meg peg hank len leo ted belle chris terry sandy chuck don al".split())
+_WORDS = frozenset("will rich bill sue pat rob jo ed ben mark nat mina dick jack frank art tori meg peg hank len leo belle chris terry sandy chuck don al".split())
 _ARTICLE = re.compile(r"\b(?:the|le|la|el|der|die|das)\s+$", re.I)
 _CUE_LEFT = re.compile(r"(?:name:|whereof|signed by|attention:|sent to|witness|employee,|names|c/o|issued to|wife of|délivré à|nombre de|inhaber|write to|judge)\s*$", re.I)
+_CUE_PERSON = re.compile(r"(?:name:|whereof|signed by|attention:|c/o|issued to|wife of|délivré à|a nombre de|inhaber)\s*$", re.I)
 _ORG_RIGHT = re.compile(r"(?:\W{1,2}(?:[A-ZÀ-Ý&][\w'&-]*)){0,3}\W{1,2}(?:LLC|LLP|GmbH|Ltd|Inc|AG\b|S\.A\.|S\.L\.|Corporation|Company|Limited|Incorporated|Partners|Associates|Industries|Holdings|Group)\b")
 
 
@@ -282,7 +283,7 @@ def persons(t: str, low: str) -> Iterator[Span]:
                 from_ = b.start("sur") if re.search(r"[a-zà-ÿ]\s{1,2}$", t[max(0, b.start() - 3) : b.start()]) else b.start()
                 stop = re.compile(rf"{_W}[A-Z]\.").match(t, end, end + 6)
                 yield Span(from_, stop.end() if stop else end, "PERSON", 0.75)
-        elif name not in _WORDS:
+        elif name not in _WORDS or _CUE_PERSON.search(left):
             m = _AFTER_LOW.match(t, end, end + 60)
             if m and m["sur"] not in _LOW_STOP:
                 yield Span(start, m.end(), "PERSON", 0.6)
