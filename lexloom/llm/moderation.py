@@ -255,8 +255,9 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     if len(y) < 4 or (y > 0.5).all() or not (y > 0.5).any():
         return Model(np.zeros(BUCKETS, np.float32), -30.0), 1.1
     rest = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).filter("body is not null and body <> ''")
-    # the first by hash: the same documents on every run
-    ordered = rest.withColumn("h", F.xxhash64("doc", F.lit(9))).orderBy("h", "doc").limit(max_background).select("doc", "body").toArrow()
+    # the first by hash: the same documents on every run; a bound on the hash leaves about four times as many to sort
+    upto = min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 4 * max_background / max(1, docs.count())) * (1 << 64)))
+    ordered = rest.withColumn("h", F.xxhash64("doc", F.lit(9))).filter(F.col("h") <= upto).orderBy("h", "doc").limit(max_background).select("doc", "body").toArrow()
     labelled = set(texts["doc"].to_pylist())
     background = [t for d, t in zip(ordered["doc"].to_pylist(), ordered["body"].to_pylist(), strict=True) if d not in labelled]
     # a third of the documents is held out once to choose the threshold; then all of them train
