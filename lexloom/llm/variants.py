@@ -6,7 +6,8 @@
    the line of business or the initial of the given name; the codes of all tokens in sorted order, and both ends of the
    code of the name run together, give further blocks.
 3. Within a block spellings are compared by Jaro-Winkler on the remaining tokens, in either order and run together. Given
-   names must agree by table, initial or spelling, lines of business by table.
+   names must agree by table, initial or spelling, lines of business by table. Where neither side has a given name of the table,
+   all tokens are compared, in any rotation and reversed, each within an edit or so; an initial stands for either end's token.
 4. Accepted pairs are clustered by connected components. A spelling that leaves something open (an initial, a missing token) joins only
    if all it agrees with is one cluster; otherwise it joins nothing but its equals.
 
@@ -14,7 +15,8 @@ Only spanning edges leave a block, so a block of many spellings of one entity co
 parse alike are one from the start.
 
 Defined results: null, empty and unparsable names are nobody's variants; equal strings under several ids are the same
-spelling; extra columns are ignored.
+spelling; extra columns are ignored. Organisations without a legal form or a known line of business are compared like persons whose
+given name is in no table; they are not linked to the same name with a legal form.
 """
 
 from __future__ import annotations
@@ -186,8 +188,18 @@ def parse(name: str | None) -> tuple[str, str, str, str, str] | None:
         i = spots[0] if 0 in spots or len(words) - 1 not in spots else len(words) - 1
         given = _given(words[i])
         words = words[:i] + words[i + 1 :]
-    initials = letters if not given else []
-    return ("person", " ".join(sorted(given)), initials[0] if initials else "", " ".join(words), "")
+    if given:
+        return ("person", " ".join(sorted(given)), "", " ".join(words), "")
+    ordered = _forward(s, tokens)
+    # a letter between words is a middle initial, left out as beside known given names
+    initials = [t for k, t in enumerate(ordered) if len(t) == 1 and (not any(len(x) > 1 for x in ordered[:k]) or not any(len(x) > 1 for x in ordered[k + 1 :]))]
+    return ("person", "", initials[0] if initials else "", " ".join(t for t in ordered if len(t) > 1), "")
+
+
+def _forward(s: str, tokens: list[str]) -> list[str]:
+    """The tokens with what stands behind a comma first: 'bianchi, laura k.' as 'laura k. bianchi'."""
+    behind = len([t for t in re.findall(r"[a-z0-9]+", s.partition(",")[2]) if t not in TITLES])
+    return tokens[-behind:] + tokens[:-behind] if 0 < behind < len(tokens) else tokens
 
 
 def _codes(words: list[str]) -> set[str]:
@@ -204,7 +216,8 @@ def block_keys(form: tuple[str, str, str, str, str]) -> list[str]:
     codes = _codes(words) | {"+" + whole, "<" + whole[:3], ">" + whole[-3:]}
     if kind == "org":
         return [f"o|{head}|{c}" for c in codes]
-    firsts = {g[0] for g in head.split()} or ({initial} if initial else {"?"})
+    # without a given name of the table either end may be one
+    firsts = {g[0] for g in head.split()} or ({initial} if initial else {"?", words[0][0], words[-1][0]})
     return [f"p|{f}|{c}" for f in firsts for c in codes]
 
 
@@ -213,6 +226,12 @@ def agree(a: tuple, b: tuple) -> str:
     if a[0] != b[0]:
         return ""
     u, v = a[3].split(), b[3].split()
+    if a[0] == "person" and not a[1] and not b[1] and not (a[2] and b[2]):
+        if a[2] or b[2]:
+            return _initial(a[2], u, v) if a[2] else _initial(b[2], v, u)
+        return _tokens(u, v)
+    if a[0] == "person" and bool(a[1]) != bool(b[1]) and not a[2] and not b[2]:
+        return _near_given(a[1].split(), u, v) if a[1] else _near_given(b[1].split(), v, u)
     verdict = _rest(u, v, a[4].split(), b[4].split())
     if not verdict:
         return ""
@@ -223,8 +242,40 @@ def agree(a: tuple, b: tuple) -> str:
         return "" if not x & y else verdict if x == y else "open"
     if x or y:
         names, initial = (x, b[2]) if x else (y, a[2])
-        return "open" if initial and any(n[0] == initial for n in names) else ""
-    return verdict if a[2] == b[2] and a[2] else ""
+        return "open" if any(n[0] == initial for n in names) else ""
+    return verdict if a[2] == b[2] else ""
+
+
+def _alike(p: str, q: str) -> bool:
+    return p == q or (min(len(p), len(q)) > 3 and (one_edit(p, q) or jaro_winkler(p, q) >= 0.9))
+
+
+def _tokens(u: list[str], v: list[str]) -> str:
+    """How two names agree of which no token is a known given name: any of them may be."""
+    orders = [v[k:] + v[:k] for k in range(len(v))] + [v[::-1]]
+    if len(u) == len(v):
+        return "same" if any(all(map(_alike, u, w)) for w in orders) else ""
+    if any(one_edit("".join(u), "".join(w)) for w in orders):
+        return "same"
+    short, long = (u, v) if len(u) < len(v) else (v, u)
+    if len(short) > 1 and len(long) == len(short) + 1 and all(map(_alike, short, long)):
+        return "open"  # the last token is left out
+    return ""
+
+
+def _near_given(names: list[str], u: list[str], v: list[str]) -> str:
+    """Known given names and tokens u against all tokens v, an end of which may be the given name in a spelling of no table."""
+    for k in {0, len(v) - 1} if len(v) > 1 else ():
+        if any(one_edit(v[k], n) or (phonetic(v[k]) == phonetic(n) and jaro_winkler(v[k], n) >= 0.8) for n in names):
+            if verdict := _rest(u, v[:k] + v[k + 1 :], [], []):
+                return verdict if len(names) == 1 else "open"
+    return ""
+
+
+def _initial(letter: str, u: list[str], v: list[str]) -> str:
+    """An initial with tokens u against all tokens v."""
+    ends = {0, len(v) - 1} if len(v) > 1 else set()
+    return "open" if any(v[k][0] == letter and _rest(u, v[:k] + v[k + 1 :], [], []) for k in ends) else ""
 
 
 def _rest(u: list[str], v: list[str], lu: list[str], lv: list[str]) -> str:
@@ -359,4 +410,7 @@ def _completeness():
     two = (F.size(F.split("rest", " ")) > 1) | (F.length("rest") >= 10)
     # a short form of several given names is no complete head
     head = (F.col("head") != "") & ~F.col("head").contains(" ")
-    return head.cast("int") + two.cast("int")
+    # without a given name of the table one of the tokens is it
+    all_tokens = (F.col("kind") == "person") & (F.col("head") == "") & (F.col("initial") == "") & F.col("rest").contains(" ")
+    long = (F.size(F.split("rest", " ")) > 2) | F.col("rest").rlike(r"\S{10}")
+    return F.when(all_tokens, 1 + long.cast("int")).otherwise(head.cast("int") + two.cast("int"))

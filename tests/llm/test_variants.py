@@ -49,3 +49,19 @@ def test_links(spark, block_forms):
     # an initial that fits two persons is nobody's variant
     assert got["T. Zofu Bano"] not in (got["Tomas Zofu Bano"], got["Thaddeus Zofu Bano"])
     assert link_variants(df.limit(0)).collect() == []
+
+
+def test_given_names_of_no_table(spark):
+    same = ["Laura Bianchi", "Bianchi, Laura", "Laura Biamchi", "L. Bianchi", "Bianchi, Laura K.", "Dr. Laura K. Bianchi", "BIANCHI LAURA"]
+    double = ["Laura Rossi Bruni", "Rossi Bruni, Laura", "L. Rossi Bruni", "Laura Rossibruni"]
+    long = ["Laura Featherstone", "L. Featherstone"]
+    near = ["Omar Stobradro Kano", "Omr Stobradro Kano", "O. Stobradro Kano", "Stobradro Kano, Ornar"]
+    company = ["Quorra Widgetry", "Quorra Widgetrry"]
+    apart = ["Klara Wieland", "Klaus Wieland", "K. Wieland", "Emma Bianchi", "Laura Schmidt", "Li Wei", "Lu Wei", "Quorra Widgetry Ltd"]
+    names = same + double + long + near + company + apart
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.entity for r in link_variants(df).collect()}
+    groups = [same, double, long, near, company, *([n] for n in apart)]
+    for g in groups:
+        assert len({got[n] for n in g}) == 1, [(n, got[n]) for n in g]
+    assert len({got[g[0]] for g in groups}) == len(groups)
