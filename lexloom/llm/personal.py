@@ -7,7 +7,8 @@ number plans and checksums (Luhn, mod 97) raise or lower a proposal's score, wor
 phone numbers and names.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows are scanned alike; extra
-columns are passed over. Names are found by known given names, by titles and by initials; a lone surname is not.
+columns are passed over. Names are found by known given names, by titles, by initials and, whatever the given name, behind words
+that announce one; a lone surname is not.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.names import FULL_OF, SHORT_FORMS
+from lexloom.llm.names import COMMON, FULL_OF, SHORT_FORMS
 
 THRESHOLD = 0.5
 ORDER = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "PERSON": 4}
@@ -238,26 +240,74 @@ _CUE_LEFT = re.compile(r"(?:name:|whereof|signed by|attention:|sent to|witness|e
 _CUE_PERSON = re.compile(r"(?:name:|whereof|signed by|attention:|c/o|issued to|wife of|délivré à|a nombre de|inhaber)\s*$", re.I)
 _ORG_RIGHT = re.compile(r"(?:\W{1,2}(?:[A-ZÀ-Ý&][\w'&-]*)){0,3}\W{1,2}(?:LLC|LLP|GmbH|Ltd|Inc|AG\b|S\.A\.|S\.L\.|Corporation|Company|Limited|Incorporated|Partners|Associates|Industries|Holdings|Group)\b")
 
+#: Words (lower case, without accents) behind which a name stands; behind those of the second kind also as 'surname, given name'.
+_CUES = tuple("signed by;attention;attn;attn.;c/o;witness;witnessed by;whereof;wife of;husband of;employee,;signe par;signee par;a l'attention de;aux soins de;temoin;epouse de;unterzeichnet von;unterschrieben von;zu handen;zu handen von;z. hd.;z.hd.;z. hd. von;z.hd. von;zeuge;zeugin;firmado por;firmada por;a la atencion de;testigo;esposa de".split(";"))
+_NAME_CUES = tuple("name:;name :;nom:;nom :;nombre:;issued to;delivre a;delivree a;au nom de;inhaber;inhaberin;ausgestellt auf;ausgestellt fur;expedido a;expedida a;a nombre de".split(";"))
+_NAMED = r"[A-ZÀ-Ý][\w']+(?:-[A-ZÀ-Ý][\w']+)*"
+_CUED = re.compile(rf" ?:?{_W}(?P<first>{_NAMED})(?:{_W}[A-ZÀ-Ý]\.){{0,2}}{_W}(?:{_PARTICLE}{_W}){{0,2}}(?P<second>{_NAMED})(?P<more> {{1,2}}(?:{_PARTICLE} {{1,2}}){{0,2}}(?P<third>{_NAMED}))?")
+_CUED_INVERSE = re.compile(rf" ?:?{_W}(?P<first>(?:{_PARTICLE}{_W}){{0,2}}{_NAMED}),{_W}(?P<second>{_NAMED})(?:{_W}[A-Z]\.(?!\w))?(?! ?[,&])")
+_NO_PERSON_NAME = re.compile(r"(?:compan\w*|business|trade|corporate|legal|file|project|product|vessel|brand|domain|firm\w*|entity|place|event|bank|court|ship|property|societe|empresa|unternehmen\w*)\W+$")
+#: Capitalised words behind such words that begin or continue no name of a person.
+_NO_NAME = _NOT_SURNAME | frozenset(
+    """a all an any both each either every no one our several some such that these this those two whereof which who whom your
+    general counsel legal department chief financial executive operating officer director directors manager managing president secretary treasurer vice head office board chairman chair
+    captain judge justice court minister ministry state government city county republic kingdom united north south east west new saint san santa port authority
+    seller buyer purchaser landlord tenant lessor lessee lender borrower licensee licensor contractor customer client supplier vendor party parties group council commission
+    mr mrs ms miss dr prof sir madam messrs herr herrn frau mme mlle monsieur madame me don dona senor senora sr sra
+    der die das den dem des ein eine einer le la les un une des el los las una
+    parteien beide beiden partei parties vertrag gericht bundesrepublik stadt land ambas partes deux direction direktor geschaftsfuhrer vorstand abteilung directeur directrice gerente""".split()
+)
+
 
 @lru_cache(maxsize=1)
 def _given():
+    """Given names with themselves and cues with their kind, in one automaton."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for name in FULL_OF:
+    for name in {*FULL_OF, *COMMON}:
         if len(name) > 1:
-            a.add_word(name, name)
+            a.add_word(name, (0, name))
+    for kind, cues in ((1, _CUES), (2, _NAME_CUES)):
+        for cue in cues:
+            words = cue.split(" ")
+            for gaps in product((" ", "\n", "  "), repeat=len(words) - 1):
+                spelt = "".join(w + g for w, g in zip(words, (*gaps, ""), strict=True))
+                a.add_word(spelt, (kind, spelt))
     a.make_automaton()
     return a
 
 
+def _no_name(word: str) -> bool:
+    return any(w in _NO_NAME for w in word.lower().translate(_PLAIN).strip("'").split("-"))
+
+
+def _cued(t: str, low: str, start: int, end: int, inverse: bool) -> Span | None:
+    """The name behind a cue, of two or three words with capitals that are not known given names (those are found by themselves)."""
+    if (start and low[start - 1].isalnum()) or (inverse and low.startswith("name", start) and _NO_PERSON_NAME.search(low, max(0, start - 20), start)):
+        return None
+    m = (_CUED_INVERSE.match(t, end, end + 120) if inverse else None) or _CUED.match(t, end, end + 120)
+    if not m or _no_name(m["first"].split()[-1]) or _no_name(m["second"]) or low[m.start("first") : m.end("first")] in FULL_OF:
+        return None
+    stop = m.end()
+    if m.re is _CUED and m["third"] and (_no_name(m["third"]) or re.match(r"\w", t[stop : stop + 1])):
+        stop = m.end("second")
+    if re.match(r"[\w@]", t[stop : stop + 1]) or _ORG_RIGHT.match(t, m.end("second"), stop + 60) or re.match(r"\s?&", t[stop : stop + 2]):
+        return None
+    return Span(m.start("first"), stop, "PERSON", 0.86)
+
+
 def _bad_surname(s: str) -> bool:
     return s.lower().strip("'-") in _NOT_SURNAME or s.lower().split("-")[0] in _NOT_SURNAME
 
 
 def persons(t: str, low: str) -> Iterator[Span]:
-    for last, name in _given().iter(low):
+    for last, (cue, name) in _given().iter(low):
         start, end = last - len(name) + 1, last + 1
+        if cue:
+            if span := _cued(t, low, start, end, cue == 2):
+                yield span
+            continue
         if (start and (low[start - 1].isalnum() or low[start - 1] in "_@+")) or (end < len(low) and (low[end].isalnum() or low[end] in "_@")):
             continue
         if start > 1 and low[start - 1] in ".-" and low[start - 2].isalnum() and not low[start - 2].isupper() and not t[start - 2].isupper():

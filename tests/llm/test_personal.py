@@ -57,3 +57,27 @@ def test_frames(spark):
     out = {r.row_id: r.redacted for r in redact_personal(df, "id", "t").collect()}
     assert out[1] is None and out[2] == "" and out[3] == "Ring [PHONE]." and len(out[4]) == 200000
     assert find_personal(df.limit(0), "id", "t").collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("It was signed by Zlatka Bianchini for the Buyer.", ["Zlatka Bianchini"]),
+        ("signed by Laura Bianchi\nDirector", ["Laura Bianchi"]),
+        ("send it c/o Emma Schmidt, Berlin", ["Emma Schmidt"]),
+        ("Attention: Oyelaran van der Meer", ["Oyelaran van der Meer"]),
+        ("Name: Bianchini, Zlatka", ["Bianchini, Zlatka"]),
+        ("the witness Oyelaran K. Adeyemi may", ["Oyelaran K. Adeyemi"]),
+        ("issued to\nZlatka Thomas Bianchini on", ["Zlatka Thomas Bianchini"]),
+        ("délivré à Zoé Lefèvre, née", ["Zoé Lefèvre"]),
+        ("Unterzeichnet von Jörg Müller am", ["Jörg Müller"]),
+        ("firmado por Íñigo Ibáñez Peña en", ["Íñigo Ibáñez Peña"]),
+        ("Later Laura Bianchi left.", ["Laura Bianchi"]),
+        ("IN WITNESS WHEREOF THE PARTIES have signed", []),
+        ("Attention: General Counsel", []),
+        ("signed by Both Parties, c/o Gutrib Trading GmbH, Company name: Blue Horizon", []),
+        ("signed by Gutrib Foods LLC and issued to New Delhi Bank", []),
+    ],
+)
+def test_names_behind_cues(text, want):
+    assert [text[s.start : s.end] for s in find_spans(text) if s.kind == "PERSON"] == want
