@@ -471,6 +471,18 @@ def vector_top_k_filtered(spark, d):
     return R.top_k_each(e, q, 10, ["label"], order="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), qe) AS c FROM q CROSS JOIN embeddings v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(c, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND c > 0"""
+)
+def vector_top_k_batch(spark, d):
+    """Every query vector (ids divisible by 50) against all rows, whatever their label."""
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return R.top_k_batch(e, q, 10, order="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 _AUTH = "CASE s_suppkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 75 WHEN 2 THEN 55 WHEN 3 THEN 30 ELSE 5 END"
 
 

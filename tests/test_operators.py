@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import re
 
@@ -203,6 +204,30 @@ def test_top_k_cuts_before_dropping(spark):
     assert [r.seq for r in R.top_k(df, [1.0, 0.0], 3, where=F.col("seq") > 0).collect()] == [4]
 
 
+@pytest.mark.parametrize("query_block,row_block", [(4096, 16384), (3, 7)])
+def test_top_k_batch_equals_brute_force(spark, query_block, row_block):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(60)]
+    rows += [(60 + i, rows[i][1], 1) for i in range(10)]  # copies under another label
+    rows += [(70, [0.0] * 6, 0), (71, None, 0), (72, [0.5, 0.5], 0), (73, [0.1, None, 0.3, 0.0, 0.0, 0.0], 0), (74, [float("nan")] * 6, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    q = df.filter("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as query_embedding")
+
+    def cosine(a, b):
+        a, b = ([x or 0.0 for x in v or []] for v in (a, b))
+        na, nb = (math.sqrt(sum(x * x for x in v)) for v in (a, b))
+        return sum(x * y for x, y in zip(a, b)) / (na * nb) if na > 0 and nb > 0 else 0.0
+
+    want = {}
+    for i, a, _ in rows:
+        if i % 5 == 0:
+            best = sorted((-round(c, 9), j) for j, b, _ in rows if (c := cosine(a, b)) > 0)[:4]
+            want |= {(i, n): (j, -c) for n, (c, j) in enumerate(best, 1)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 9)) for r in R.top_k_batch(df, q, 4, order="vec_id", query_block=query_block, row_block=row_block).collect()}
+    assert got == want and any(rows[i][2] != rows[j][2] for (i, _), (j, _) in got.items())
+    assert R.top_k_batch(df.limit(0), q, 4, order="vec_id").collect() == [] and R.top_k_batch(df, q.limit(0), 4, order="vec_id").collect() == []
+
+
 def test_sync(spark):
     old = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "url string, text string")
     new = spark.createDataFrame([("a", "x", False), ("b", "Y", False), ("c", None, True), ("d", "n", False)], "url string, text string, failed boolean")
