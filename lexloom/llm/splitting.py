@@ -1,13 +1,15 @@
 """Splitting oversized texts at natural boundaries by dynamic programming (p5).
 
-Atoms are the runs of text between boundaries of a level: blank lines, sentence ends, white space, single characters.
+Atoms are the runs of text between boundaries of a level: blank lines, sentence ends, white space, characters. A word over the
+limit can be cut at every ``limit // 64``-th of its characters (at each one where the limit is below 128).
 Starting from paragraphs, only atoms that exceed the limit are refined by the next level. Over the resulting cut
 positions a dynamic program minimises pieces + cut penalties + size imbalance + missing overlap, subject to the limit.
 Each piece after the first begins up to ``overlap`` characters before its cut, at a boundary, so that it repeats the end
 of the piece before; the repeated part shrinks where the limit needs it. Work per text is linear in its positions times
 the positions within one limit, and no row is moved between partitions.
 
-Defined results: null, empty and short texts give no pieces (they need none); white space at a cut belongs to no piece;
+Defined results: null, empty and short texts give no pieces (they need none); a text over the limit that is white space only
+gives one empty piece at 0 with boundary 'paragraph'; white space at a cut belongs to no piece;
 offsets count Unicode code points from 0; equal texts under different ids are split alike; extra columns are ignored.
 """
 
@@ -132,7 +134,7 @@ def split_oversized(df: DataFrame, table_name: str, id_col: str, text_col: str,
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py()
                 pieces, worst = split_text(t, limit, overlap)
-                for k, (a, z, fresh) in enumerate(pieces):
+                for k, (a, z, fresh) in enumerate(pieces or [(0, 0, 0)]):
                     rows.append((table_name, i, k, a, z, fresh, LEVELS[worst], t[a:z] if with_text else None, json.dumps({"char_start": a, "char_end": z})))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]

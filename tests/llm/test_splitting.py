@@ -44,3 +44,9 @@ def test_frame(spark):
     assert all(r.piece_text == ("word " * 400)[r.char_start : r.char_end] for r in out)
     assert [r[2:8] for r in out if r.row_id == 4] == [r[2:8] for r in out if r.row_id == 5]
     assert split_oversized(df.limit(0), "x", "id", "t", 300, 50).collect() == []
+
+
+def test_white_space_over_the_limit_is_a_row(spark):
+    df = spark.createDataFrame([(1, " \n\n\t" * 200), (2, " " * 301), (3, " " * 300)], "id long, t string")
+    out = split_oversized(df, "x", "id", "t", 300, 50).collect()
+    assert {(r.row_id, r.piece_no, r.char_start, r.char_end, r.boundary, r.piece_text) for r in out} == {(1, 0, 0, 0, "paragraph", ""), (2, 0, 0, 0, "paragraph", "")}
