@@ -89,8 +89,14 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for k in range(MAX_LEVEL, 0, -1):
         last = F.last(F.when(F.col("level") < k, F.col("ord")), ignorenulls=True).over(above)
         nearest = F.when(F.col("level") == k, last).otherwise(nearest)
-    nearest = F.when(F.col("level") > MAX_LEVEL, F.last(F.when(F.col("level") < MAX_LEVEL + 1, F.col("ord")), ignorenulls=True).over(above)).otherwise(nearest)
-    return flat.withColumn("parent_ord", nearest).select("doc", "ord", "kind", "number", "title", "level", "parent_ord", "body", "start_char", "end_char")
+    # deeper headings: the last shallow one, unless a deep one of a lower level stands in the run since then
+    deep = F.col("level") > MAX_LEVEL
+    shallow = F.last(F.when(~deep, F.col("ord")), ignorenulls=True)
+    flat = flat.withColumn("parent_ord", F.when(deep, shallow.over(above)).otherwise(nearest)).withColumn("run", shallow.over(above.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = F.collect_list(F.when(deep, F.struct("ord", "level"))).over(Window.partitionBy("doc", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    lower = F.array_max(F.transform(F.filter("run_above", lambda x: x["level"] < F.col("level")), lambda x: x["ord"]))
+    flat = flat.withColumn("run_above", run).withColumn("parent_ord", F.when(deep, F.coalesce(lower, "parent_ord")).otherwise(F.col("parent_ord")))
+    return flat.select("doc", "ord", "kind", "number", "title", "level", "parent_ord", "body", "start_char", "end_char")
 
 
 def parse_warnings(sec: DataFrame, docs: DataFrame) -> DataFrame:

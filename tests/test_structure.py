@@ -78,6 +78,22 @@ def test_parents_match_a_stack(spark):
             stack.append((x.ord, x.level))
 
 
+def test_parents_at_any_depth(spark):
+    r = random.Random(6)
+    heads = [".".join(["1"] * n) + " X" for n in (2, 3, 12, 13, 14, 15, 16, 18, 24)] + ["ARTICLE IV", "text line"]
+    texts = ["1.1 A\n" + ".".join("1" * 14) + " B\n" + ".".join("1" * 15) + " C", *("\n".join(r.choice(heads) for _ in range(60)) for _ in range(10))]
+    rows = S.sections(frame(spark, texts), "id", "full_text").orderBy("doc", "ord").collect()
+    assert [(x.level, x.parent_ord) for x in rows if x.doc == 0] == [(1, None), (13, 1), (14, 2)]
+    for doc in range(11):
+        stack = []
+        for x in (x for x in rows if x.doc == doc):
+            while stack and stack[-1][1] >= x.level:
+                stack.pop()
+            assert x.parent_ord == (stack[-1][0] if stack else None)
+            stack.append((x.ord, x.level))
+    assert max(x.level for x in rows) == 23
+
+
 def test_one_shuffle(spark):
     plan = S.sections(frame(spark, [TEXT]), "id", "full_text")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "Python" not in plan
