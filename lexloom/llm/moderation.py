@@ -11,7 +11,7 @@ Spelling tricks are undone before: accents, digits for letters, dots or blanks b
 Labels: a document's label is the mean of its non-null labels (ties are left out). At most MAX_LABELLED documents fit the model,
 the ones with the smallest id hashes, and MAX_BACKGROUND unlabelled ones show what is ordinary: documented bounds, about
 10 MB of text on the driver. The threshold is the one
-with the best F1 on documents held out from training. Every document is scored, whole.
+with the best F1 on documents held out from training. Every document is scored, whole, single words too.
 
 Defined results: null and empty texts score 0; without both kinds of label every document scores 0 and none is found;
 equal texts score alike; repeated rows (equal id) are scored alike; extra columns are ignored.
@@ -65,16 +65,16 @@ def plain_word(w: str) -> str:
     return w.translate(_LEET) if not w.isalpha() and not w.isdigit() and _MIXED.fullmatch(w) else ("0" if w.isdigit() else w)
 
 
-def passages(text: str) -> list[list[str]]:
-    """Words of every sentence, and of every part of a sentence where it has several."""
+def passages(text: str, least: int = 1) -> list[list[str]]:
+    """Words of every sentence, and of every part of a sentence where it has several, if there are at least so many words."""
     out = []
     for s in _CUT.split(clean(text)):
         words = [plain_word(w) for w in _WORD.findall(s)]
-        if len(words) < 2:
+        if len(words) < least:
             continue
         if _PART.search(s):
             parts = [[plain_word(w) for w in _WORD.findall(p)] for p in _PART.split(s)]
-            parts = [p for p in parts if len(p) > 1]
+            parts = [p for p in parts if len(p) >= least]
             out += parts
             # a short sentence says something as a whole, too
             if len(words) <= 16 or not parts:
@@ -194,7 +194,8 @@ class Model:
 
 def fit(texts: list[str], labels: list[float], background: list[str] = (), seed: int = 0) -> Model:
     """Multiple-instance training from documents and their mean labels, and unlabelled documents as background."""
-    per_doc = [passages(t) for t in [*texts, *background]]
+    # headings and list items of one word would drown the rest here, so the model learns words from passages of two and more
+    per_doc = [passages(t, 2) for t in [*texts, *background]]
     doc_of = np.repeat(np.arange(len(per_doc)), [len(p) for p in per_doc])
     flat = [p for ps in per_doc for p in ps]
     y = np.concatenate([np.asarray(labels, float) > 0.5, np.zeros(len(background), bool)])

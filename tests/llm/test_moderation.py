@@ -54,3 +54,12 @@ def test_frame(spark):
     assert len(out) == 122 and out[900].score == 0.0 and not out[901].is_abusive
     assert all(not r.is_abusive for r in score_documents(df, labels.filter("abusive = 0")).collect())
     assert score_documents(df.limit(0), labels).collect() == []
+
+
+def test_single_words_are_scored():
+    long = " ".join(["word"] * 20)
+    assert ["idiot"] in passages("The rent is due. Idiot! Pay it.") and ["idiot"] in passages(f'{long}, "idiot", {long}')
+    docs, y = corpus(300, 1)
+    model = fit(docs, y, corpus(200, 3)[0])
+    alone = "The tenant shall pay the rent."
+    assert model.score(f"{alone} Idiot!")[0] > model.score(alone)[0] and model.score(f"{alone} Idiot!")[1] == "idiot"
