@@ -11,7 +11,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,25 +18,36 @@ _private: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: the session's ``spark.checkpoint.dir`` or, where unset, one of our own."""
+    """The folder for lineage cuts: the session's ``spark.checkpoint.dir`` or, where unset and all runs in one process, one of our own.
+
+    Elsewhere a missing setting is an error: executors on several machines would each write to their own disk."""
     global _private
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not single_process(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _private is None:
         _private = tempfile.mkdtemp(prefix="lexloom-")
         atexit.register(shutil.rmtree, _private, ignore_errors=True)
     return f"file://{_private}"
 
 
+def single_process(master: str) -> bool:
+    """Whether a master runs everything on this machine's driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and return a scan of it (same schema, no lineage)."""
+    """Write ``df`` once below the shared folder and return a scan of it (same schema, no lineage).
+
+    The file system deletes the folder when the driver's JVM ends, whatever its scheme."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.option("compression", "zstd").parquet(path)
-    at = urlparse(path)
-    if at.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, at.path, ignore_errors=True)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
