@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.plans.runtime import blocks_for, materialize
+from lexloom.plans.runtime import blocks_for, materialize, unique_join
 
 #: Rows of one block, and of the quotient that one task may solve alone (about 40 bytes a row).
 BLOCK_ROWS = 100_000
@@ -146,7 +146,7 @@ def _solve(edges: DataFrame, rows: int, with_path: bool, local_rows: int, block_
         solved = tops.select(F.col("node").alias("t"), F.col("exit").alias("root"), F.col("exit_w").alias("depth"), F.lit(None).cast("long").alias("tcyc"), above.alias("up"))
         return _expand(frag, solved, with_path, None)
     far = frag.select(F.col("node").alias("exit"), F.col("top").alias("f_top"), F.col("dist").alias("f_dist"), F.col("pmin").alias("f_min"), F.col("cyc").alias("f_cyc"), F.col("path").alias("f_path"))
-    met = materialize(tops.join(far, "exit", "left"), "met")
+    met = materialize(unique_join(tops, far, "exit", "node", "left"), "met")
     empty = F.array().cast("array<long>")
     inner = met.select(
         "node",
@@ -162,7 +162,7 @@ def _solve(edges: DataFrame, rows: int, with_path: bool, local_rows: int, block_
     # an edge is done when it ends at a root or a cycle and no other edge leads to it
     ends = inner.select(F.col("node").alias("next"), F.lit(1).alias("goes_on"))
     aims = inner.filter("next <> node").select(F.col("next").alias("node"), F.lit(1).alias("aim")).distinct()
-    split = materialize(inner.join(ends, "next", "left").join(aims, "node", "left"), "split")
+    split = materialize(unique_join(inner, ends, "next", "node", "left").join(aims, "node", "left"), "split")
     loop = F.col("next") == F.col("node")
     over = F.col("aim").isNull() & (F.col("goes_on").isNull() | loop)
     direct = split.filter(over).select(
@@ -181,8 +181,9 @@ def _solve(edges: DataFrame, rows: int, with_path: bool, local_rows: int, block_
 
 def _jump(edges: DataFrame) -> DataFrame:
     """One pointer-jumping step: each edge is prolonged by the edge at its end, so path lengths halve."""
-    far = edges.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("w").alias("w2"), F.col("m").alias("m2"), F.col("seg").alias("s2"))
-    j = edges.join(far, (edges["next"] == far["next"]) & (edges["next"] != edges["node"]), "left").drop(far["next"])
+    # a loop meets nothing further
+    far = edges.select(F.col("node").alias("to"), F.col("next").alias("n2"), F.col("w").alias("w2"), F.col("m").alias("m2"), F.col("seg").alias("s2"))
+    j = unique_join(edges.withColumn("to", F.when(F.col("next") != F.col("node"), F.col("next"))), far, "to", "node", "left")
     looped = (F.col("n2") == F.col("next")) & F.col("n2").isNotNull()
     # a prolonged edge passes its old end, which then belongs to the segment; one that leads to a loop becomes a loop
     return j.select(
@@ -190,7 +191,7 @@ def _jump(edges: DataFrame) -> DataFrame:
         F.when(looped, F.col("node")).otherwise(F.coalesce("n2", "next")).alias("next"),
         (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"),
         F.when(looped, F.col("m2")).otherwise(F.least("m", F.coalesce("m2", "m"))).alias("m"),
-        F.when(F.col("n2").isNull() | looped | F.col("seg").isNull(), F.col("seg")).otherwise(F.concat("s2", F.array(edges["next"]), "seg")).alias("seg"),
+        F.when(F.col("n2").isNull() | looped | F.col("seg").isNull(), F.col("seg")).otherwise(F.concat("s2", F.array("next"), "seg")).alias("seg"),
     )
 
 
@@ -235,7 +236,7 @@ def hierarchy(
     frag = materialize(edges.mapInArrow(_contract_batches(with_path), _FRAGMENT), "fragments")
     tops = frag.filter(F.col("exit").isNotNull())
     far = frag.select(F.col("node").alias("exit"), F.col("top").alias("f_top"), F.col("dist").alias("f_dist"), F.col("pmin").alias("f_min"), F.col("cyc").alias("f_cyc"), F.col("path").alias("f_path"))
-    met = materialize(tops.join(far, "exit"), "met")
+    met = materialize(unique_join(tops, far, "exit", "node"), "met")
     quotient = met.select(
         "node",
         _next().alias("next"),

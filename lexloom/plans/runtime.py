@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one key that one task joins; keys with more are cut into parts. There are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 200_000
 
 _private: str | None = None
 
@@ -54,3 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def blocks_for(rows: int, per_block: int) -> int:
     """Partitions so that none holds more than about ``per_block`` rows."""
     return max(1, -(-rows // per_block))
+
+
+def unique_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join on ``key``, of which ``right`` has one row each but ``left`` may have most of its rows. Hot keys are cut into parts by
+    the hash of ``by``; only their row of ``right`` is repeated. The list of hot keys is at most rows / hot_rows long."""
+    hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts"))
+    hot = F.broadcast(materialize(hot, "hot"))
+    one = F.coalesce("_parts", F.lit(1))
+    cut = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), one).cast("int")).drop("_parts")
+    again = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return cut.join(again, [key, "_part"], how).drop("_part")

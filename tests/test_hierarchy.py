@@ -60,3 +60,14 @@ def test_empty_and_all_null(spark):
     assert hierarchy(empty).collect() == []
     nulls = spark.createDataFrame([(None, None), (1, None)], "id long, parent_id long")
     assert [(r.node, r.root, r.depth) for r in hierarchy(nulls).collect()] == [(1, 1, 0)]
+
+
+def test_one_parent_of_most_rows(spark, monkeypatch):
+    """Children of one node in other blocks meet it in several tasks."""
+    from lexloom.plans import runtime
+
+    monkeypatch.setattr(runtime.unique_join, "__defaults__", ("inner", 50))
+    n = 2_000
+    rows = [(1, None)] + [(i, 1) for i in range(2, n)] + [(n + i, i + 2) for i in range(300)]
+    got = {r.node: (r.root, r.depth) for r in hierarchy(spark.createDataFrame(rows, "id long, parent_id long"), block_rows=150, local_rows=50).collect()}
+    assert got == {1: (1, 0)} | {i: (1, 1) for i in range(2, n)} | {n + i: (1, 2) for i in range(300)}
