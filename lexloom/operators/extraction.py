@@ -155,25 +155,36 @@ CITATIONS = [
     ("regulation", r"GDPR|CCPA|HIPAA|FERPA|COPPA"),
 ]
 
+#: What a text has if any of the formats matches.
+CITATION_MARKS = r"v\.|U\.S\.C|C\.F\.R|Regulation|Directive|GDPR|CCPA|HIPAA|FERPA|COPPA"
+
+
+_CITATIONS = [(k, re.compile(p)) for k, p in CITATIONS]
+
+
+def text_citations(text: str) -> list[tuple[str, str, int, int]]:
+    """(wording, type, start, end) of one text's citations in order, each wording once."""
+    seen: dict[str, tuple[str, str, int, int]] = {}
+    for kind, p in _CITATIONS:
+        for m in p.finditer(text):
+            seen.setdefault(m.group().strip(), (m.group().strip(), kind, m.start(), m.end()))
+    return sorted(seen.values(), key=lambda c: c[2])
+
 
 def citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, raw_text, citation_type, char_start, char_end): each wording once, by the first format that has it."""
-    compiled = [(k, re.compile(p)) for k, p in CITATIONS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen: dict[str, tuple] = {}
-                for kind, p in compiled:
-                    for m in p.finditer(t.as_py()):
-                        seen.setdefault(m.group().strip(), (i, m.group().strip(), kind, m.start(), m.end()))
-                rows += sorted(seen.values(), key=lambda r: r[3])
+                rows += [(i, *c) for c in text_citations(t.as_py())]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "raw_text", "citation_type", "char_start", "char_end"])
 
-    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    # only texts with a mark of some format leave the JVM
+    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).filter(F.col("t").rlike(CITATION_MARKS))
     return src.mapInArrow(run, f"doc {dict(df.dtypes)[id_col]}, raw_text string, citation_type string, char_start long, char_end long")
 
 
@@ -238,16 +249,31 @@ def rule_hit(text: Column, required: Column, forbidden: Column, required_pattern
     )
 
 
+#: Most rules of one call: they are held by every task as one literal.
+MOST_RULES = 10_000
+
+
 def apply_rules(clauses: DataFrame, rules: DataFrame, docs: DataFrame) -> DataFrame:
     """Flags of given rules (rule_id, rule_ord, clause_type, required, forbidden, required_pattern, forbidden_pattern, if_missing) over
     clauses (doc, ord, clause_type, text): one per clause a rule hits, one per document that lacks the clause type of a rule with
-    if_missing. Rules are a parameter, a table as small as its author made it; it is left to the optimiser to broadcast it."""
-    hits = clauses.join(rules, "clause_type").filter(rule_hit(F.col("text"), F.col("required"), F.col("forbidden"), F.col("required_pattern"), F.col("forbidden_pattern")))
+    if_missing. Rules are a parameter of at most MOST_RULES rows (more raise ValueError), so they are broadcast. Types present are gathered
+    per document before the shuffle, and each document lists for itself what it lacks: no document meets another's rows."""
+    wanted = rules.filter("if_missing").select("clause_type", "rule_id", "rule_ord")
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    hits = clauses.join(F.broadcast(rules), "clause_type").filter(rule_hit(F.col("text"), F.col("required"), F.col("forbidden"), F.col("required_pattern"), F.col("forbidden_pattern")))
     flagged = hits.select("doc", "rule_id", "rule_ord", F.col("ord").cast("long").alias("ord"), F.substring("text", 1, 500).alias("clause_text"))
-    wanted = rules.filter("if_missing").select("rule_id", "rule_ord", "clause_type")
-    # each document has as many rows as rules, and only until the present types are taken out
-    absent = docs.select("doc", F.lit(1).alias("one")).distinct().join(wanted.withColumn("one", F.lit(1)), "one").join(clauses.select("doc", "clause_type").distinct(), ["doc", "clause_type"], "left_anti")
-    return flagged.unionByName(absent.select("doc", "rule_id", "rule_ord", F.lit(None).cast("long").alias("ord"), F.lit("").alias("clause_text")))
+    asked = wanted.collect()
+    if not asked:
+        return flagged
+    types = sorted({r["clause_type"] for r in asked if r["clause_type"] is not None})
+    # sets of at most as many types as the rules name
+    kinds = dict(wanted.dtypes)
+    present = clauses.filter(F.col("clause_type").isin(types)).groupBy("doc").agg(F.collect_set("clause_type").alias("present"))
+    listed = F.array(*(F.struct(F.lit(r["rule_id"]).cast(kinds["rule_id"]).alias("rule_id"), F.lit(r["rule_ord"]).cast(kinds["rule_ord"]).alias("rule_ord"), F.lit(r["clause_type"]).alias("clause_type")) for r in asked))
+    lacking = F.filter(listed, lambda r: F.coalesce(~F.array_contains(F.coalesce("present", F.array().cast("array<string>")), r["clause_type"]), F.lit(True)))
+    absent = docs.select("doc").distinct().join(present, "doc", "left").select("doc", F.explode(lacking).alias("r"))
+    return flagged.unionByName(absent.select("doc", "r.rule_id", "r.rule_ord", F.lit(None).cast("long").alias("ord"), F.lit("").alias("clause_text")))
 
 
 def inherit_rules(own: DataFrame, parent: DataFrame) -> DataFrame:

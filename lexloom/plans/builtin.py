@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.extraction import citations, clause_labels
-from lexloom.operators.privacy import detect, merge_spans
-from lexloom.plans.tasks import Provider, Registry, Task, complete, prompt
+from lexloom.functions.text import deadline_date
+from lexloom.operators.extraction import clause_labels, text_citations
+from lexloom.operators.privacy import merged_text
+from lexloom.plans.tasks import Provider, Registry, Task, append_columns, complete, prompt
 
 #: Characters of a document that a prompt may hold, by task (fixed values).
 PROMPT_CHARS = {"summarization": 12_000, "obligations": 12_000, "comparison": 8_000}
 
 
+def _kinds(text: str | None) -> tuple:
+    """The types of personal data of a text after merging, in alphabetical order."""
+    if text is None:
+        return (None,)
+    return (sorted({kind for _, _, kind in merged_text(text)}),)
+
+
 def pii_task() -> Task:
     """Adds the types of personal data found, and raises a public sensitivity to confidential where there are any."""
 
-    def run(docs: DataFrame) -> DataFrame:
-        kinds = merge_spans(detect(docs, "id", "full_text")).groupBy("doc").agg(F.array_sort(F.collect_set("entity")).alias("pii_types"))
-        j = docs.join(kinds.withColumnRenamed("doc", "id"), "id", "left").withColumn("pii_types", F.coalesce("pii_types", F.array().cast("array<string>")))
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        j = append_columns(docs, F.when(mine, F.coalesce("full_text", F.lit(""))), "pii_types array<string>", _kinds)
         if "sensitivity" in docs.columns:
             j = j.withColumn("sensitivity", F.when((F.size("pii_types") > 0) & (F.coalesce("sensitivity", F.lit("public")) == "public"), "confidential").otherwise(F.col("sensitivity")))
         return j
@@ -28,9 +37,10 @@ def pii_task() -> Task:
 
 def label_task(multi: bool = True) -> Task:
     """Adds the clause labels of a contract's text, or only the first."""
-    def run(docs: DataFrame) -> DataFrame:
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
         labels = F.coalesce(clause_labels(F.col("full_text")), F.array().cast("array<string>"))
-        return docs.withColumn("labels", labels if multi else F.slice(labels, 1, 1))
+        return docs.withColumn("labels", F.when(mine, labels if multi else F.slice(labels, 1, 1)))
 
     return Task("classification", run, ("contract",))
 
@@ -38,9 +48,8 @@ def label_task(multi: bool = True) -> Task:
 def citation_task() -> Task:
     """Adds the citations of a text in order."""
 
-    def run(docs: DataFrame) -> DataFrame:
-        c = citations(docs, "id", "full_text").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "raw_text"))), lambda x: x["raw_text"]).alias("citations"))
-        return docs.join(c.withColumnRenamed("doc", "id"), "id", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        return append_columns(docs, F.when(mine, F.coalesce("full_text", F.lit(""))), "citations array<string>", lambda t: (None if t is None else [c[0] for c in text_citations(t)],))
 
     return Task("citation", run, ("statute", "regulation", "case_opinion", "secondary", "contract", "pleading"))
 
@@ -48,21 +57,84 @@ def citation_task() -> Task:
 def model_task(task_id: str, template: str, provider: Provider, doc_types: tuple[str, ...] = ()) -> Task:
     """Sends the beginning of a text to a model and adds answer, error and whether the text was cut."""
 
-    def run(docs: DataFrame) -> DataFrame:
-        p, cut = prompt(template, F.col("full_text"), PROMPT_CHARS.get(task_id, 12_000))
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        p, cut = prompt(template, F.when(mine, F.col("full_text")), PROMPT_CHARS.get(task_id, 12_000))
         asked = complete(docs.select("*", p, cut), provider)
         return asked.drop("prompt").withColumnsRenamed({c: f"{task_id}_{c}" for c in ("answer", "error", "truncated")})
 
     return Task(task_id, run, doc_types, True)
 
 
-def default_registry(provider: Provider | None = None) -> Registry:
+def comparison_task(provider: Provider, template: str = "Compare these two versions:\n") -> Task:
+    """Sends the beginnings of a text and of its other version (column other_text) to a model."""
+    most = PROMPT_CHARS["comparison"]
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        a, b = (F.when(mine, F.substring(c, 1, most)) for c in ("full_text", "other_text"))
+        asked = complete(docs.select("*", F.concat(F.lit(template), a, F.lit("\n---\n"), b).alias("prompt"), F.when(mine, (F.length("full_text") > most) | (F.length("other_text") > most)).alias("truncated")), provider)
+        return asked.drop("prompt").withColumnsRenamed({c: f"comparison_{c}" for c in ("answer", "error", "truncated")})
+
+    return Task("comparison", run, needs_model=True)
+
+
+def timeline_task() -> Task:
+    """Adds the due date that a text's deadline (column deadline) resolves to from its effective_date, and whether it does."""
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        due = deadline_date(F.col("deadline"), F.col("effective_date"))
+        return docs.withColumns({"due_date": F.when(mine, due), "resolved": F.when(mine, due.isNotNull())})
+
+    return Task("timeline", run)
+
+
+def risk_task(severities: tuple[str, ...], least: str) -> Task:
+    """Keeps of a document's risks (array of struct<severity, ...>) those of at least a severity; ``severities`` go from low to high."""
+    keep = severities[severities.index(least) :]
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        return docs.withColumn("risks", F.when(mine, F.filter("risks", lambda r: r["severity"].isin(*keep))).otherwise(F.col("risks")))
+
+    return Task("risk_analysis", run)
+
+
+def names_task(recogniser: Callable[[str], list[str]]) -> Task:
+    """Adds the entities that a given recogniser names in a text, each once, in order."""
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        return append_columns(docs, F.when(mine, F.col("full_text")), "entities array<string>", lambda t: (None if t is None else list(dict.fromkeys(recogniser(t))),))
+
+    return Task("ner", run)
+
+
+#: Prompt templates with their versions; ``register_template`` adds newer ones.
+TEMPLATES: dict[tuple[str, int], str] = {("summarization", 1): "Summarise this document:\n", ("obligations", 1): "List the obligations in this document:\n", ("contract_extraction", 1): "List parties, dates and amounts of this contract as JSON:\n"}
+
+
+def register_template(task_id: str, version: int, text: str) -> None:
+    if (task_id, version) in TEMPLATES:
+        raise KeyError(f"{task_id} has a template of version {version} already")
+    TEMPLATES[(task_id, version)] = text
+
+
+def template(task_id: str, version: int | None = None) -> str:
+    """A task's template of a version, by default its newest."""
+    found = {v: t for (name, v), t in TEMPLATES.items() if name == task_id}
+    if not found or (version is not None and version not in found):
+        raise KeyError(f"no template {version if version is not None else ''} for {task_id}")
+    return found[max(found) if version is None else version]
+
+
+def default_registry(provider: Provider | None = None, recogniser: Callable[[str], list[str]] | None = None) -> Registry:
     r = Registry()
-    for make in (pii_task, label_task, citation_task):
+    for make in (pii_task, label_task, citation_task, timeline_task):
         r.register(make().task_id, make)
+    r.register("risk_analysis", lambda: risk_task(("low", "medium", "high", "critical"), "low"))
+    if recogniser is not None:
+        r.register("ner", lambda: names_task(recogniser))
     if provider is not None:
-        for name, ask in (("summarization", "Summarise this document:\n"), ("obligations", "List the obligations in this document:\n"), ("comparison", "Compare with the other version:\n")):
-            r.register(name, lambda n=name, a=ask: model_task(n, a, provider))
+        for name in ("summarization", "obligations", "contract_extraction"):
+            r.register(name, lambda n=name: model_task(n, template(n), provider))
+        r.register("comparison", lambda: comparison_task(provider))
     return r
 
 

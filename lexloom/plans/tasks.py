@@ -8,10 +8,13 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexloom.operators.privacy import gate
+from lexloom.operators.privacy import may_see
+from lexloom.plans.runtime import materialize
 
 
 class Provider(Protocol):
@@ -37,40 +40,58 @@ class Scripted:
 
 @dataclass
 class Task:
-    """A transformation of documents (doc_type, route, ...), for some types of documents, perhaps with a model."""
+    """New columns of documents (doc_type, route, ...), for some types of documents, perhaps with a model.
+
+    ``run(docs, mine)`` returns all rows of ``docs`` in one pass over them, with the new columns null where ``mine`` is false."""
 
     task_id: str
-    run: Callable[[DataFrame], DataFrame]
+    run: Callable[[DataFrame, Column], DataFrame]
     doc_types: tuple[str, ...] = ()
     needs_model: bool = False
 
+    def supports(self) -> Column:
+        return F.coalesce(F.col("doc_type").isin(*self.doc_types), F.lit(False)) if self.doc_types else F.lit(True)
+
 
 @dataclass
 class Pipeline:
-    """Tasks in order. A row that a task doesn't support passes by it unchanged; for a task with a model only rows that the
-    provider may see are given to it."""
+    """Tasks in order, each one step of one plan: n tasks scan the documents once. A row that a task doesn't support gets nulls; for a
+    task with a model only rows that the provider may see are given to it, the others are noted in ``task_errors``."""
 
     tasks: list[Task]
     provider_is_local: bool = True
-    plans: list[tuple[str, float]] = field(default_factory=list)
+    timings: dict[str, float] = field(default_factory=dict)
 
-    def __call__(self, docs: DataFrame) -> DataFrame:
+    def __call__(self, docs: DataFrame, measure: bool = False) -> DataFrame:
+        """With ``measure`` each task's result is written before the next one begins, and ``timings`` has its seconds."""
+        docs = docs.withColumn("task_errors", F.array().cast("array<string>"))
         for t in self.tasks:
             began = time.perf_counter()
-            mine = F.col("doc_type").isin(*t.doc_types) if t.doc_types else F.lit(True)
-            taken = docs.filter(F.coalesce(mine, F.lit(False)))
+            mine = t.supports()
             if t.needs_model and "route" in docs.columns:
-                allowed = gate(taken, "route", self.provider_is_local)
-                rest = docs.filter(~(F.coalesce(mine, F.lit(False)) & self._allowed()))
-                taken = allowed
-            else:
-                rest = docs.filter(~F.coalesce(mine, F.lit(False)))
-            docs = t.run(taken).unionByName(rest, allowMissingColumns=True)
-            self.plans.append((t.task_id, time.perf_counter() - began))
+                allowed = may_see(F.col("route"), self.provider_is_local)
+                docs = docs.withColumn("task_errors", F.when(mine & ~allowed, F.array_append("task_errors", F.lit(f"{t.task_id}: routing forbids this provider"))).otherwise(F.col("task_errors")))
+                mine = mine & allowed
+            docs = t.run(docs, mine)
+            if measure:
+                docs = materialize(docs, "task")
+                self.timings[t.task_id] = time.perf_counter() - began
         return docs
 
-    def _allowed(self):
-        return F.coalesce(F.col("route").isin("any", "local_only") if self.provider_is_local else F.col("route") == "any", F.lit(False))
+
+def append_columns(docs: DataFrame, text: Column, fields: str, make: Callable[[str | None], tuple]) -> DataFrame:
+    """All rows of ``docs`` with the columns ``fields`` ("name type, ...") that ``make`` computes from a text, in one pass of Arrow batches."""
+    names = [f.name for f in T.StructType.fromDDL(fields).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [make(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            cols = list(zip(*made, strict=True)) if made else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*b.schema.names[:-1], *names])
+
+    kinds = [f.type for f in to_arrow_schema(T.StructType.fromDDL(fields))]
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(fields).fields])
+    return docs.select("*", text.alias("_text_")).mapInArrow(run, schema)
 
 
 class Registry:
@@ -95,14 +116,14 @@ class Registry:
 
 
 def complete(prompts: DataFrame, provider: Provider, tries: int = 3) -> DataFrame:
-    """Prompts (..., prompt) with answer and error; a failing call leaves the first line of its error."""
+    """Prompts (..., prompt) with answer and error; a failing call leaves the first line of its error, a null prompt is not sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             answers, errors = [], []
             for p in b.column(b.schema.get_field_index("prompt")).to_pylist():
                 said, err = None, None
-                for _ in range(tries):
+                for _ in range(tries if p is not None else 0):
                     try:
                         said, err = provider.complete(p), None
                         break

@@ -68,7 +68,7 @@ def test_exports(spark, tmp_path):
     ev = spark.createDataFrame([("d", 1, datetime.date(2024, 5, 6), "Buyer; Co")], "doc string, ord int, due date, who string")
     ev = ev.withColumn("event", exports.ical_event(F.lit("u1"), F.col("due"), F.col("who"), F.lit("pay"), F.lit("1"), F.lit("soon"), F.lit(None)))
     cal = exports.ical(ev, "doc", "ord", "event").first().calendar
-    assert "DTSTART;VALUE=DATE:20240506" in cal and "SUMMARY:Buyer\; Co: pay" in cal and cal.endswith("END:VEVENT\r\nEND:VCALENDAR")
+    assert "DTSTART;VALUE=DATE:20240506" in cal and "SUMMARY:Buyer\\; Co: pay" in cal and cal.endswith("END:VEVENT\r\nEND:VCALENDAR")
 
 
 def test_audit_is_idempotent(spark, tmp_path):
@@ -95,8 +95,8 @@ def test_pipeline_shows_a_model_only_what_it_may_see(spark):
     docs = spark.createDataFrame([(1, "contract", "any", "open"), (2, "contract", "blocked", "secret"), (3, "memo", "any", "memo"), (4, "contract", "local_only", "local"), (5, None, None, "odd")], "id long, doc_type string, route string, text string")
     seen = Scripted(lambda p: p.upper())
 
-    def ask(d):
-        p, cut = prompt("Q: ", F.col("text"), 3)
+    def ask(d, mine):
+        p, cut = prompt("Q: ", F.when(mine, F.col("text")), 3)
         return complete(d.select("*", p, cut), seen).drop("error")
 
     reg = Registry()
