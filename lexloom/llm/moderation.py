@@ -4,14 +4,15 @@ Readers label documents, but what they object to is a passage. So documents are
 parts between commas), a passage's vector is the mean over its words, a word's vector the mean over its own
 row and the rows of its character n-grams, and a document scores as its worst passage. Training alternates: passages of
 documents labelled 1 start out as suspects, then only those the model itself rates highest stay positive, while
-passages that also occur in documents labelled 0 lose out.
+passages that also occur in documents labelled 0 lose out. Equal passages are trained on once, with the weight of all.
 
 Spelling tricks are undone before: accents, digits for letters, dots or blanks between letters.
 
 Labels: a document's label is the mean of its non-null labels (ties are left out). At most MAX_LABELLED documents fit the model,
-the ones with the smallest id hashes, and MAX_BACKGROUND unlabelled ones show what is ordinary: documented bounds, about
-10 MB of text on the driver. The threshold is the one
-with the best F1 on documents held out from training. Every document is scored, whole, single words too.
+the ones with the smallest id hashes: a documented bound on labelled rows, 3 MB of text. FOLDS models are trained side by side
+as Spark tasks, each without one part of the documents; the model is the mean of them (they are linear once trained), and each scores
+the part it has not seen. Then every document is scored, whole, single words too, and the threshold is set from these scores of all
+documents: the one with the best F1 if found documents are counted among all and found positives among the held-out ones.
 
 Defined results: null and empty texts score 0; without both kinds of label every document scores 0 and none is found;
 equal texts score alike; repeated rows (equal id) are scored alike; extra columns are ignored.
@@ -23,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.plans.runtime import materialize
+
 MAX_LABELLED = 3000
-MAX_BACKGROUND = 2000
-#: Share of unlabelled documents that is surely harmless.
+FOLDS = 5
+#: Share of documents labelled 0 whose worst passage is surely harmless.
 USUAL = 0.85
 BUCKETS = 1 << 18
 DIM = 8
@@ -40,6 +44,8 @@ STEPS = 40
 ROUNDS = 5
 DECAY = 1e-6
 RATES = (1.0, 0.1, 0.1)
+#: Steps of the score at which all documents are counted.
+BINS = 1000
 
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _MIXED = re.compile(r"[a-z0-9@$!|]*[a-z][a-z0-9@$!|]*[0-9@$][a-z0-9@$!|]*|[0-9@$]+[a-z][a-z0-9@$!|]*")
@@ -65,23 +71,24 @@ def plain_word(w: str) -> str:
     return w.translate(_LEET) if not w.isalpha() and not w.isdigit() and _MIXED.fullmatch(w) else ("0" if w.isdigit() else w)
 
 
-def passages(text: str, least: int = 1) -> list[list[str]]:
-    """Words of every sentence, and of every part of a sentence where it has several, if there are at least so many words."""
-    out = []
-    for s in _CUT.split(clean(text)):
-        words = [plain_word(w) for w in _WORD.findall(s)]
-        if len(words) < least:
-            continue
-        if _PART.search(s):
-            parts = [[plain_word(w) for w in _WORD.findall(p)] for p in _PART.split(s)]
-            parts = [p for p in parts if len(p) >= least]
-            out += parts
-            # a short sentence says something as a whole, too
-            if len(words) <= 16 or not parts:
-                out.append(words)
-        else:
-            out.append(words)
-    return out
+def sentences(text: str) -> list[str]:
+    return _CUT.split(clean(text))
+
+
+def sentence_passages(s: str) -> list[list[str]]:
+    """The words of a sentence, and of every part of it where it has several."""
+    words = [plain_word(w) for w in _WORD.findall(s)]
+    if not words:
+        return []
+    if not _PART.search(s):
+        return [words]
+    parts = [p for p in ([plain_word(w) for w in _WORD.findall(p)] for p in _PART.split(s)) if p]
+    # a short sentence says something as a whole, too
+    return [*parts, words] if len(words) <= 16 else parts
+
+
+def passages(text: str) -> list[list[str]]:
+    return [p for s in sentences(text) for p in sentence_passages(s)]
 
 
 @lru_cache(maxsize=300_000)
@@ -93,9 +100,10 @@ def rows_of(token: str) -> tuple[int, ...]:
 
 
 class Bags:
-    """Passages as index arrays: occurrences of tokens, and rows of tokens."""
+    """Distinct passages as index arrays: occurrences of tokens, and rows of tokens. ``of_passage`` and ``of_doc`` say which passage
+    stands in which document."""
 
-    def __init__(self, passages_: list[list[str]], doc_of: np.ndarray):
+    def __init__(self, passages_: list[tuple[str, ...]], of_passage: np.ndarray, of_doc: np.ndarray):
         ids: dict[str, int] = {}
         occ, lens = [], []
         for p in passages_:
@@ -116,7 +124,12 @@ class Bags:
         self.pass_start = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
         self.rstart = np.concatenate([[0], np.cumsum(self.rlens)[:-1]]).astype(np.int64)
         # rows seen in one document only are not trained: they would learn its names by heart
-        seen = np.unique(self.occ * (1 << 32) + doc_of[self.of])
+        order = np.argsort(of_passage, kind="stable")
+        first = np.searchsorted(of_passage[order], np.arange(self.n + 1))
+        seen = np.unique(self.occ * (1 << 32) + self.of)
+        token, where = seen >> 32, seen & 0xFFFFFFFF
+        docs = first[where + 1] - first[where]
+        seen = np.unique(np.repeat(token, docs) * (1 << 32) + of_doc[order][_repeat_ranges(first[where], docs)])
         token, doc = seen >> 32, seen & 0xFFFFFFFF
         count = self.rlens.astype(np.int64)[token]
         pair = np.unique(self.row[_repeat_ranges(self.rstart[token], count)] * (1 << 32) + np.repeat(doc, count))
@@ -169,10 +182,10 @@ class Model:
     """The trained model reduced to one number per hash row: what a row adds to a passage's log odds."""
 
     def __init__(self, rows: np.ndarray, bias: float):
-        self.rows, self.bias, self.cache = rows, bias, {}
+        self.rows, self.bias, self.cache, self.said = rows, bias, {}, {}
 
     def __getstate__(self):
-        return {"rows": self.rows, "bias": self.bias, "cache": {}}
+        return {"rows": self.rows, "bias": self.bias, "cache": {}, "said": {}}
 
     def _token(self, t: str) -> float:
         r = self.cache.get(t)
@@ -182,110 +195,151 @@ class Model:
             r = self.cache[t] = float(np.mean(self.rows[list(rows_of(t))]))
         return r
 
+    def _worst(self, sentence: str) -> tuple[float, list[str] | None]:
+        """(log odds, words) of a sentence's worst passage; sentences come again and again, so they are remembered."""
+        found = self.said.get(sentence)
+        if found is None:
+            found = (-np.inf, None)
+            for p in sentence_passages(sentence):
+                z = sum(map(self._token, p)) / (len(p) + 1) + self.bias
+                if z > found[0]:
+                    found = (z, p)
+            if len(self.said) > 200_000:
+                self.said.clear()
+            self.said[sentence] = found
+        return found
+
     def score(self, text: str | None) -> tuple[float, str | None]:
         """(probability that the worst passage is abusive, that passage)."""
-        worst, said = -np.inf, None
-        for p in passages(text or ""):
-            s = sum(map(self._token, p)) / (len(p) + 1) + self.bias
-            if s > worst:
-                worst, said = s, p
+        worst, said = max((self._worst(s) for s in sentences(text or "")), key=lambda f: f[0], default=(-np.inf, None))
         return (0.0, None) if said is None else (float(1 / (1 + np.exp(-np.clip(worst, -30, 30)))), " ".join(said))
 
 
-def fit(texts: list[str], labels: list[float], background: list[str] = (), seed: int = 0) -> Model:
-    """Multiple-instance training from documents and their mean labels, and unlabelled documents as background."""
-    # headings and list items of one word would drown the rest here, so the model learns words from passages of two and more
-    per_doc = [passages(t, 2) for t in [*texts, *background]]
-    doc_of = np.repeat(np.arange(len(per_doc)), [len(p) for p in per_doc])
-    flat = [p for ps in per_doc for p in ps]
-    y = np.concatenate([np.asarray(labels, float) > 0.5, np.zeros(len(background), bool)])
-    if not flat or y[: len(labels)].all() or not y.any():
+def fit(texts: list[str], labels: list[float], seed: int = 0) -> Model:
+    """Multiple-instance training from documents and their mean labels."""
+    ids: dict[tuple[str, ...], int] = {}
+    uid, doc = [], []
+    for d, t in enumerate(texts):
+        for p in passages(t):
+            uid.append(ids.setdefault(tuple(p), len(ids)))
+            doc.append(d)
+    uid, doc, y = np.array(uid, np.int64), np.array(doc, np.int64), np.asarray(labels, float) > 0.5
+    if not len(uid) or y.all() or not y.any():
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
-    b = Bags(flat, doc_of)
-    bad, unknown = y[doc_of], doc_of >= len(labels)
-    share = 1.0 / np.bincount(doc_of, minlength=len(per_doc))[doc_of]
-
-    def balanced(positive: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Weights by documents: a harmless document says of each of its passages that it is harmless."""
-        out = np.zeros(len(w))
-        for group in (positive, ~positive & ~unknown, ~positive & unknown):
-            out[group] = w[group] / max(1, len(np.unique(doc_of[group])))
-        return out
-
-    model = train(b, bad.astype(float), balanced(bad, share), None, STEPS, seed)
+    b = Bags(list(ids), uid, doc)
+    bad = y[doc]
+    share = 1.0 / np.bincount(doc, minlength=len(texts))[doc]
+
+    def learn(positive: np.ndarray, w: np.ndarray, start: tuple | None) -> tuple:
+        """Weights by documents: a harmless document says of each of its passages that it is harmless. A passage's target is the
+        weighted mean over its occurrences."""
+        each = np.zeros(len(w))
+        for group in (positive, ~positive):
+            each[group] = w[group] / max(1, len(np.unique(doc[group])))
+        whole = np.bincount(uid, each, minlength=b.n)
+        return train(b, np.bincount(uid, np.where(positive, each, 0.0), minlength=b.n) / whole, whole, start, STEPS, seed)
+
+    model = learn(bad, share, None)
     for _ in range(ROUNDS):
-        z = passage_logits(b, model)
-        best = np.full(len(per_doc), -np.inf)
-        np.maximum.at(best, doc_of, z)
-        # in a document labelled 1: passages that are worse than the worst ones of most unlabelled documents (readers err,
-        # so some documents have none); the rest counts as harmless, but less surely. Background passages that look bad
-        # say nothing.
-        usual = best[len(labels) :]
-        usual = usual[np.isfinite(usual)]
+        z = passage_logits(b, model)[uid]
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, doc, z)
+        # in a document labelled 1: passages that are worse than the worst ones of most documents labelled 0 (readers err, so
+        # some documents have none); the rest counts as harmless, but less surely
+        usual = best[~y & np.isfinite(best)]
         least = max(0.0, float(np.quantile(usual, USUAL))) if len(usual) else 0.0
-        chosen = bad & (z >= least) & (z >= 0.5 * best[doc_of])
+        chosen = bad & (z >= least) & (z >= 0.5 * best[doc])
         if not chosen.any():
             break
-        w = np.where(chosen, 1.0, np.where(bad, 0.3, np.where(unknown & (z > least), 0.05, 1.0)))
-        model = train(b, chosen.astype(float), balanced(chosen, w), model, STEPS, seed)
+        model = learn(chosen, np.where(bad & ~chosen, 0.3, 1.0), model)
     e, w, bias = model
     rows = np.zeros(BUCKETS, np.float32)
     rows[b.used] = e @ (w[:, 1] - w[:, 0])
     return Model(rows, float(bias[1] - bias[0]))
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The score with the best F1; between neighbours the middle."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    k = int(np.argmax(f1))
-    low = scores[order[k]]
-    nxt = scores[order[k + 1]] if k + 1 < len(y) else 0.0
-    return float((low + nxt) / 2)
+class Fitted(NamedTuple):
+    """The mean model, and held-out scores and labels of the documents it was fitted on."""
 
+    model: Model
+    scores: np.ndarray
+    labels: np.ndarray
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int = MAX_LABELLED, max_background: int = MAX_BACKGROUND) -> tuple[Model, float]:
-    """Model and threshold from a bounded sample of labelled documents."""
+
+def _fit_fold(t: pa.Table) -> pa.Table:
+    """One model, trained without the documents of its fold, and the scores of those."""
+    fold = t["fold"][0].as_py()
+    rows = sorted(zip(t["doc"].to_pylist(), t["body"].to_pylist(), t["y"].to_pylist(), t["part"].to_pylist(), strict=True), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), str(r[0])))
+    seen = [r for r in rows if r[3] != fold]
+    model = fit([r[1] for r in seen], [r[2] for r in seen])
+    held = [r for r in rows if r[3] == fold]
+    return pa.table(
+        {
+            "rows": pa.array([model.rows.astype(np.float32).tobytes()], pa.binary()),
+            "bias": pa.array([model.bias], pa.float64()),
+            "scores": pa.array([[model.score(r[1])[0] for r in held]], pa.list_(pa.float64())),
+            "labels": pa.array([[r[2] for r in held]], pa.list_(pa.float64())),
+        }
+    )
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "abusive", max_labelled: int = MAX_LABELLED) -> Fitted | None:
+    """A model from a bounded sample of labelled documents, trained in FOLDS tasks; None without both kinds of label. The driver gets
+    FOLDS models of 1 MB and at most ``max_labelled`` scores."""
     votes = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     chosen = votes.filter("y <> 0.5").orderBy(F.xxhash64("doc"), "doc").limit(max_labelled)
     # at most max_labelled rows, so the broadcast is bounded
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "doc").filter("body is not null").select("doc", "y", "body").toArrow()
-    order = np.argsort([xxhash.xxh64_intdigest(str(d)) for d in texts["doc"].to_pylist()], kind="stable")
-    body, y = [texts["body"][int(i)].as_py() for i in order], np.array([texts["y"][int(i)].as_py() for i in order])
-    if len(y) < 4 or (y > 0.5).all() or not (y > 0.5).any():
-        return Model(np.zeros(BUCKETS, np.float32), -30.0), 1.1
-    rest = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).filter("body is not null and body <> ''")
-    # the first by hash: the same documents on every run; a bound on the hash leaves about four times as many to sort
-    upto = min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 4 * max_background / max(1, docs.count())) * (1 << 64)))
-    ordered = rest.withColumn("h", F.xxhash64("doc", F.lit(9))).filter(F.col("h") <= upto).orderBy("h", "doc").limit(max_background).select("doc", "body").toArrow()
-    labelled = set(texts["doc"].to_pylist())
-    background = [t for d, t in zip(ordered["doc"].to_pylist(), ordered["body"].to_pylist(), strict=True) if d not in labelled]
-    # a third of the documents is held out once to choose the threshold; then all of them train
-    out = np.arange(len(y)) % 3 == 0
-    m = fit([t for t, k in zip(body, out, strict=True) if not k], list(y[~out]), background)
-    held = np.array([m.score(body[i])[0] for i in np.flatnonzero(out)])
-    # few labels tell little about low scores, so they can't lower the threshold much
-    low = 0.15 + 0.35 * min(1.0, 20 / max(1, int((y > 0.5).sum())))
-    return fit(body, list(y), background), min(0.9, max(low, best_threshold(held, (y[out] > 0.5).astype(float))))
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "abusive", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, score, abusive, passage) for every document: its worst passage's probability and whether it passes the threshold."""
-    model, threshold = fit_labelled(docs, labels, id_col, text_col, label_col)
-    # one number for each of the 2^18 hash rows: 1 MB
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("body")).filter("body is not null").join(F.broadcast(chosen), "doc").dropDuplicates(["doc"])
+    texts = materialize(texts.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(FOLDS)).cast("int")), "labelled")
+    kinds = texts.agg(F.count_if(F.col("y") > 0.5).alias("bad"), F.count_if(F.col("y") < 0.5).alias("good")).first()
+    if kinds["bad"] < 2 or kinds["good"] < 2:
+        return None
+    folds = texts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).repartition(FOLDS, "fold")
+    got = folds.groupBy("fold").applyInArrow(_fit_fold, "rows binary, bias double, scores array<double>, labels array<double>").toArrow()
+    rows = np.mean([np.frombuffer(r.as_py(), np.float32) for r in got["rows"]], axis=0)
+    flat = lambda c: np.array([x for r in got[c].to_pylist() for x in r])
+    return Fitted(Model(rows.astype(np.float32), float(np.mean(got["bias"].to_numpy()))), flat("scores"), (flat("labels") > 0.5).astype(float))
+
+
+def choose_threshold(scores: np.ndarray, y: np.ndarray, counts: np.ndarray) -> float:
+    """The threshold with the best F1 over all documents, of which ``counts`` says how many score in each of its equal steps.
+
+    Held-out labelled documents are no random sample, so they only tell which share of the positives a threshold finds. How many
+    positives that are among all documents follows from the score that half of the labelled positives reach: of all documents above
+    it the part that its labelled ones confirm is positive."""
+    bins = len(counts)
+    above = counts[::-1].cumsum()[::-1].astype(float)  # documents in step k and higher
+    step = np.minimum((scores * bins).astype(int), bins - 1)
+    found = np.bincount(step[y > 0], minlength=bins)[::-1].cumsum()[::-1] / max(1.0, y.sum())
+    half = int(np.flatnonzero(found >= 0.5)[-1])
+    sure = y[step >= half].mean() * above[half] / found[half]
+    f1 = 2 * sure * found / (sure + np.maximum(above, sure * found))
+    best = np.flatnonzero(f1 >= f1[1:].max() - 1e-12)
+    return float(best[best > 0][-1]) / bins
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "abusive", keep: tuple[str, ...] = (), fitted: Fitted | None = None) -> DataFrame:
+    """(id, *keep, score, is_abusive, passage) for every document: its worst passage's probability and whether it passes the threshold.
+    ``fitted`` is what ``fit_labelled`` gave, if it ran before. Every text is read once; the threshold is set from the scores."""
+    fitted = fitted or fit_labelled(docs, labels, id_col, text_col, label_col)
     types = dict(docs.dtypes)
+    if fitted is None:
+        none = F.lit(None).cast("string")
+        return docs.select(id_col, *keep, F.lit(0.0).alias("score"), F.lit(False).alias("is_abusive"), none.alias("passage"))
+    # one number for each of the 2^18 hash rows: 1 MB
+    held = docs.sparkSession.sparkContext.broadcast(fitted.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             found = [m.score(t.as_py()) for t in b.column(0)]
-            score = [s for s, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(score, pa.float64()), pa.array([s >= threshold for s in score], pa.bool_()), pa.array([p for _, p in found], pa.string())],
-                names=[id_col, *keep, "score", "is_abusive", "passage"],
-            )
-
-    schema = ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)] + ["score double, is_abusive boolean, passage string"])
-    return docs.select(F.col(text_col).cast("string"), id_col, *keep).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], pa.string())], names=[id_col, *keep, "score", "passage"])
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)] + ["score double, passage string"])
+    scored = materialize(docs.select(F.col(text_col).cast("string"), id_col, *keep).mapInArrow(run, schema), "scored")
+    counts = np.zeros(BINS, np.int64)
+    # at most BINS rows
+    for r in scored.groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("step")).count().collect():
+        counts[r["step"]] = r["count"]
+    threshold = choose_threshold(fitted.scores, fitted.labels, counts)
+    return scored.select(id_col, *keep, "score", (F.col("score") >= threshold).alias("is_abusive"), "passage")

@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.mixing import source_key
-from lexloom.llm.moderation import score_documents
+from lexloom.llm.moderation import fit_labelled, score_documents
 from lexloom.session import table
 
 
+_fitted: dict = {}
+
+
+def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame):
+    """The model of these files, trained once in an application."""
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()), *sorted(labels.inputFiles()))
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = fit_labelled(docs, labels)
+    return _fitted[key]
+
+
 def _scored(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"), keep=keep)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels")
+    return score_documents(docs, labels, keep=keep, fitted=_fit(spark, docs, labels))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +45,16 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall against the labels of documents that each fold's model has not seen, at each tenth of the score."""
+    fitted = _fit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+    rows = []
+    for k in range(1, 10) if fitted else ():
+        hit = fitted.scores >= k / 10
+        both = float(fitted.labels[hit].sum())
+        rows.append((k / 10, len(hit), int(fitted.labels.sum()), int(hit.sum()), both / max(1, int(hit.sum())), both / max(1.0, float(fitted.labels.sum()))))
+    return spark.createDataFrame(rows, "score double, documents int, positive int, found int, precision double, recall double")
+
+
+QUERIES = {"p9_quality": p9_quality, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}

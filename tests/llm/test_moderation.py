@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lexloom.llm.moderation import best_threshold, clean, fit, passages, score_documents
+from lexloom.llm.moderation import choose_threshold, clean, fit, passages, score_documents
 
 BAD = ["you are a filthy idiot", "shut up you stupid cretin", "what a useless idiot", "those stupid rats must be driven out"]
 GOOD = ["the tenant shall pay the rent", "the court dismissed the claim with costs", "the filthy filter was replaced", "the notice period runs for two months", "each party bears its own costs", "the seller delivers the goods"]
@@ -28,13 +28,14 @@ def test_tricks_are_undone():
 
 def test_held_out_accuracy_with_noise():
     docs, y = corpus(300, 1)
-    model = fit(docs, y, corpus(200, 3)[0])
+    model = fit(docs, y)
 
     def scored(seed):
         test, _ = corpus(300, seed)
         return np.array([model.score(d)[0] for d in test]), np.array([any(b.capitalize() in d for b in BAD) for d in test])
 
-    threshold = best_threshold(*(x.astype(float) for x in scored(5)))
+    held, known = scored(5)
+    threshold = choose_threshold(held, known.astype(float), np.histogram(scored(3)[0], 1000, (0, 1))[0])
     scores, truth = scored(2)
     assert ((scores >= threshold) == truth).mean() > 0.95
     assert model.score("YOU STUP1D IDI0T go away.")[0] > model.score("The tenant shall pay.")[0]
@@ -42,7 +43,13 @@ def test_held_out_accuracy_with_noise():
 
 
 def test_threshold():
-    assert best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == 0.55
+    counts = np.zeros(10, int)
+    counts[[0, 1, 2, 8, 9]] = [800, 90, 10, 5, 45]
+    # of all documents 50 score like the labelled positives, 10 lie between
+    t = choose_threshold(np.array([0.95, 0.95, 0.82, 0.3, 0.1]), np.array([1.0, 1, 1, 0, 0]), counts)
+    assert 0.3 <= t <= 0.8
+    # without anything between the labels' sides the threshold excludes the low ones all the same
+    assert choose_threshold(np.array([0.95, 0.05]), np.array([1.0, 0.0]), np.array([90, 0, 0, 0, 0, 0, 0, 0, 0, 10])) == 0.9
 
 
 def test_frame(spark):
@@ -60,6 +67,6 @@ def test_single_words_are_scored():
     long = " ".join(["word"] * 20)
     assert ["idiot"] in passages("The rent is due. Idiot! Pay it.") and ["idiot"] in passages(f'{long}, "idiot", {long}')
     docs, y = corpus(300, 1)
-    model = fit(docs, y, corpus(200, 3)[0])
+    model = fit(docs, y)
     alone = "The tenant shall pay the rent."
     assert model.score(f"{alone} Idiot!")[0] > model.score(alone)[0] and model.score(f"{alone} Idiot!")[1] == "idiot"
