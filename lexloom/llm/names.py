@@ -72,22 +72,17 @@ FULL_OF: dict[str, frozenset[str]] = {}
 for _full, _short in SHORT_FORMS.items():
     for _name in (_full, *_short.split()):
         FULL_OF[_name] = FULL_OF.get(_name, frozenset()) | {_full}
-#: Further common given names (English, German, French, Spanish, Italian), for the search in texts only.
+#: Further common given names (English, German, French, Spanish, Italian and others). They are weak evidence only:
+#: the search in texts finds names in no table by their shape and the words around them.
 COMMON = frozenset(
-    """adele adrian adriana agnes alberto alejandra alejandro alessandro alessia alfonso alfred alice alicia alison amanda amelia amelie andrea andreas
-    angela angelika angelo annika antoine antonia antonio arnaud arthur astrid aurelie barbara beatrice beatriz benedikt bernard bernd bettina bianca
-    bjorn bradley brenda brigitte bruno camille carla carlos carmen carolina caroline catalina cecilia cecile charlotte chiara christian christiane
-    christophe christopher claire claudia claudio clemens corinne cristina cynthia damien daniela danielle deborah denise diana diego dieter dietrich
-    dominik dominique donald donna dorothee douglas duncan eduardo eleanor elena elisabeth elise emily emilia emilio emma emmanuel enrico enrique
-    erika ernst esteban esther etienne eugenia evelyn fabian fabio fatima federico felipe felix ferdinand fernando florian francesca francesco francois
-    francoise franziska frederick gerard gerhard gertrud giovanni giulia giuseppe gonzalo gregory guillaume guillermo gunther gustavo hannah harold
-    harriet heather hector heike heinrich heinz helen helena helene helmut henri henriette herbert hermann hugo irene isabel isabella jacques janet
-    jasmin javier jeanne jeffrey jennifer jeremy jessica joachim joanna jonas jonathan jorge joshua juan juergen julia julian juliane julien julio
-    juliette jurgen karen karin katharina katja kenneth kevin klaus konrad kristina laura laurence laurent leonardo leonie linda lorenzo louise lucas
-    lucia lucie ludwig luisa lukas magdalena manfred manuela marcel marcela marco marcus margarita mariana marianne mario marion markus martha martin
-    martina mathilde matteo matthias mauricio melanie melissa miguel monica monika monique nadia nadine nancy natalia natalie nicholas nicolas nicole
-    nikolaus norbert oliver olivier pablo pamela paolo pascal patrick paula pauline philip philipp philippe rachel rafael rainer ralph ramon raphael
-    rebecca reinhard ricardo roberto rodrigo roger roland rolf rosemary rudolf ruediger russell ruth sabine salvatore samantha sandra santiago sarah
-    sebastian sergio sharon silvia simon simone sophia stefan stefanie stefano stephanie steven susan susanne sylvia sylvie tatiana thierry timothy
-    ulrich ulrike ursula valentina valerie vanessa vera veronica veronika vincent virginie walter werner wolfgang xavier yolanda yvonne""".split()
+    """adrian adriana ahmed alejandro alessandro alfred ali alice alicia amanda amelia andrea andreas angela angelo antoine antonio arthur astrid
+    barbara beatrice beatriz bernard brenda bruno camille carla carlos carmen carolina caroline cecilia charlotte chen christian christopher claire
+    claudia claudio cristina daniela deborah denise diana diego dieter dominique donald eduardo elena elisabeth emily emma enrico enrique erika ernst
+    eva fatima felipe felix fernando florian francesca francesco francois frank franziska gerhard giovanni giulia giuseppe gregory guillaume hannah
+    hans hassan heike heinrich helen helene helmut herbert hugo ibrahim isabel jacques jan janet javier jean jennifer jessica joan jonas jonathan jorge
+    joshua juan julia julian karen karin kenneth kevin klaus laura laurent linda louis louise lucas lucia luigi luis lukas manuel marco marcus marie mario
+    mark marta martin mary matteo matthias melissa miguel mohammed monica monika muhammad nadia nancy natalia nicholas nicolas nicole olga oliver olivier
+    pablo paolo pascal patrick paul paula pedro philip philippe rachel rafael rebecca ricardo roberto roland ruth sabine samantha sandra sarah
+    sebastian sergio silvia simon simone stefan stephanie steven susanne sylvie thierry timothy ursula valentina veronica vincent walter wei
+    werner wolfgang yvonne""".split()
 )

@@ -2,13 +2,14 @@
 
 Every text is scanned whole. Before scanning it is folded character by character (full-width forms, dashes, spaces), and
 invisible format characters are left out with a map back, so offsets are those of the given text. Patterns propose spans;
-number plans and checksums (Luhn, mod 97) raise or lower a proposal's score, words nearby do so too, and spans of a score of
-0.5 or more are accepted. Where accepted spans overlap, e-mail addresses come before street addresses, identity numbers,
+number plans raise or lower a proposal's score, words nearby do so too, and spans of a score of 0.5 or more are accepted. Checksums
+decide where context does not: the key of a French number (mod 97), the letter of a Spanish one (mod 23) and Luhn digits where words
+nearby speak both for and against a person; a valid IBAN (mod 97) or card number (Luhn) is no telephone or identity number. Where accepted spans overlap, e-mail addresses come before street addresses, identity numbers,
 phone numbers and names.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows are scanned alike; extra
 columns are passed over. Names are found by known given names, by titles, by initials and, whatever the given name, behind words
-that announce one; a lone surname is not.
+that announce one, before words that say what only persons do, and joined by 'and' to a name so found; a lone surname is not.
 """
 
 from __future__ import annotations
@@ -62,14 +63,17 @@ def fold(text: str) -> tuple[str, list[int] | None]:
 # ---- e-mail -------------------------------------------------------------------------------------------------------
 
 _AT = re.compile(r"@|\s?[\[(]\s?at\s?[\])]\s?", re.I)
-_LOCAL = re.compile(r"[\w.+%'-]*\w$")
+_LOCAL = re.compile(r"[\w.+%'-]*\w")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[^\W\d_]{2,}", re.I)
 
 
 def emails(t: str) -> Iterator[Span]:
     for m in _AT.finditer(t):
-        left = _LOCAL.search(t, max(0, m.start() - 100), m.start())
-        right = _DOMAIN.match(t, m.end(), m.end() + 200)
+        at = m.start()
+        while at and (t[at - 1].isalnum() or t[at - 1] in "_.+%'-"):
+            at -= 1
+        left = _LOCAL.fullmatch(t, at, m.start())
+        right = _DOMAIN.match(t, m.end())
         if left and right:
             start = left.start()
             while start < left.end() and t[start] in ".'-+%":
@@ -108,11 +112,17 @@ _CALL = re.compile(r"tel|phone|call|fax|ring|reach|number is|mobile|dial|erreich
 _FILE = re.compile(r"\b(?:file|build|version|lot|docket|invoice|policy|bundle|pages?|case|item|factura|facture|rechnung|rôle|rollo|expediente|aktenzeichen|compan(?:y|ies)|register(?:ed)?|numéro|société|sociedad|gesellschaft|hrb|ref|reference|order|account|iban|usd|eur|gbp)\b\.?(?: (?:no|number|nr|n°)\b\.?)?[ :#]*$", re.I)
 _COMPANY = re.compile(r"\b(?:compan(?:y|ies)|société|sociedad|gesellschaft|rcs|hrb|siren|invoice|policy)\b[^.;\n]{0,60}$", re.I)
 _PERSONAL = re.compile(
-    r"passport|passeport|pasaporte|reisepass|licen[cs]e|führerschein|permis|tax file|steuer|social security|ssn|national id|\bid\b|\bdni\b|\bnie\b|\bnif\b|ausweis|identi|holder number|personennummer|personal|personnel|number is|contact data|\bnino\b|sozialversicherung|sécurité sociale|titulaire|inhaber|taxpayer",
+    r"passport|passeport|pasaporte|\bdocumento\b|reisepass|licen[cs]e|führerschein|permis|tax file|steuer|social security|ssn|national id|\bid\b|\bdni\b|\bnie\b|\bnif\b|ausweis|identi|holder number|personennummer|personal|personnel|number is|contact data|\bnino\b|sozialversicherung|sécurité sociale|titulaire|inhaber|taxpayer",
     re.I,
 )
 
 
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+_RUN_LEFT = re.compile(r"[\d -]*$")
+_RUN_RIGHT = re.compile(r"[\d -]*")
+_NIE = str.maketrans("XYZ", "012")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -125,6 +135,27 @@ def mod97(body: str, key: str) -> bool:
     return 97 - int(body) % 97 == int(key)
 
 
+def iban(s: str) -> bool:
+    """Whether the check digits of an account number hold."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def spanish_letter(s: str) -> bool:
+    """Whether the last letter of a national or foreigner's number follows from its digits."""
+    digits = re.sub(r"\D", "", s[0].translate(_NIE) + s[1:])
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1]
+
+
+def _card(t: str, start: int, end: int) -> bool:
+    """Whether a span lies in a row of 13 to 19 digits in groups that is a valid card number."""
+    left, right = _RUN_LEFT.search(t, max(0, start - 24), start), _RUN_RIGHT.match(t, end, end + 24)
+    if not t[start].isdigit() or t[max(0, left.start() - 1) : left.start()] in ("+", "("):
+        return False
+    digits = re.sub(r"\D", "", t[left.start() : right.end()])
+    return 13 <= len(digits) <= 19 and digits[0] in "3456" and luhn(digits)
+
+
 def _phone_score(s: str, left: str) -> float:
     digits = re.sub(r"\D", "", s)
     if not 8 <= len(digits) <= 15:
@@ -150,27 +181,27 @@ def _id_score(s: str, left: str) -> float:
         score += 0.25
     if len(digits) == 15:
         score += 0.3 if mod97(digits[:13], digits[13:]) else -0.2
-    if re.fullmatch(r"\d{8}\W{0,2}[A-Z]", s) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1]:
-        score += 0.2
-    if len(digits) in (9, 11) and not lettered and luhn(digits):
-        score += 0.05
-    if _PERSONAL.search(left):
+    if re.fullmatch(r"\d{8}\W{0,2}[A-Z]|[XYZ]\W?\d{7}\W?[A-Z]", s):
+        score += 0.2 if spanish_letter(s) else -0.2
+    personal = bool(_PERSONAL.search(left))
+    against = 0.5 * (bool(_FILE.search(left)) and not re.search(r"tax file[ :]*$|order n", left, re.I)) + 0.4 * bool(_COMPANY.search(left))
+    if personal:
         score += 0.4
-    if _FILE.search(left) and not re.search(r"tax file[ :]*$|order n", left, re.I):
-        score -= 0.5
-    if _COMPANY.search(left):
-        score -= 0.4
-    return score
+        if against and len(digits) in (9, 11) and not lettered and luhn(digits):
+            score += against - 0.2  # both kinds of words are near: the check digit decides
+    return score - against
 
 
 def numbers(t: str) -> Iterator[Span]:
+    accounts = [m.span() for m in _IBAN.finditer(t) if iban(m.group())]
+    free = lambda a, b: not any(x < b and a < y for x, y in accounts) and not _card(t, a, b)
     for m in _PHONE.finditer(t):
         score = _phone_score(m.group(), t[max(0, m.start() - 40) : m.start()])
-        if score >= THRESHOLD:
+        if score >= THRESHOLD and free(m.start(), m.end()):
             yield Span(m.start(), m.end(), "PHONE", min(1.0, score))
     for m in _ID.finditer(t):
         score = _id_score(m.group(), t[max(0, m.start() - 110) : m.start()])
-        if score >= THRESHOLD:
+        if score >= THRESHOLD and free(m.start(), m.end()):
             yield Span(m.start(), m.end(), "ID_NUMBER", min(1.0, score))
 
 
@@ -258,6 +289,67 @@ _NO_NAME = _NOT_SURNAME | frozenset(
     parteien beide beiden partei parties vertrag gericht bundesrepublik stadt land ambas partes deux direction direktor geschaftsfuhrer vorstand abteilung directeur directrice gerente""".split()
 )
 
+#: Words (lower case, without accents) that say of the name before them what only persons do or are, and such as weakly do.
+_DOES = tuple(
+    """testified;was born;born on;born in;resides;residing;who resides;lives at;lives in;lived at;swore;deposed;died on;died in;is married;aged;widow of;widower of;
+    a declare;ne le;nee le;nee a;demeurant;domicilie;domiciliee;demeure;a temoigne;epoux de;
+    geboren;wohnhaft;wohnt;sagte aus;verheiratet;
+    nacido en;nacida en;nacido el;nacida el;domiciliado;domiciliada;residente en;reside en;declaro""".replace("\n", "").split(";")
+)
+_MAY_DO = tuple("signed;agreed;told;wrote;said;countersigned;a signe;unterschrieb;unterzeichnete;firmo".split(";"))
+#: Words before a name that make one of a person likely.
+_CALLED = tuple("please contact;contact;call;ask for;speak to;speak with;write to;care of;son of;daughter of;mother of;father of;brother of;sister of;husband of".split(";"))
+#: Endings of given names in several languages, which make a capitalised word likelier to be one.
+_ENDINGS = ("ina", "ella", "elle", "ette", "etta", "ine", "anna", "bert", "fried", "helm", "slav", "mir", "ito", "ita", "isa", "ia", "iel", "ael", "eth", "ias", "ius", "ette", "endra", "esh", "ana", "ara")
+_SHAPE = rf"(?P<first>{_NAMED})(?:{_W}[A-ZÀ-Ý]\.)?{_W}(?:{_PARTICLE}{_W}){{0,2}}(?P<second>{_NAMED})"
+_NAME_BEFORE = re.compile(rf"(?<![\w'-]){_SHAPE},?{_W}?$")
+_NAME_BEHIND = re.compile(rf"{_W}{_SHAPE}(?![\w'-]| ?&)")
+_JOINED_LEFT = re.compile(rf"(?<![\w'-]){_SHAPE}{_W}(?:and|und|et|y|e|or|oder|ou|o){_W}$")
+_JOINED_RIGHT = re.compile(rf"{_W}(?:and|und|et|y|e|or|oder|ou|o){_W}{_SHAPE}(?![\w'-]| ?&)")
+#: Capitalised words of offices and things that are contacted, sign or agree, beside those that are no name anywhere.
+_NO_ACTOR = frozenset("support team desk service services help sales technical human resources account data privacy compliance effective date purchase price agreement governing law third confidential information business day working notice payment intellectual property force majeure security center centre central bank federal national public international european american british french german spanish".split())
+
+
+def _actor(m: re.Match, low: str) -> bool:
+    """Whether two words name an office or a thing; some such words are surnames, too."""
+    return low[slice(*m.span("first"))] in _NO_ACTOR or low[slice(*m.span("second"))] in _NO_ACTOR - {"price", "law", "french", "german", "english"}
+
+
+def _shape_score(m: re.Match, t: str, low: str) -> float:
+    """How much two capitalised words look like a name by themselves; 0 where one of them is no name."""
+    first, second = m["first"], m["second"]
+    if _no_name(first) or _no_name(second) or _actor(m, low) or {low[slice(*m.span("first"))], low[slice(*m.span("second"))]} & _LOW_STOP or first.isupper() != second.isupper():
+        return 0.0
+    if _ORG_RIGHT.match(t, m.end("second"), m.end("second") + 60) or _SHIP.search(t[max(0, m.start("first") - 20) : m.start("first")]) or _PLACE_LEFT.search(t[max(0, m.start("first") - 30) : m.start("first")]):
+        return 0.0
+    score = 0.3
+    given = low[m.start("first") : m.end("first")]
+    if given in COMMON or given in FULL_OF:
+        score += 0.35
+    elif given.endswith(_ENDINGS):
+        score += 0.1
+    return score
+
+
+def _by_context(t: str, low: str, start: int, end: int, kind: int) -> Span | None:
+    """A name in no table before (kinds 3 and 4) or behind (5) a word of context."""
+    if (start and low[start - 1].isalnum()) or (end < len(low) and low[end].isalnum()):
+        return None
+    if kind == 5:
+        m = _NAME_BEHIND.match(t, end, end + 90)
+    else:
+        m = _NAME_BEFORE.search(t, max(0, start - 90), start)
+    score = _shape_score(m, t, low) if m else 0.0
+    score += {3: 0.3, 4: 0.15, 5: 0.3}[kind] if score else 0.0
+    return Span(m.start("first"), m.end("second"), "PERSON", min(0.7, score)) if score >= THRESHOLD else None
+
+
+def _joined(t: str, low: str, span: Span) -> Iterator[Span]:
+    """Names joined by 'and' to one that was found."""
+    for m in (_JOINED_LEFT.search(t, max(0, span.start - 90), span.start), _JOINED_RIGHT.match(t, span.end, span.end + 90)):
+        if m and _shape_score(m, t, low):
+            yield Span(m.start("first"), m.end("second"), "PERSON", 0.5)
+
 
 @lru_cache(maxsize=1)
 def _given():
@@ -268,9 +360,9 @@ def _given():
     for name in {*FULL_OF, *COMMON}:
         if len(name) > 1:
             a.add_word(name, (0, name))
-    for kind, cues in ((1, _CUES), (2, _NAME_CUES)):
+    for kind, cues in ((3, _DOES), (4, _MAY_DO), (5, _CALLED), (1, _CUES), (2, _NAME_CUES)):
         for cue in cues:
-            words = cue.split(" ")
+            words = cue.strip().split(" ")
             for gaps in product((" ", "\n", "  "), repeat=len(words) - 1):
                 spelt = "".join(w + g for w, g in zip(words, (*gaps, ""), strict=True))
                 a.add_word(spelt, (kind, spelt))
@@ -287,7 +379,7 @@ def _cued(t: str, low: str, start: int, end: int, inverse: bool) -> Span | None:
     if (start and low[start - 1].isalnum()) or (inverse and low.startswith("name", start) and _NO_PERSON_NAME.search(low, max(0, start - 20), start)):
         return None
     m = (_CUED_INVERSE.match(t, end, end + 120) if inverse else None) or _CUED.match(t, end, end + 120)
-    if not m or _no_name(m["first"].split()[-1]) or _no_name(m["second"]) or low[m.start("first") : m.end("first")] in FULL_OF:
+    if not m or _actor(m, low) or _no_name(m["first"].split()[-1]) or _no_name(m["second"]) or low[m.start("first") : m.end("first")] in FULL_OF:
         return None
     stop = m.end()
     if m.re is _CUED and m["third"] and (_no_name(m["third"]) or re.match(r"\w", t[stop : stop + 1])):
@@ -305,7 +397,7 @@ def persons(t: str, low: str) -> Iterator[Span]:
     for last, (cue, name) in _given().iter(low):
         start, end = last - len(name) + 1, last + 1
         if cue:
-            if span := _cued(t, low, start, end, cue == 2):
+            if span := _by_context(t, low, start, end, cue) if cue > 2 else _cued(t, low, start, end, cue == 2):
                 yield span
             continue
         if (start and (low[start - 1].isalnum() or low[start - 1] in "_@+")) or (end < len(low) and (low[end].isalnum() or low[end] in "_@")):
@@ -381,7 +473,8 @@ def find_spans(text: str | None) -> list[Span]:
     low = plain.lower()
     if len(low) != len(t):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    found = [*emails(t), *addresses(t, low), *numbers(t), *persons(t, low)]
+    named = list(persons(t, low))
+    found = [*emails(t), *addresses(t, low), *numbers(t), *named, *(j for s in named for j in _joined(t, low, s))]
     found.sort(key=lambda s: (ORDER[s.kind], -s.score, s.start, -s.end))
     taken: list[Span] = []  # in order of position
     for s in found:
