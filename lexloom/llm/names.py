@@ -2,19 +2,25 @@
 
 #: Full given names with common short forms (English, German, French, Spanish usage).
 SHORT_FORMS = {
+    "abigail": "abby",
     "alexander": "alex sandy sasha",
     "amadou": "",
+    "amanda": "mandy",
     "andrew": "andy drew",
     "anna": "annie",
     "anselm": "",
     "anthony": "tony",
+    "barbara": "barb",
     "benjamin": "ben benny",
     "catherine": "cathy",
     "charles": "charlie chuck carlos",
     "christine": "chris tina",
+    "christopher": "chris kit",
     "daniel": "dan danny",
     "david": "dave",
+    "deborah": "deb debbie",
     "dolores": "lola",
+    "donald": "don donny",
     "dorothea": "dora thea dorothy",
     "edward": "ed eddie ted ned",
     "elizabeth": "liz beth lisa eliza betty",
@@ -23,21 +29,31 @@ SHORT_FORMS = {
     "friedrich": "fritz",
     "gabriela": "gabi gaby",
     "george": "",
+    "gerald": "gerry",
+    "gregory": "greg",
     "greta": "",
     "hedda": "",
     "henry": "harry hank",
     "ignacio": "nacho",
     "ingrid": "inga",
     "isabelle": "isa belle",
+    "jacob": "jake",
     "james": "jim jimmy",
+    "jeffrey": "jeff",
+    "jennifer": "jen jenny",
+    "jessica": "jess",
     "johannes": "hannes hans",
     "john": "jack johnny",
+    "jonathan": "jon",
     "jose": "pepe",
     "joseph": "joe",
     "josephine": "jo josie",
+    "joshua": "josh",
     "karl": "",
     "katherine": "kathy kate katie",
+    "kenneth": "ken kenny",
     "kofi": "",
+    "lawrence": "larry",
     "leonard": "len leo lenny",
     "linnea": "",
     "margaret": "maggie meg peggy",
@@ -46,15 +62,22 @@ SHORT_FORMS = {
     "michael": "mike mick",
     "miriam": "mimi miri",
     "nathalie": "nat natty",
+    "nathaniel": "nate",
+    "nicholas": "nick nicky",
     "noemi": "mimi",
     "omar": "",
+    "pamela": "pam",
     "patricia": "pat trish patty",
     "peter": "pete",
+    "philip": "phil",
     "pierre": "",
     "priya": "",
+    "raymond": "ray",
+    "rebecca": "becky",
     "renate": "",
     "richard": "rich rick dick",
     "robert": "rob bob bobby",
+    "ronald": "ron ronnie",
     "samuel": "sam sammy",
     "sofia": "sophie",
     "stephen": "steve",
@@ -62,11 +85,15 @@ SHORT_FORMS = {
     "thaddeus": "tad thad",
     "theresa": "tess terry resi",
     "thomas": "tom tommy",
+    "timothy": "tim timmy",
     "tomas": "",
     "victoria": "vicky tori",
+    "vincent": "vince",
+    "walter": "walt",
     "wilhelmina": "mina willa minna",
     "william": "will bill billy",
     "yusuf": "",
+    "zachary": "zach",
 }
 FULL_OF: dict[str, frozenset[str]] = {}
 for _full, _short in SHORT_FORMS.items():

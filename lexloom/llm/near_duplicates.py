@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.pairing import pairs_within
 from lexloom.plans.components import components
 from lexloom.plans.runtime import materialize
 
@@ -308,8 +309,6 @@ def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, id_a, id_b): links and copies expanded to their documents, smaller id first."""
     m = lambda c, i: members.select("kind", F.col("class_id").alias(c), F.col("id").alias(i))
-    many = members.groupBy("kind", "class_id").count().filter("count > 1").select("kind", "class_id")
-    own = members.join(many, ["kind", "class_id"]).select("kind", "class_id", F.col("id").alias("id_a"))
-    copies = own.join(own.withColumnRenamed("id_a", "id_b"), ["kind", "class_id"]).filter("id_a < id_b").select("kind", "id_a", "id_b")
+    copies = pairs_within(members.withColumnRenamed("id", "doc"), ["kind", "class_id"], "doc").select("kind", "id_a", "id_b")
     cross = links.join(m("a", "x"), ["kind", "a"]).join(m("b", "y"), ["kind", "b"]).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return copies.unionByName(cross)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lexloom.llm.pairing import pairs_within
 from lexloom.llm.variants import link_variants
 from lexloom.session import table
 
@@ -22,9 +22,7 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = p4_entities(spark, sf_dir).filter("entity is not null")
-    a = e.select("entity", F.col("id").alias("id_a"), F.col("name").alias("name_a"))
-    b = e.select("entity", F.col("id").alias("id_b"), F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("id_a < id_b and name_a <> name_b").select("id_a", "id_b").distinct()
+    return pairs_within(e, ["entity"], "id", ["name"]).filter("name_a <> name_b").select("id_a", "id_b").distinct()
 
 
 QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities}

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,11 @@ def _tokens(u: list[str], v: list[str]) -> str:
     """How two names agree of which no token is a known given name: any of them may be."""
     orders = [v[k:] + v[:k] for k in range(len(v))] + [v[::-1]]
     if len(u) == len(v):
-        return "same" if any(all(map(_alike, u, w)) for w in orders) else ""
+        if any(all(map(_alike, u, w)) for w in orders):
+            return "same"
+        # a short form of a given name, which is at either end, in no table
+        short = lambda w: any(_short_for(u[k], w[k]) and all(map(_alike, u[:k] + u[k + 1 :], w[:k] + w[k + 1 :])) for k in {0, len(w) - 1})
+        return "open" if len(u) > 1 and any(map(short, orders)) else ""
     if any(one_edit("".join(u), "".join(w)) for w in orders):
         return "same"
     short, long = (u, v) if len(u) < len(v) else (v, u)
@@ -263,6 +268,12 @@ def _tokens(u: list[str], v: list[str]) -> str:
     return ""
 
 
+def _short_for(p: str, q: str) -> bool:
+    """Whether one token may be a short form of the other: its beginning by letters or, from two equal letters on, by sound."""
+    p, q = sorted((p, q), key=len)
+    return 3 <= len(p) <= 5 and len(q) >= len(p) + 2 and (q.startswith(p) or (p[:2] == q[:2] and len(phonetic(p)) > 1 and phonetic(q).startswith(phonetic(p))))
+
+
 def _near_given(names: list[str], u: list[str], v: list[str]) -> str:
     """Known given names and tokens u against all tokens v, an end of which may be the given name in a spelling of no table."""
     for k in {0, len(v) - 1} if len(v) > 1 else ():
@@ -305,15 +316,19 @@ def _rest(u: list[str], v: list[str], lu: list[str], lv: list[str]) -> str:
     return ""
 
 
-def _match_block(t: pa.Table) -> pa.Table:
-    """Edges of one block: a spanning forest of 'same', and every 'open' pair once for each tree."""
-    left, right = t["part_a"][0].as_py(), t["part_b"][0].as_py()
-    parts = t["part"].to_pylist()
-    order = sorted(range(t.num_rows), key=lambda i: t["form_id"][i].as_py())
-    ids = [t["form_id"][i].as_py() for i in order]
-    forms = [tuple(t[c][i].as_py() for c in ("kind", "head", "initial", "rest", "letters")) for i in order]
-    part = [parts[i] for i in order]
-    parent = list(range(len(ids)))
+_FORM = "kind string, head string, initial string, rest string, letters string"
+_KEYED = pa.schema([("block", pa.int64()), ("part_a", pa.int32()), ("part_b", pa.int32()), ("part", pa.int32()), ("form_id", pa.int64()), ("blocks", pa.list_(pa.int64())), *((c.split()[0], pa.string()) for c in _FORM.split(", "))])
+
+
+def _first_common(a: frozenset[int], b: frozenset[int]) -> int:
+    """Two spellings that share several blocks are compared in the one of the smallest number."""
+    return min(a & b)
+
+
+def match_block(rows: list[tuple]) -> list[tuple[int, int, bool]]:
+    """Edges of one block: a spanning forest of 'same', and every 'open' pair once for each tree. ``rows`` are in the order of form_id."""
+    block, left, right = rows[0][:3]
+    parent = list(range(len(rows)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -322,15 +337,16 @@ def _match_block(t: pa.Table) -> pa.Table:
         return i
 
     edges, loose = [], []
-    for j in range(len(ids)):
+    keys = [frozenset(r[5]) for r in rows]
+    for j in range(len(rows)):
         for i in range(j):
             # two parts of a large block only meet each other here
-            if (left != right and part[i] == part[j]) or root(i) == root(j):
+            if (left != right and rows[i][3] == rows[j][3]) or _first_common(keys[i], keys[j]) != block or root(i) == root(j):
                 continue
-            v = agree(forms[i], forms[j])
+            v = agree(rows[i][6:], rows[j][6:])
             if v == "same":
                 parent[root(j)] = root(i)
-                edges.append((ids[i], ids[j], True))
+                edges.append((rows[i][4], rows[j][4], True))
             elif v == "open":
                 loose.append((i, j))
     seen = set()
@@ -338,9 +354,32 @@ def _match_block(t: pa.Table) -> pa.Table:
         key = (root(i), root(j))
         if key[0] != key[1] and key not in seen:
             seen.add(key)
-            edges.append((ids[i], ids[j], False))
-    cols = list(zip(*edges, strict=True)) if edges else [[], [], []]
-    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "same": pa.array(cols[2], pa.bool_())})
+            edges.append((rows[i][4], rows[j][4], False))
+    return edges
+
+
+def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks lie one after the other; one may go on in the next batch."""
+    held: list[tuple] = []
+    out: list[tuple[int, int, bool]] = []
+
+    def made() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "same"])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                if len(held) > 1:
+                    out += match_block(held)
+                held = []
+            held.append(row)
+        if len(out) > 10_000:
+            yield made()
+    if len(held) > 1:
+        out += match_block(held)
+    yield made()
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,34 +396,36 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = b.to_pylist()
-        at, keys = [], []
-        for i, r in enumerate(rows):
-            for k in sorted(set(block_keys((r["kind"], r["head"], r["initial"], r["rest"], r["letters"])))):
-                at.append(i)
-                keys.append(k)
-        yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(keys, pa.string())], names=[*b.schema.names, "block"])
+        rows = [tuple(r.values()) for r in b.to_pylist()]
+        keys = [sorted({xxhash.xxh64_intdigest(k) - (1 << 63) for k in block_keys(r[:5])}) for r in rows]
+        at = [i for i, ks in enumerate(keys) for _ in ks]
+        yield pa.RecordBatch.from_arrays(
+            [*b.take(pa.array(at, pa.int64())).columns, pa.array([keys[i] for i in at], pa.list_(pa.int64())), pa.array([k for ks in keys for k in ks], pa.int64())], names=[*b.schema.names, "blocks", "block"]
+        )
 
 
 def _parts(keyed: DataFrame, block_forms: int) -> DataFrame:
-    """Blocks of more than ``block_forms`` spellings are cut into parts that meet pairwise, so no task gets more than two parts."""
+    """Blocks of one spelling are left out; those of more than ``block_forms`` are cut into parts that meet pairwise, so no task gets more
+    than two parts. Large blocks are at most rows / block_forms many."""
     keyed = materialize(keyed, "keys")
-    large = keyed.groupBy("block").count().filter(F.col("count") > block_forms).select("block", F.ceil(F.col("count") / block_forms).cast("int").alias("parts"))
-    k = keyed.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = materialize(keyed.groupBy("block").count().filter("count > 1"), "blocks")
+    large = sizes.filter(F.col("count") > block_forms).select("block", F.ceil(F.col("count") / block_forms).cast("int").alias("parts"))
+    k = keyed.join(sizes.select("block"), "block", "left_semi").join(F.broadcast(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     k = k.withColumn("part", F.pmod(F.xxhash64("form_id"), F.col("parts")).cast("int"))
     k = k.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return k.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).drop("parts", "other")
+    k = k.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")})
+    return k.select(*_KEYED.names).repartition("block", "part_a", "part_b").sortWithinPartitions("block", "part_a", "part_b", "form_id")
 
 
 def link_variants(names: DataFrame, name_col: str = "name", block_forms: int = BLOCK_FORMS) -> DataFrame:
     """(name, entity): one row for every distinct parsable spelling; equal entities are the same person or organisation."""
     spellings = names.select(F.col(name_col).cast("string").alias("name")).filter("name is not null").distinct()
-    parsed = materialize(spellings.mapInArrow(_parse_batches, "name string, kind string, head string, initial string, rest string, letters string"), "parsed")
+    parsed = materialize(spellings.mapInArrow(_parse_batches, f"name string, {_FORM}"), "parsed")
     parts = ["kind", "head", "initial", "rest", "letters"]
     form_id = F.xxhash64(*parts)
     forms = parsed.select(*parts).distinct().withColumn("form_id", form_id)
-    keyed = forms.mapInArrow(_key_batches, "kind string, head string, initial string, rest string, letters string, form_id long, block string")
-    edges = materialize(_parts(keyed, block_forms).groupBy("block", "part_a", "part_b").applyInArrow(_match_block, "a long, b long, same boolean").distinct(), "edges")
+    keyed = forms.mapInArrow(_key_batches, f"{_FORM}, form_id long, blocks array<long>, block long")
+    edges = materialize(_parts(keyed, block_forms).mapInArrow(_match_batches, "a long, b long, same boolean").distinct(), "edges")
     strong = components(edges.filter("same").select("a", "b"))
     nodes = parsed.select(form_id.alias("node")).distinct()
     labelled = materialize(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "strong")
@@ -396,7 +437,7 @@ def link_variants(names: DataFrame, name_col: str = "name", block_forms: int = B
     full = lambda c, out: cluster_full.select(F.col("component").alias(c), F.col("full").alias(out))
     ranked = open_pairs.join(full("ca", "fa"), "ca").join(full("cb", "fb"), "cb").filter("fa <> fb")
     low = F.col("fa") < F.col("fb")
-    attach = ranked.select(F.when(low, F.col("ca")).otherwise(F.col("cb")).alias("lo"), F.when(low, F.col("cb")).otherwise(F.col("ca")).alias("hi"), F.greatest("fa", "fb").alias("f")).distinct()
+    attach = ranked.select(F.when(low, F.col("ca")).otherwise(F.col("cb")).alias("lo"), F.when(low, F.col("cb")).otherwise(F.col("ca")).alias("hi"), F.floor(F.greatest("fa", "fb")).alias("f")).distinct()
     # it agrees with one complete cluster only (where it agrees with complete ones, the others do not count)
     top = attach.groupBy("lo").agg(F.max("f").alias("f"))
     unique = attach.join(top, ["lo", "f"]).groupBy("lo").agg(F.count("*").alias("n"), F.min("hi").alias("hi")).filter("n = 1")
@@ -413,4 +454,5 @@ def _completeness():
     # without a given name of the table one of the tokens is it
     all_tokens = (F.col("kind") == "person") & (F.col("head") == "") & (F.col("initial") == "") & F.col("rest").contains(" ")
     long = (F.size(F.split("rest", " ")) > 2) | F.col("rest").rlike(r"\S{10}")
-    return F.when(all_tokens, 1 + long.cast("int")).otherwise(head.cast("int") + two.cast("int"))
+    # of two such names the longer is the fuller one
+    return F.when(all_tokens, 1 + long.cast("int") + F.least(F.length("rest"), F.lit(99)) / 1000).otherwise((head.cast("int") + two.cast("int")).cast("double"))

@@ -1,6 +1,6 @@
 import pytest
 
-from lexloom.llm.variants import agree, jaro_winkler, link_variants, one_edit, parse, phonetic
+from lexloom.llm.variants import agree, block_keys, jaro_winkler, link_variants, one_edit, parse, phonetic
 
 SAME = [
     ("Ignacio Rogisi Stido", "Rogisi Stdo, Ignacio"),
@@ -65,3 +65,55 @@ def test_given_names_of_no_table(spark):
     for g in groups:
         assert len({got[n] for n in g}) == 1, [(n, got[n]) for n in g]
     assert len({got[g[0]] for g in groups}) == len(groups)
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [("Oliver Smith", "Smith, Oliver"), ("Oliver Smith", "Oliver Smyth"), ("Nicholas Clark", "Nick Clark"), ("Jonathan Baker", "Jon Baker"), ("Laura Bianchi", "Bianchi, Laura"), ("Laura Bianchi", "Laura Biamchi"), ("Laura Bianchi", "L. Bianchi"), ("Zbigniew Nowak", "Zbig Nowak")],
+)
+def test_names_in_no_table_agree(a, b):
+    x, y = parse(a), parse(b)
+    assert agree(x, y) and set(block_keys(x)) & set(block_keys(y))
+
+
+def test_held_out_vocabulary(spark):
+    """Given names in no table: reordered, misspelt and shortened spellings of one person meet, those of others don't."""
+    given = "Ngozi Wanjiru Zbigniew Oyelaran Thandiwe Radoslav Iskander Marzena Chiamaka Tadeusz Ilkka Anneli Ruairidh Xiomara".split()
+    sur = "Okafor Mwangi Kowalczyk Adeyemi Dlamini Petrov Yusupov Wojcik Mensah Saarinen".split()
+    people = [(g, sur[(3 * i + j) % len(sur)]) for i, g in enumerate(given) for j in range(3)]
+    rows, truth = [], {}
+    for k, (g, s) in enumerate(people):
+        for name in (f"{g} {s}", f"{s}, {g}", f"{g.upper()} {s.upper()}", f"{g} {s[:-2]}{s[-1]}{s[-2]}", f"Dr. {g} {s}", f"{g} {s[0]}{s[2:]}"):
+            rows.append((name,))
+            truth[name] = k
+    from lexloom.llm.variants import link_variants
+
+    got = {r.name: r.entity for r in link_variants(spark.createDataFrame(rows, "name string")).collect()}
+    pairs = [(a, b) for a in truth for b in truth if a < b]
+    both = sum(truth[a] == truth[b] and got[a] == got[b] for a, b in pairs)
+    assert both / sum(truth[a] == truth[b] for a, b in pairs) >= 0.9
+    assert both / sum(got[a] == got[b] for a, b in pairs) >= 0.98
+
+
+def test_blocks_over_batches_and_parts(spark):
+    """Cutting blocks into parts and batches changes nothing."""
+    from lexloom.llm.variants import link_variants
+
+    rows = [(f"Greta {c}ebrisk{d}",) for c in "BDFGKL" for d in ("", "o", "as", "ov", "un")] + [("G. Debrisk",), (None,), ("",)]
+    df = spark.createDataFrame(rows * 2, "name string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = {tuple(r) for r in link_variants(df, block_forms=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    assert cut == {tuple(r) for r in link_variants(df).collect()} and len(cut) == 31
+
+
+def test_pairs_in_parts(spark):
+    from lexloom.llm.pairing import pairs_within
+
+    df = spark.createDataFrame([(i % 2, i, f"n{i}") for i in range(40)], "entity int, id long, name string")
+    want = {(i % 2, i, j, f"n{i}", f"n{j}") for i in range(40) for j in range(40) if i < j and i % 2 == j % 2}
+    for part in (3, 1000):
+        got = pairs_within(df, ["entity"], "id", ["name"], part).select("entity", "id_a", "id_b", "name_a", "name_b").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
