@@ -5,7 +5,8 @@ floor(rate) times plus once more if a hash of (seed, text) falls below the fract
 aggregations, no sampling state, the same mixture on every run.
 
 Definitions. Source names are compared in lower case with ``-`` and blanks as ``_``. A text delivered several times
-counts once, under the smallest id among its deliveries with a target; so no text exceeds its cap through copies. Shares
+counts once, under the smallest id among its deliveries with a target; so no text exceeds its cap through copies. Where several
+sources deliver it, it is credited to that delivery's source and the others have a text less (``credited`` reports how many). Shares
 are divided by the sum over sources that have texts. The mixture aims at ``total`` tokens (all available ones by
 default); a source's rate is share x total / available, at most max_repeats (null: no cap). Sources whose cap binds
 fall short, which the report shows. A targeted source without texts is reported with 0; a text without a target or
@@ -27,13 +28,21 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
+def _goal(targets: DataFrame) -> DataFrame:
+    return targets.filter("source is not null and target_share > 0").groupBy(source_key(F.col("source")).alias("source_key")).agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("max_repeats"))
+
+
+def _wanted(docs: DataFrame, goal: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, body, source_key, text_key) of the texts whose source has a target: ``goal`` has a row per target source."""
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), source_key(F.col("source")).alias("source_key"), F.sha2(F.col(text_col).cast("string"), 256).alias("text_key"))
+    return keyed.filter("body <> '' and source_key is not null").join(F.broadcast(goal.select("source_key")), "source_key", "left_semi")
+
+
 def _plan(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, total: float | None, path: str) -> tuple[DataFrame, DataFrame]:
-    goal = targets.filter("source is not null and target_share > 0").groupBy(source_key(F.col("source")).alias("source_key")).agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("max_repeats"))
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"), source_key(F.col("source")).alias("source_key"), F.sha2(F.col(text_col), 256).alias("text_key"))
-    counted = count_tokens(keyed.filter("body is not null and source_key is not null"), "doc", "body", ("source_key", "text_key"), path).filter("tokens > 0")
-    wanted = counted.join(F.broadcast(goal.select("source_key")), "source_key", "left_semi")
+    goal = _goal(targets)
+    counted = count_tokens(_wanted(docs, goal, id_col, text_col), "doc", "body", ("source_key", "text_key"), path).filter("tokens > 0")
     # copies shrink to one row before the shuffle already
-    texts = wanted.groupBy("text_key").agg(F.min(F.struct("doc", "source_key", "tokens")).alias("m")).select("text_key", "m.doc", "m.source_key", "m.tokens")
+    texts = counted.groupBy("text_key").agg(F.min(F.struct("doc", "source_key", "tokens")).alias("m")).select("text_key", "m.doc", "m.source_key", "m.tokens")
     texts = materialize(texts, "texts")
     have = texts.groupBy("source_key").agg(F.count("*").alias("texts"), F.sum("tokens").alias("available"))
     joined = goal.join(have, "source_key", "left").select("source_key", "share", "max_repeats", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("available", F.lit(0)).alias("available"))
@@ -77,3 +86,19 @@ def mix_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.round(F.coalesce(F.col("emitted"), F.lit(0)) / F.lit(float(whole)), 6).alias("reached_share"),
     )
+
+
+def mix_copies(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
+    """(doc, source, max_repeats, tokens, rate, copies): every text that may be in the mixture, those without a copy included."""
+    texts, rates = _plan(docs, targets, id_col, text_col, total, path)
+    caps = F.broadcast(rates.select("source_key", "max_repeats"))
+    return _copies(texts, rates, seed).join(caps, "source_key").select("doc", F.col("source_key").alias("source"), "max_repeats", "tokens", "rate", "copies")
+
+
+def credited(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(source, texts, credited): the distinct texts of every target source, and those of them that count for it."""
+    wanted = _wanted(docs, _goal(targets), id_col, text_col).select("doc", "source_key", "text_key")
+    # one row per text and source first, so a text of many deliveries meets itself in one small group
+    each = wanted.groupBy("text_key", "source_key").agg(F.min("doc").alias("doc"))
+    first = each.groupBy("text_key").agg(F.min("doc").alias("first"))
+    return each.join(first, "text_key").groupBy(F.col("source_key").alias("source")).agg(F.count("*").alias("texts"), F.count_if(F.col("doc") == F.col("first")).alias("credited"))

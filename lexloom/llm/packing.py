@@ -1,80 +1,82 @@
-"""Filling containers of fixed capacity (p7).
+"""Filling containers of fixed capacity by harmonic packing (p7).
 
-``harmonic_pack`` is the named method: a length s belongs to class k = floor(capacity / s), every class-k container takes
-exactly k items, and the classes are filled independently on all workers. Its containers keep unused space (a class-1
-text of 1,100 tokens gets a container of 2,048), so it cannot give "as few containers as can be had".
+A length s belongs to class k = floor(capacity / s): k items of the class fit one container, and k + 1 don't. Items are spread over
+workers by a hash, and every worker fills its classes independently: each container of class k takes exactly k items of the class,
+the largest left (its last one may take fewer). Classes alone would leave room empty (a class-1 text of 1,100 tokens has a container of
+2,048 to itself), so each container's remainder, which is too small for its own class, is at once filled with the largest items of
+higher classes that fit. With GROUP_ITEMS items a worker that comes close to the least possible number, tokens / capacity
+(query p7_fill); what a worker loses is a part-filled container or two.
 
-``pack`` therefore plans over the histogram of lengths. There are at most ``capacity`` different lengths, so the
-histogram is the only thing that reaches the driver, whatever the number of texts. Container patterns (how many items of
-which length) are built largest length first with the largest lengths that still fit; each pattern is repeated as
-often as the counts allow. Items then find their container from their rank among the items of equal length, which is
-taken in hash buckets, so a length that holds a third of all rows is still ranked by many tasks.
+There is one shuffle, of ids and lengths, and no plan on the driver; a length or class of a third of all rows is spread like all others.
 
 Texts over the capacity are cut into full containers and a rest, which is packed like an item. Defined results: null
-texts and texts of 0 tokens need no container and give no row; equal texts under different ids are different items; an
-empty table gives no rows.
+texts and texts of 0 tokens need no container and give no row; equal texts under different ids are different items; rows delivered
+twice (equal id) are two items; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.tokens import VOCABULARY, count_tokens
 from lexloom.plans.runtime import blocks_for, materialize
 
 CAPACITY = 2048
-#: Hash buckets in which items of one length are ranked: at most capacity x BUCKETS offsets are broadcast (2 MB).
-BUCKETS = 64
-
-
-def plan_patterns(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: items}) so that all counts[length] items are placed and no pattern exceeds len(counts) - 1."""
-    capacity = len(counts) - 1
-    left = counts.astype(np.int64).copy()
-    plan = []
-    while (sizes := np.flatnonzero(left)).size:
-        room, pattern = capacity, {}
-        k = len(sizes) - 1
-        while k >= 0:
-            s = int(sizes[k])
-            fit = min(room // s, int(left[s]))
-            if fit and 0 < room - fit * s < sizes[0]:
-                # the rest would stay empty: look for two lengths that fill the room better than this one
-                pair = _best_pair(sizes[:k + 1], left, room) if not pattern or min(pattern) > s else None
-                if pair and sum(pair) > fit * s:
-                    for x in pair:  # lengths up to s, of which the pattern has none yet
-                        pattern[x] = pattern.get(x, 0) + 1
-                    break
-            if fit:
-                pattern[s] = fit
-                room -= fit * s
-            k = min(k - 1, int(np.searchsorted(sizes, room, "right")) - 1)
-        times = min(int(left[s]) // c for s, c in pattern.items())
-        for s, c in pattern.items():
-            left[s] -= times * c
-        plan.append((times, pattern))
-    return plan
-
-
-def _best_pair(sizes: np.ndarray, left: np.ndarray, room: int) -> tuple[int, int] | None:
-    fits = sizes[sizes < room]
-    if not fits.size:
-        return None
-    other = np.searchsorted(fits, room - fits, "right") - 1
-    ok = other >= 0
-    # an item cannot be used twice where only one is left
-    clash = ok & (other == np.arange(len(fits))) & (left[fits] < 2)
-    ok &= ~clash
-    if not ok.any():
-        return None
-    total = np.where(ok, fits + fits[np.maximum(other, 0)], 0)
-    best = int(np.argmax(total))
-    return int(fits[best]), int(fits[other[best]])
+#: Items that one task packs (about 2 MB).
+GROUP_ITEMS = 50_000
+
+
+def harmonic(tokens: np.ndarray, capacity: int, fill: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(container, class of the container) of every item; lengths lie between 1 and the capacity. Containers are numbered from 0."""
+    order = np.argsort(-tokens, kind="stable")
+    left = np.bincount(tokens, minlength=capacity + 1)
+    # items of one length follow each other in ``order``; the next one to take of each length
+    at = np.concatenate([[0], np.cumsum(left[::-1])])[::-1][1:].tolist()
+    left = left.tolist()
+    # the nearest length at or below s of which items are left
+    down = [s if left[s] else -1 for s in range(capacity + 1)]
+    down[0] = 0
+
+    def find(s: int) -> int:
+        path = []
+        while down[s] != s:
+            path.append(s)
+            s = s - 1 if down[s] < 0 else down[s]
+        for p in path:
+            down[p] = s
+        return s
+
+    container, label = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+    number = 0
+
+    def take(s: int) -> None:
+        i = order[at[s]]
+        container[i], label[i] = number, k
+        at[s] += 1
+        left[s] -= 1
+        if not left[s]:
+            down[s] = -1
+
+    largest = find(capacity)
+    while largest:
+        k = capacity // largest
+        least = capacity // (k + 1)  # lengths of class k lie above
+        room, s = capacity, largest
+        for _ in range(k):
+            s = find(s)
+            if s <= least:
+                break
+            take(s)
+            room -= s
+        while fill and room and (s := find(min(room, capacity))):
+            take(s)
+            room -= s
+        number += 1
+        largest = find(largest)
+    return container, label
 
 
 def _items(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str) -> DataFrame:
@@ -88,61 +90,17 @@ def _items(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str)
     )
 
 
-def _ranked(items: DataFrame) -> DataFrame:
-    """Each item's rank (from 0) among the items of equal length, ranked in hash buckets."""
-    bucket = F.pmod(F.xxhash64("doc", "piece_no"), F.lit(BUCKETS)).cast("int")
-    placed = items.withColumn("bucket", bucket)
-    sizes = placed.groupBy("tokens", "bucket").count()
-    before = Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("tokens", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("doc", "piece_no")) - 1
-    return placed.withColumn("inside", inside).join(F.broadcast(offsets), ["tokens", "bucket"]).select("doc", "piece_no", "token_start", "tokens", (F.col("offset") + F.col("inside")).alias("rank"))
-
-
-def _counts(items: DataFrame, capacity: int) -> np.ndarray:
-    """Items of each length; at most ``capacity`` rows reach the driver."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in items.groupBy("tokens").count().collect():
-        counts[r["tokens"]] = r["count"]
-    return counts
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str = VOCABULARY, fill: bool = True, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """(container_id, class, doc, piece_no, token_start, tokens). Without ``fill`` remainders stay empty, as in plain harmonic packing."""
+    items = _items(df, id_col, text_col, capacity, path)
+    groups = blocks_for(items.count(), group_items)
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc", "ascending"), ("piece_no", "ascending")])
+        container, label = harmonic(t["tokens"].to_numpy(), capacity, fill)
+        group = t["group"][0].as_py()
+        return pa.table({"container_id": pa.array(container + (group << 32)), "class": pa.array(label.astype(np.int32)), **{c: t[c] for c in ("doc", "piece_no", "token_start", "tokens")}})
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
-    """(container_id, doc, piece_no, token_start, tokens), close to the least number of containers."""
-    items = _items(df, id_col, text_col, capacity, path)
-    plan = plan_patterns(_counts(items, capacity))
-    used = np.zeros(capacity + 1, np.int64)
-    size, first_rank, base, per = [], [], [], []
-    container = 0
-    for times, pattern in plan:
-        for s, c in pattern.items():
-            size.append(s), first_rank.append(used[s]), base.append(container), per.append(c)
-            used[s] += times * c
-        container += times
-    order = np.lexsort((first_rank, size))
-    size, first_rank, base, per = (np.array(x, np.int64)[order] for x in (size, first_rank, base, per))
-    starts = np.searchsorted(size, np.arange(capacity + 2))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, r = b.column(3).to_numpy(), b.column(4).to_numpy()
-            at = np.zeros(len(s), np.int64)
-            for v in np.unique(s):
-                mine = s == v
-                at[mine] = starts[v] + np.searchsorted(first_rank[starts[v] : starts[v + 1]], r[mine], "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(base[at] + (r - first_rank[at]) // per[at]), *b.columns[:4]], names=["container_id", "doc", "piece_no", "token_start", "tokens"])
-
-    return _ranked(items).mapInArrow(assign, f"container_id long, doc {dict(items.dtypes)['doc']}, piece_no int, token_start long, tokens long")
-
-
-def harmonic_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
-    """(container_id, class, doc, piece_no, token_start, tokens) by reciprocal-capacity classes of fixed item counts.
-
-    Each (class, bucket) fills its containers on its own; only its last container may hold fewer than k items. There is
-    a bucket for every 50,000 items, so those part-filled containers stay few."""
-    items = _items(df, id_col, text_col, capacity, path)
-    buckets = blocks_for(items.count(), 50_000)
-    placed = items.withColumn("class", F.floor(F.lit(capacity) / F.col("tokens")).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc", "piece_no"), F.lit(buckets)).cast("int"))
-    inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc", "piece_no")) - 1
-    no = F.floor(inside / F.col("class"))
-    return placed.select(F.format_string("%d-%d-%d", "class", "bucket", no).alias("container_id"), "class", "doc", "piece_no", "token_start", "tokens")
+    kind = dict(items.dtypes)["doc"]
+    grouped = items.withColumn("group", F.pmod(F.xxhash64("doc", "piece_no"), F.lit(groups)).cast("long")).groupBy("group")
+    return grouped.applyInArrow(run, f"container_id long, class int, doc {kind}, piece_no int, token_start long, tokens long")
