@@ -50,3 +50,33 @@ def test_white_space_over_the_limit_is_a_row(spark):
     df = spark.createDataFrame([(1, " \n\n\t" * 200), (2, " " * 301), (3, " " * 300)], "id long, t string")
     out = split_oversized(df, "x", "id", "t", 300, 50).collect()
     assert {(r.row_id, r.piece_no, r.char_start, r.char_end, r.boundary, r.piece_text) for r in out} == {(1, 0, 0, 0, "paragraph", ""), (2, 0, 0, 0, "paragraph", "")}
+
+
+def plain_level(text, limit):
+    """The first level whose pieces all fit, without any program."""
+    import re
+
+    cuts = [r"\s*\n\s*\n\s*", r"(?<=[.!?])\s+|\s*\n\s*\n\s*", r"\s+"]
+    return next((k for k, c in enumerate(cuts) if all(len(x.strip()) <= limit for x in re.split(c, text))), 3)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aab. !\n\r", min_size=1, max_size=200), st.integers(5, 40))
+def test_boundary_of_the_cuts_is_the_coarsest_that_fits(text, limit):
+    if len(text) > limit and text.strip():
+        assert split_text(text, limit, 3)[1] == plain_level(text, limit)
+
+
+def test_combined_characters_stay_whole():
+    text = "e\u0301" * 100 + "\U0001f469\u200d\U0001f4bb" * 30
+    pieces, level = split_text(text, 33, 6)
+    assert level == 3 and all(text[f] not in "\u0301\u200d" and text[f - 1] != "\u200d" for _, _, f in pieces[1:])
+    check(text, 33, 6)
+    check("e" + "\u0301" * 100, 20, 5)
+
+
+def test_shortfall_is_reported(spark):
+    df = spark.createDataFrame([(1, "\n\n".join("x" * 1190 for _ in range(4))), (2, "word " * 900)], "id long, t string")
+    rows = split_oversized(df, "x", "id", "t", 1200, 200).collect()
+    assert all(r.overlap_missing == (200 - (r.new_from - r.char_start) if r.piece_no else 0) for r in rows)
+    assert max(r.overlap_missing for r in rows if r.row_id == 1) > 150 and max(r.overlap_missing for r in rows if r.row_id == 2) < 20
