@@ -233,6 +233,21 @@ def _search_list(k: int, least: float):
     return run
 
 
+def _sample(src: DataFrame, members: DataFrame, rows: int, most: int) -> DataFrame:
+    """At most ``most`` rows (and nearly as many), the same on every run and whatever the partitions: whole buckets of a hash of the id,
+    from the first on, as long as their rows together don't exceed the bound."""
+    buckets = max(1, -(-64 * rows // most))
+    bucket = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(buckets))
+    # about 128 buckets can matter
+    sizes = members.select("id").distinct().filter(bucket < 128).groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect()
+    upto, total = 0, 0
+    for r in sizes:
+        if total + r["count"] > most:
+            break
+        upto, total = r["bucket"] + 1, total + r["count"]
+    return src.filter(bucket < upto).dropDuplicates(["id"])
+
+
 def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, neighbour, similarity): up to k most similar other vectors of at least the similarity ``least`` for every vector."""
     spark = df.sparkSession
@@ -259,10 +274,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, least: floa
 
     sample_rows = min(sample_rows, max(LEAST_SAMPLE, rows // 20))
     lists = max(1, min(rows // list_rows, sample_rows // 8))
-    fraction = min(1.0, 1.1 * sample_rows / rows)
-    limit = int(fraction * (1 << 30))
-    picked = src.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit).limit(sample_rows)
-    got = picked.toArrow()
+    got = _sample(src, members, rows, sample_rows).toArrow()
     sample = _vectors(got["id"].combine_chunks(), got["vec"].combine_chunks(), dim)[1]
     if not len(sample):
         sample = np.ones((1, dim), np.float32)

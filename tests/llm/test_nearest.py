@@ -56,3 +56,11 @@ def test_empty(spark):
 def test_planes_round_trip():
     x = np.random.default_rng(1).normal(size=(7, 13)).astype(np.float32)
     assert (nn.from_planes(nn.planes(x)) == x).all()
+
+
+def test_sample_is_bounded_and_stable(spark):
+    src = spark.range(3_000).selectExpr("id", "array(1.0f, 2.0f) AS vec").unionByName(spark.range(1_000).selectExpr("id", "array(1.0f, 2.0f) AS vec"))
+    members = src.select("id")
+    one, two = ({r.id for r in nn._sample(src.repartition(n), members, 3_000, 500).collect()} for n in (3, 7))
+    assert one == two and 400 < len(one) <= 500
+    assert nn._sample(src, members, 3_000, 5_000).count() == 3_000
