@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_splitting, queries_variants
 
-_MODULES = [queries_splitting, queries_corpus, queries_duplicates, queries_moderation, queries_nearest, queries_personal, queries_moderation, queries_variants]
+_MODULES = [queries_personal, queries_nearest, queries_variants, queries_splitting, queries_duplicates, queries_corpus, queries_moderation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,6 +45,11 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether its score is a probability, and whether it is 0 for want of a text."""
+    return p9_scores(spark, sf_dir).select("doc_id", F.col("score").between(0, 1).alias("valid"), ((F.col("score") == 0) & F.col("passage").isNull()).alias("empty"))
+
+
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall against the labels of documents that each fold's model has not seen, at each tenth of the score."""
     fitted = _fit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
@@ -56,5 +61,6 @@ def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "score double, documents int, positive int, found int, precision double, recall double")
 
 
-QUERIES = {"p9_quality": p9_quality, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p9_scored": p9_scored, "p9_quality": p9_quality, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+# a text without a letter or digit says nothing
+ORACLE = {"p9_scored": "SELECT doc_id, true AS valid, text IS NULL OR NOT regexp_matches(lower(text), '[a-z0-9à-ž]') AS empty FROM documents"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm.pairing import pairs_within
 from lexloom.llm.variants import link_variants
@@ -25,5 +26,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_within(e, ["entity"], "id", ["name"]).filter("name_a <> name_b").select("id_a", "id_b").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities}
-ORACLE: dict[str, str] = {}
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its mentions, and whether all of these are one entity."""
+    return p4_entities(spark, sf_dir).filter("name is not null").groupBy("name").agg(F.count("*").alias("mentions"), (F.count_distinct("entity") <= 1).alias("one_entity"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p4_spellings": p4_spellings}
+ORACLE = {"p4_spellings": "SELECT name, count(*) AS mentions, true AS one_entity FROM (SELECT name FROM parties UNION ALL SELECT name FROM llm_party_results) WHERE name IS NOT NULL GROUP BY name"}
