@@ -346,3 +346,45 @@ def low_confidence_warning(df: DataFrame, doc: str, name: str, confidence: str,
     """(doc, warning): names of the items of a document below a confidence, in order."""
     low = df.filter(F.col(confidence) < least).groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
     return low.select(doc, F.concat(F.lit("low confidence: "), "names").alias("warning"))
+
+
+# ---- summaries ------------------------------------------------------------------------------------------------------
+
+
+def diff_summary(changes: DataFrame) -> DataFrame:
+    """(doc, summary) of ``compare_versions``: how many clause types were added and removed and clauses changed, then each by name."""
+    order = F.array_sort(F.collect_list(F.when(F.col("change").isin("modified", "removed", "added"), F.struct("clause_type", F.coalesce("ord_v1", F.lit(2**62)).alias("a"), F.coalesce("ord_v2", F.lit(2**62)).alias("b"), "change", "similarity"))))
+    types = lambda w: F.array_sort(F.collect_set(F.when(F.col("change") == w, F.col("clause_type"))))
+    g = changes.groupBy("doc").agg(types("type_added").alias("more"), types("type_removed").alias("less"), order.alias("each"))
+    item = lambda c: F.concat(F.lit("  ~ "), c["clause_type"], F.lit(" ("), F.when(c["change"] == "modified", F.concat(F.lit("similarity="), two_decimals(c["similarity"]))).otherwise(c["change"]), F.lit(")"))
+    listed = lambda c, mark: F.when(F.size(c) > 0, F.concat(F.lit(f"  {mark} "), F.array_join(c, ", ")))
+    lines = F.array(
+        F.concat(F.lit("Added:    "), F.size("more"), F.lit(" clause type(s)")),
+        F.concat(F.lit("Removed:  "), F.size("less"), F.lit(" clause type(s)")),
+        F.concat(F.lit("Modified: "), F.size("each"), F.lit(" clause(s)")),
+        listed("more", "+"),
+        listed("less", "-"),
+    )
+    return g.select("doc", F.array_join(F.array_compact(F.concat(lines, F.transform("each", item))), "\n").alias("summary"))
+
+
+def timeline_entries(obligations: DataFrame, columns: list[str]) -> DataFrame:
+    """Obligations with empty texts for missing ones."""
+    return obligations.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns})
+
+
+def unresolved(obligations: DataFrame, date_col: str) -> DataFrame:
+    return obligations.filter(F.col(date_col).isNull())
+
+
+def all_resolved(obligations: DataFrame, date_col: str, by: str) -> DataFrame:
+    """(by, all_resolved): whether all deadlines of a document have a date."""
+    return obligations.groupBy(by).agg(F.bool_and(F.col(date_col).isNotNull()).alias("all_resolved"))
+
+
+def high_confidence(clauses: DataFrame, confidence: str = "confidence", least: float = 0.8) -> DataFrame:
+    return clauses.filter(F.col(confidence) >= least)
+
+
+def of_severity(risks: DataFrame, severity: str = "critical") -> DataFrame:
+    return risks.filter(F.lower("severity") == severity)

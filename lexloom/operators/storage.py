@@ -70,12 +70,80 @@ def clause_view(fields: DataFrame, doc_type: str = "contract") -> DataFrame:
     return f.select("clause_id", "doc_id", F.substring("field_name", 8, 1000).alias("clause_type"), F.get_json_object("value", "$.text").alias("clause_text"), F.get_json_object("value", "$.page").cast("int").alias("page_number"), "confidence")
 
 
-def erase(log: DataFrame, key_col: str, gone: DataFrame, pseudonym: Column) -> DataFrame:
-    """An audit log in which erased documents appear under a pseudonym only, with a note of the erasure."""
+def erase(log: DataFrame, key_col: str, gone: DataFrame, pseudonym: Column, note: dict[str, Column] | None = None) -> DataFrame:
+    """An audit log in which erased documents appear under a pseudonym only. With ``note`` an event is appended for each of them that has
+    these columns and the pseudonym, and nulls elsewhere."""
     g = gone.select(F.col("id").alias(key_col), pseudonym.alias("_p"))
     j = log.join(g, key_col, "left")
     kept = j.select(*(F.coalesce(F.col("_p"), F.col(c).cast("string")).alias(c) if c == key_col else F.col(c) for c in log.columns))
-    return kept
+    if note is None:
+        return kept
+    kinds = dict(kept.dtypes)
+    return kept.unionByName(g.select(*(F.col("_p").alias(c) if c == key_col else note.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in kept.columns)))
+
+
+def by_key(df: DataFrame, column: str, value: object) -> DataFrame:
+    """The row of a key; the filter reaches the scan. Keys are unique, so a second row is an error of the store."""
+    return df.filter(F.col(column) == F.lit(value))
+
+
+def id_of(df: DataFrame, filename: str) -> int | None:
+    row = by_key(df, "filename", filename).select("id").orderBy("id").first()
+    return None if row is None else row["id"]
+
+
+def insert_rows(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Stored rows and new ones; a new row whose key is stored is left out, and one of equal new keys is taken."""
+    return stored.unionByName(new.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(*stored.columns))
+
+
+def delete_by_document(clauses: DataFrame, document_ids: DataFrame) -> DataFrame:
+    return clauses.join(document_ids.select(F.col("id").alias("document_id")), "document_id", "left_anti").select(*clauses.columns)
+
+
+def count_by_document(clauses: DataFrame) -> DataFrame:
+    return clauses.filter("document_id is not null").groupBy("document_id").agg(F.count("*").alias("clauses"))
+
+
+def by_type(clauses: DataFrame, clause_type: str, limit: int) -> DataFrame:
+    """The newest clauses of a type."""
+    return newest(clauses.filter(F.col("clause_type") == clause_type), "created_at", limit)
+
+
+def update_text(documents: DataFrame, new: DataFrame, key: str = "id", column: str = "extracted_text") -> DataFrame:
+    """``update_column`` that raises LookupError where a key has no row."""
+    lost = new.join(documents.select(key), key, "left_anti").select(key).first()
+    if lost is not None:
+        raise LookupError(f"no row with {key} {lost[0]}")
+    return update_column(documents, new, key, column)
+
+
+def documents_to_legal(documents: DataFrame) -> DataFrame:
+    """Documents of the first schema as contracts of the second: the type in the metadata, else the file name, as title; both kept as
+    metadata."""
+    meta = F.to_json(F.struct("filename", F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,variant>").alias("original_metadata")))
+    return documents.select(
+        F.lit("contract").alias("doc_type"),
+        F.coalesce(F.get_json_object("metadata", "$.contract_type"), "filename").alias("title"),
+        F.col("file_hash").alias("content_hash"),
+        F.col("extracted_text").alias("full_text"),
+        meta.alias("metadata"),
+        F.col("uploaded_at").alias("created_at"),
+    )
+
+
+def bounding_box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The box of a clause, null unless all four sides are known."""
+    known = x.isNotNull() & y.isNotNull() & width.isNotNull() & height.isNotNull()
+    return F.when(known, F.struct(x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height")))
+
+
+def is_failed(status: Column) -> Column:
+    return F.coalesce(status == "failed", F.lit(False))
+
+
+def is_completed(status: Column) -> Column:
+    return F.coalesce(status == "completed", F.lit(False))
 
 
 def inverted_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

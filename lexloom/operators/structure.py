@@ -6,10 +6,13 @@ by the document, so the whole parse shuffles the lines once."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import strip
+from lexloom.plans.runtime import materialize
 
 #: Heading formats in order of precedence, as (kind, pattern); the first that matches a line wins.
 HEADINGS = [
@@ -194,3 +197,56 @@ def signature_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     blocks = l.groupBy("doc", "block").agg(name.alias("party_name"), F.max(F.when(F.col("company"), F.col("s"))).alias("line"))
     after = F.lead("line").over(Window.partitionBy("doc").orderBy("block"))
     return blocks.withColumn("next", after).filter("party_name is not null").select("doc", F.col("block").cast("int").alias("ord"), "party_name", F.coalesce("next", F.lit("")).alias("signature_line_text"))
+
+
+# ---- the whole parse ------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Structure:
+    """All parts of parsed texts, each a table by doc."""
+
+    sections: DataFrame
+    terms: DataFrame
+    usages: DataFrame
+    references: DataFrame
+    schedules: DataFrame
+    recitals: DataFrame
+    signatures: DataFrame
+    laws: DataFrame
+    warnings: DataFrame
+
+
+def parse(df: DataFrame, id_col: str, text_col: str) -> Structure:
+    """Sections first (written once, as everything else needs them), then terms and their usages, references, and the rest."""
+    docs = df.filter(F.col(text_col).isNotNull())
+    sec = materialize(sections(docs, id_col, text_col), "sections")
+    terms, sched = defined_terms(sec), schedules(docs, id_col, text_col)
+    laws = docs.select(F.col(id_col).alias("doc"), governing_law(F.col(text_col)).alias("law"))
+    warnings = parse_warnings(sec, docs.select(F.col(id_col).alias("doc")))
+    return Structure(sec, terms, term_usages(sec, terms), cross_references(sec, sched), sched, recitals(docs, id_col, text_col), signature_blocks(docs, id_col, text_col), laws, warnings)
+
+
+def full_reference(number: Column, title: Column) -> Column:
+    """What a section is called in full."""
+    return F.when(F.length(F.coalesce(number, F.lit(""))) > 0, F.concat(F.lit("Section "), number)).otherwise(title)
+
+
+def leaves(sec: DataFrame) -> DataFrame:
+    """Sections without sections below them; ``ord`` is the order of the text."""
+    parents = sec.filter("parent_ord is not null").select("doc", F.col("parent_ord").alias("ord")).distinct()
+    return sec.join(parents, ["doc", "ord"], "left_anti")
+
+
+def section_targets(sec: DataFrame) -> DataFrame:
+    """(doc, key, ord): the section that a number leads to. Where several have it, the last one whose number it is (as it stands or without
+    leading zeros); else the first one whose number without its keyword it is."""
+    own = sec.select("doc", "ord", F.explode(F.array_distinct(F.array("number", F.regexp_replace("number", r"^0+", "")))).alias("key")).groupBy("doc", "key").agg(F.max("ord").alias("own"))
+    bare = sec.select("doc", "ord", reference_key(F.col("number")).alias("key")).groupBy("doc", "key").agg(F.min("ord").alias("bare"))
+    return own.join(bare, ["doc", "key"], "full").select("doc", "key", F.coalesce("own", "bare").alias("ord"))
+
+
+def resolve(refs: DataFrame, sec: DataFrame, by_number: bool = False) -> DataFrame:
+    """(doc, raw, ord) for references (doc, raw): the section each leads to, null without one; ``by_number`` takes them as bare numbers."""
+    key = strip(F.col("raw")) if by_number else reference_key(F.col("raw"))
+    return refs.select("doc", "raw", key.alias("key")).join(section_targets(sec), ["doc", "key"], "left").select("doc", "raw", "ord")

@@ -125,3 +125,20 @@ def next_link(header: Column, body: Column) -> Column:
     rel = F.regexp_extract(header, r"""<([^>]+)>[^,]*;\s*rel=["']?next["']?""", 1)
     keys = [F.get_json_object(body, f"$.{k}") for k in ("next", "next_url", "nextPage", "next_cursor")]
     return F.coalesce(F.nullif(rel, F.lit("")), *keys)
+
+
+def from_pages(pages: DataFrame, doc: str = "source", order: str = "page", content: str = "page_content") -> DataFrame:
+    """(doc, text): documents of other libraries' loaders, which come in pages: their contents in order with blank lines between; null
+    pages add nothing."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(content).isNotNull(), F.struct(F.col(order).alias("o"), F.col(content).alias("t")))))
+    return pages.groupBy(F.col(doc).alias("doc")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def bootstrap(files: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new rows, counts) of a first ingest: files (filename, text, error) whose name is not stored; a file that could not be read fails
+    alone. Of several files with one name the one of the smallest text counts."""
+    one = files.groupBy("filename").agg(F.min_by(F.struct("text", "error"), F.struct(F.col("error").isNotNull().alias("e"), "text")).alias("f")).select("filename", "f.*")
+    known = stored.select("filename", F.lit(True).alias("known")).distinct()
+    status = F.when(F.col("known"), "skipped").when(F.col("error").isNotNull() | F.col("text").isNull(), "failed").otherwise("inserted")
+    told = one.join(known, "filename", "left").withColumn("status", status)
+    return told.filter("status = 'inserted'").select("filename", F.col("text").alias("extracted_text"), F.sha2("text", 256).alias("file_hash")), told.groupBy("status").agg(F.count("*").alias("files"))
