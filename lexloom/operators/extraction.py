@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import squeeze, strip, two_decimals
+from lexloom.plans.runtime import materialize
 
 #: Labels of the clause taxonomy with indicative words, in label order.
 CLAUSE_WORDS = {
@@ -194,31 +196,66 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def ratio_at_least(least: float):
+    """``text_ratio`` where it reaches a bound, else null. What two texts have in common is bounded by their letters, so most pairs that
+    don't reach it are never aligned."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen: dict[str, np.ndarray] = {}
+        letters = lambda x: seen[x] if x in seen else seen.setdefault(x, _letters(x))
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x == y:
+                out.append(1.0)
+                continue
+            whole = len(x) + len(y)
+            r = 0.0 if 2 * int(np.minimum(letters(x), letters(y)).sum()) < least * whole else SequenceMatcher(None, x, y).ratio()
+            out.append(r if r >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def _length_band(c: Column, least: float) -> Column:
+    """Lengths by powers of how much longer a text may be whose ratio to another can still reach a bound: partners lie in one band or the
+    next."""
+    return F.floor(F.log(F.length(c) + F.lit(1.0)) / F.lit(math.log(max((2 - least) / least, 1.0001)))).cast("int")
+
+
 def compare_versions(v1: DataFrame, v2: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Changes between two versions' clauses (doc, ord, clause_type, text): (doc, clause_type, change, ord_v1, ord_v2, similarity).
 
     Each clause of version 1 finds its most alike clause of its type in version 2 (the first among equals). From the threshold on
     they are one clause, modified if not equal; below, the clause was removed. Clauses of version 2 that nothing found were added.
-    Equal texts are matched by a join on the text's hash, so the ratio runs only on the others."""
+    Equal texts are matched by a join on the text's hash; of the others only texts of about the same length meet (bands of lengths are
+    part of the join's key, so a document of many clauses is many keys), and only pairs with letters enough in common are aligned. None
+    of this leaves out a pair that reaches the threshold."""
     a = v1.select("doc", "clause_type", F.col("ord").alias("ord_v1"), F.col("text").alias("t1"))
     b = v2.select("doc", "clause_type", F.col("ord").alias("ord_v2"), F.col("text").alias("t2"))
-    same = a.join(b, (a["doc"] == b["doc"]) & (a["clause_type"] == b["clause_type"]) & (F.sha2(a["t1"], 256) == F.sha2(b["t2"], 256))).groupBy(a["doc"], a["clause_type"], a["ord_v1"]).agg(F.min("ord_v2").alias("ord_v2")).withColumn("similarity", F.lit(1.0))
-    rest = a.join(same.select("doc", "clause_type", "ord_v1"), ["doc", "clause_type", "ord_v1"], "left_anti")
-    pairs = rest.join(b, ["doc", "clause_type"]).withColumn("similarity", text_ratio("t1", "t2"))
-    best = pairs.groupBy("doc", "clause_type", "ord_v1").agg(F.max_by(F.struct("ord_v2", "similarity"), F.struct("similarity", (-F.col("ord_v2")).alias("o"))).alias("m")).select("doc", "clause_type", "ord_v1", "m.*")
-    found = same.unionByName(best)
-    matched = found.filter(F.col("similarity") >= threshold)
-    types2 = b.select("doc", "clause_type").distinct()
-    types1 = a.select("doc", "clause_type").distinct()
+    keys = ["doc", "clause_type"]
+    # of equal texts in version 2 the first is enough
+    first = b.groupBy(*keys, F.sha2("t2", 256).alias("h")).agg(F.min("ord_v2").alias("ord_v2"))
+    same = a.withColumn("h", F.sha2("t1", 256)).join(first, [*keys, "h"]).select(*keys, "ord_v1", "ord_v2", F.lit(1.0).alias("similarity"))
+    rest = a.join(same.select(*keys, "ord_v1"), [*keys, "ord_v1"], "left_anti").withColumn("band", _length_band(F.col("t1"), threshold))
+    band = F.col("band")
+    others = b.withColumn("band", _length_band(F.col("t2"), threshold)).select(*keys, "ord_v2", "t2", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    n1, n2 = F.length("t1"), F.length("t2")
+    pairs = rest.join(others, [*keys, "band"]).filter(2 * F.least(n1, n2) >= threshold * (n1 + n2))
+    pairs = pairs.withColumn("similarity", ratio_at_least(threshold)("t1", "t2")).filter("similarity is not null")
+    best = pairs.groupBy(*keys, "ord_v1").agg(F.max_by(F.struct("ord_v2", "similarity"), F.struct("similarity", (-F.col("ord_v2")).alias("o"))).alias("m")).select(*keys, "ord_v1", "m.*")
+    matched = materialize(same.unionByName(best), "matched")
+    types2 = b.select(*keys).distinct()
+    types1 = a.select(*keys).distinct()
     none = F.lit(None).cast("double")
-    modified = matched.filter("similarity < 1").select("doc", "clause_type", F.lit("modified").alias("change"), "ord_v1", "ord_v2", "similarity")
-    gone = a.join(matched.select("doc", "clause_type", "ord_v1"), ["doc", "clause_type", "ord_v1"], "left_anti")
-    removed = gone.join(types2, ["doc", "clause_type"], "left_semi").select("doc", "clause_type", F.lit("removed").alias("change"), "ord_v1", F.lit(None).cast("long").alias("ord_v2"), none.alias("similarity"))
-    new = b.join(matched.select("doc", "clause_type", "ord_v2"), ["doc", "clause_type", "ord_v2"], "left_anti")
-    added = new.join(types1, ["doc", "clause_type"], "left_semi").select("doc", "clause_type", F.lit("added").alias("change"), F.lit(None).cast("long").alias("ord_v1"), "ord_v2", none.alias("similarity"))
-    only = lambda x, y, word: x.join(y, ["doc", "clause_type"], "left_anti").select("doc", "clause_type", F.lit(word).alias("change"), F.lit(None).cast("long").alias("ord_v1"), F.lit(None).cast("long").alias("ord_v2"), none.alias("similarity"))
+    modified = matched.filter("similarity < 1").select(*keys, F.lit("modified").alias("change"), "ord_v1", "ord_v2", "similarity")
+    gone = a.join(matched.select(*keys, "ord_v1"), [*keys, "ord_v1"], "left_anti")
+    removed = gone.join(types2, keys, "left_semi").select(*keys, F.lit("removed").alias("change"), "ord_v1", F.lit(None).cast("long").alias("ord_v2"), none.alias("similarity"))
+    new = b.join(matched.select(*keys, "ord_v2").distinct(), [*keys, "ord_v2"], "left_anti")
+    added = new.join(types1, keys, "left_semi").select(*keys, F.lit("added").alias("change"), F.lit(None).cast("long").alias("ord_v1"), "ord_v2", none.alias("similarity"))
+    only = lambda x, y, word: x.join(y, keys, "left_anti").select(*keys, F.lit(word).alias("change"), F.lit(None).cast("long").alias("ord_v1"), F.lit(None).cast("long").alias("ord_v2"), none.alias("similarity"))
     parts = [modified, removed, added, only(types2, types1, "type_added"), only(types1, types2, "type_removed")]
-    return reduce(DataFrame.unionByName, [p.select("doc", "clause_type", "change", F.col("ord_v1").cast("long").alias("ord_v1"), F.col("ord_v2").cast("long").alias("ord_v2"), "similarity") for p in parts])
+    return reduce(DataFrame.unionByName, [p.select(*keys, "change", F.col("ord_v1").cast("long").alias("ord_v1"), F.col("ord_v2").cast("long").alias("ord_v2"), "similarity") for p in parts])
 
 
 def version_similarity(v1: DataFrame, v2: DataFrame) -> DataFrame:

@@ -283,7 +283,16 @@ def chunk_provenance(spark, d):
     return j.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.expr("instr(full_text, chunk_text) > 0")).alias("verbatim"))
 
 
-@query()
+@query(
+    r"""WITH v AS (SELECT doc_id AS doc, CAST(id AS VARCHAR) AS field, name AS value FROM parties WHERE name IS NOT NULL), c AS (SELECT doc_id AS doc, id AS seq, chunk_text AS chunk FROM document_chunks WHERE chunk_text IS NOT NULL),
+w AS (SELECT doc, seq, chunk, list_distinct(list_filter(regexp_split_to_array(lower(chunk), '[\s\x{a0}]+'), lambda x: x <> '')) AS cw FROM c),
+e AS (SELECT doc, field, value, min(seq) AS seq FROM v JOIN c USING (doc) WHERE instr(chunk, value) > 0 GROUP BY doc, field, value),
+r AS (SELECT v.*, list_distinct(list_filter(regexp_split_to_array(lower(value), '[\s\x{a0}]+'), lambda x: x <> '')) AS vw FROM v ANTI JOIN e USING (doc, field, value)),
+s AS (SELECT doc, field, value, seq, len(list_intersect(vw, cw)) / len(list_distinct(list_concat(vw, cw))) AS score FROM r JOIN w USING (doc)),
+b AS (SELECT doc, field, value, arg_min(seq, [-score, seq]) AS seq, max(score) AS score FROM s WHERE score >= 0.85 GROUP BY doc, field, value)
+SELECT doc, field, value, coalesce(e.seq, b.seq) AS seq, CAST(instr(chunk, value) - 1 AS BIGINT) AS char_start, CAST(instr(chunk, value) - 1 + length(value) AS BIGINT) AS char_end, CASE WHEN e.seq IS NOT NULL THEN 1.0 ELSE b.score END AS score
+FROM v LEFT JOIN e USING (doc, field, value) LEFT JOIN b USING (doc, field, value) LEFT JOIN c ON c.doc = v.doc AND c.seq = e.seq"""
+)
 def clause_provenance(spark, d):
     """Where each party's name stands in the chunks of its document."""
     values = table(spark, d, "parties").filter("name is not null").select(F.col("doc_id").alias("doc"), F.col("id").cast("string").alias("field"), F.col("name").alias("value"))
@@ -379,6 +388,14 @@ def version_type_changes(spark, d):
     return only(v2, v1, "type_added").unionByName(only(v1, v2, "type_removed"))
 
 
+@query()
+def clause_changes(spark, d):
+    """Changes between two versions of all documents' clauses: the first lacks the ids that leave 2 when divided by 3, the second those that
+    leave 1, so every clause is in one at least. Tested against comparing all pairs on a small fixture."""
+    c = _clauses(spark, d).filter("clause_text is not null").select(F.col("document_id").alias("doc"), F.col("id").alias("ord"), F.coalesce("clause_type", F.lit("unknown")).alias("clause_type"), F.col("clause_text").alias("text"))
+    return E.compare_versions(c.filter("ord % 3 <> 2"), c.filter("ord % 3 <> 1"))
+
+
 @query(
     """SELECT id, field, decision, reason FROM (SELECT id, coalesce(clause_type, 'unknown') AS field, c, a, r, CASE WHEN c >= a THEN 'auto_accept' WHEN c >= r THEN 'human_review' ELSE 'auto_reject' END AS decision,
   CASE WHEN c >= a THEN printf('confidence %.2f ≥ accept threshold %.2f', c, a) WHEN c >= r THEN printf('confidence %.2f in review band [%.2f, %.2f)', c, r, a) ELSE printf('confidence %.2f < reject threshold %.2f', c, r) END AS reason

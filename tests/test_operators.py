@@ -256,3 +256,30 @@ def test_storage(spark):
     merged = j.select(B.merge_metadata(F.col("o"), F.col("n"))).first()[0]
     assert json.loads(merged) == {"a": 1, "b": "y", "c": True}
     assert j.filter(B.metadata_is(F.col("o"), {"a": 1, "b": "x"})).count() == 1 and j.filter(B.metadata_is(F.col("o"), {"a": 2})).count() == 0
+
+
+def test_version_comparison_against_all_pairs(spark):
+    """Bands of lengths and bounds by letters leave out nothing."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    words = "the buyer shall pay a fee within thirty days of notice under this lease and not later".split()
+    rows = []
+    for k in range(120):
+        base = " ".join(r.choice(words) for _ in range(r.choice([2, 3, 8, 20, 40])))
+        for _ in range(r.randint(1, 3)):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, len(t) // 10))):
+                t[r.randrange(len(t))] = r.choice("abc ")
+            rows.append((k % 3, len(rows), "ab"[k % 2], "".join(t)))
+    v1, v2 = ([x for x in rows if x[1] % 3 != n] for n in (2, 1))
+    want = {}
+    for doc, i, kind, text in v1:
+        best = max(((SequenceMatcher(None, text, t).ratio(), -j) for d, j, k, t in v2 if (d, k) == (doc, kind)), default=(0, 0))
+        want[i] = (round(best[0], 9), -best[1]) if best[0] >= 0.85 else None
+    schema = "doc int, ord long, clause_type string, text string"
+    got = E.compare_versions(spark.createDataFrame(v1, schema), spark.createDataFrame(v2, schema)).collect()
+    assert {x.ord_v1: (round(x.similarity, 9), x.ord_v2) for x in got if x.change == "modified"} == {i: m for i, m in want.items() if m and m[0] < 1}
+    assert {x.ord_v1 for x in got if x.change == "removed"} == {i for i, m in want.items() if m is None}
+    assert {x.ord_v2 for x in got if x.change == "added"} == {x[1] for x in v2} - {m[1] for m in want.values() if m}
