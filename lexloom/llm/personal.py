@@ -49,30 +49,52 @@ _PLAIN = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250)
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 
 
+#: Characters that folding changes beyond tabs and carriage returns; letters that only the slow way makes plain.
+_FOLDED = re.compile("[" + "".join(f"\\u{c:04x}" for c in _FOLD if c > 0x20) + "]")
+_FAR_LETTER = re.compile("[\u0100-\u1fff\u2c00-\uffef\U00010000-\U0010ffff]")
+_PLAIN_BYTES = bytes(ord(_PLAIN.get(c, chr(c)).lower()) if len(_PLAIN.get(c, chr(c)).lower()) == 1 and ord(_PLAIN.get(c, chr(c)).lower()) < 256 else c for c in range(256))
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text to scan and, if characters were left out, the offset of each remaining one."""
-    if text.isascii():
-        return text.replace("\r", " ").replace("\t", " "), None
     where = None
-    if _INVISIBLE.search(text):
-        where = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
-        text = "".join([text[i] for i in where])
-    return text.translate(_FOLD), where
+    if not text.isascii():
+        if _INVISIBLE.search(text):
+            where = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
+            text = "".join([text[i] for i in where])
+        if _FOLDED.search(text):
+            return text.translate(_FOLD), where
+    return text.replace("\r", " ").replace("\t", " "), where
+
+
+def plain_lower(t: str) -> str:
+    """A folded text in lower case without accents, character by character."""
+    if t.isascii():
+        return t.lower()
+    if not _FAR_LETTER.search(t):
+        # other signs than letters become a question mark, which is no letter either
+        return t.encode("latin-1", "replace").translate(_PLAIN_BYTES).decode("latin-1")
+    plain = t.translate(_PLAIN)
+    low = plain.lower()
+    return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
 
 
 # ---- e-mail -------------------------------------------------------------------------------------------------------
 
-_AT = re.compile(r"@|\s?[\[(]\s?at\s?[\])]\s?", re.I)
+_AT = re.compile(r"@|[\[(]\s?at\s?[\])]\s?", re.I)
 _LOCAL = re.compile(r"[\w.+%'-]*\w")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[^\W\d_]{2,}", re.I)
 
 
 def emails(t: str) -> Iterator[Span]:
     for m in _AT.finditer(t):
-        at = m.start()
+        stop = m.start()
+        if t[stop] != "@" and stop and t[stop - 1].isspace():
+            stop -= 1
+        at = stop
         while at and (t[at - 1].isalnum() or t[at - 1] in "_.+%'-"):
             at -= 1
-        left = _LOCAL.fullmatch(t, at, m.start())
+        left = _LOCAL.fullmatch(t, at, stop)
         right = _DOMAIN.match(t, m.end())
         if left and right:
             start = left.start()
@@ -192,7 +214,13 @@ def _id_score(s: str, left: str) -> float:
     return score - against
 
 
+#: What every number of interest has: digits and signs between digits, seven at least.
+_DIGITS = re.compile(r"\d[\d ()./+\n-]{5,}\d")
+
+
 def numbers(t: str) -> Iterator[Span]:
+    if not _DIGITS.search(t):
+        return
     accounts = [m.span() for m in _IBAN.finditer(t) if iban(m.group())]
     free = lambda a, b: not any(x < b and a < y for x, y in accounts) and not _card(t, a, b)
     for m in _PHONE.finditer(t):
@@ -215,28 +243,42 @@ _ENGLISH = re.compile(
 _FRENCH = re.compile(rf"(?<![\w./-])\d{{1,4}}(?:{_W}?(?:bis|ter|quater))?,?{_W}(?:rue|avenue|av\.|boulevard|bd|chemin|place|quai|allée|impasse|cours|route|square|passage){_W}(?:(?:de|du|des|la|le|les|d'|l'){_W}?){{0,2}}[A-ZÀ-Ý][\w'-]*", re.I)
 _SPANISH = re.compile(rf"\b(?:C/|Calle|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carrer|Ronda|Travesía){_W}?(?:(?:de|del|la|las|los){_W}){{0,2}}[A-ZÀ-Ý][\w'-]*(?:{_W}[A-ZÀ-Ý][\w'-]*){{0,2}},?{_W}?(?:n\.? ?[º°o]\.?{_W}?|núm\.?{_W}?)?\d{{1,4}}\b", re.I)
 _GERMAN = re.compile(rf"\b[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|STRASSE|STRAßE|STR\.|WEG|PLATZ|ALLEE|GASSE|Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse){_W}\d{{1,4}}(?: ?[a-h]\b)?")
-_ENGLISH_TYPE = re.compile(r"(?<![^\W\d_])(?:st|str|street|road|rd|avenue|ave|lane|ln|court|ct|terrace|way|boulevard|blvd|drive|dr|close|crescent|place|square|row|mews|gardens)\b", re.I)
+#: Street types as they are looked for in lower case without accents, by language; the words around decide.
+_TYPES = {
+    6: "st str street road rd avenue ave lane ln court ct terrace way boulevard blvd drive dr close crescent place square row mews gardens".split(),
+    7: "rue avenue boulevard chemin place quai allee impasse cours route".split(),
+    8: "c/ calle avenida avda plaza paseo camino carrer ronda travesia".split(),
+    9: ["straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring ", "damm", "ufer"],
+}
 _NO_STREET = frozenset("the of by each in on at any all if save from within and or no this that court way place for to under upon when where article section clause annex item page".split())
 
 
-def addresses(t: str, low: str) -> Iterator[Span]:
-    for m in _ENGLISH_TYPE.finditer(t):
-        # the house number stands at most three words before the street type
-        for x in _ENGLISH.finditer(t, max(0, m.start() - 60), min(len(t), m.end() + 1)):
-            if x.start() <= m.start() < x.end():
-                words = re.findall(r"[^\W\d_][\w'-]*", x.group())[:-1]
-                words = [w for w in words if len(w) > 1 or len(words) == 1]
-                if words and not any(w.lower() in _NO_STREET for w in words) and "\n\n" not in x.group():
-                    yield Span(x.start(), x.end(), "ADDRESS", 0.8)
-    if any(w in low for w in ("rue", "avenue", "boulevard", "chemin", "place", "quai", "allée", "impasse", "cours", "route")):
+def addresses(t: str, low: str, hits: list) -> Iterator[Span]:
+    languages = set()
+    for last, cases in hits:
+        for kind, word in cases:
+            if kind < 6:
+                continue
+            languages.add(kind)
+            start, end = last - len(word) + 1, last + 1
+            if kind > 6 or (start and low[start - 1].isalpha()) or (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+                continue
+            # the house number stands at most three words before the street type
+            for x in _ENGLISH.finditer(t, max(0, start - 60), min(len(t), end + 1)):
+                if x.start() <= start < x.end():
+                    words = re.findall(r"[^\W\d_][\w'-]*", x.group())[:-1]
+                    words = [w for w in words if len(w) > 1 or len(words) == 1]
+                    if words and not any(w.lower() in _NO_STREET for w in words) and "\n\n" not in x.group():
+                        yield Span(x.start(), x.end(), "ADDRESS", 0.8)
+    if 7 in languages:
         for m in _FRENCH.finditer(t):
             if re.search(r"[A-ZÀ-Ý]", re.split(r"rue|avenue|av\.|boulevard|bd|chemin|place|quai|allée|impasse|cours|route|square|passage", m.group(), maxsplit=1, flags=re.I)[-1]):
                 yield Span(m.start(), m.end(), "ADDRESS", 0.8)
-    if any(w in low for w in ("c/", "calle", "avenida", "avda", "plaza", "paseo", "camino", "carrer", "ronda", "travesía")):
+    if 8 in languages:
         for m in _SPANISH.finditer(t):
             if re.search(r"(?:/|\s)(?:(?:de|del|la|las|los)\s+)*[A-ZÀ-Ý]", m.group()[1:], 0):
                 yield Span(m.start(), m.end(), "ADDRESS", 0.8)
-    if any(w in low for w in ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring ", "damm", "ufer")):
+    if 9 in languages:
         for m in _GERMAN.finditer(t):
             yield Span(m.start(), m.end(), "ADDRESS", 0.8)
 
@@ -352,20 +394,26 @@ def _joined(t: str, low: str, span: Span) -> Iterator[Span]:
 
 
 @lru_cache(maxsize=1)
-def _given():
-    """Given names with themselves and cues with their kind, in one automaton."""
+def _words():
+    """Given names (kind 0), words of context and street types in one automaton: a word may be of several kinds."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    cases: dict[str, list[tuple[int, str]]] = {}
     for name in {*FULL_OF, *COMMON}:
         if len(name) > 1:
-            a.add_word(name, (0, name))
-    for kind, cues in ((3, _DOES), (4, _MAY_DO), (5, _CALLED), (1, _CUES), (2, _NAME_CUES)):
+            cases.setdefault(name, []).append((0, name))
+    for kind, cues in ((1, _CUES), (2, _NAME_CUES), (3, _DOES), (4, _MAY_DO), (5, _CALLED)):
         for cue in cues:
             words = cue.strip().split(" ")
             for gaps in product((" ", "\n", "  "), repeat=len(words) - 1):
                 spelt = "".join(w + g for w, g in zip(words, (*gaps, ""), strict=True))
-                a.add_word(spelt, (kind, spelt))
+                cases.setdefault(spelt, []).append((kind, spelt))
+    for kind, types in _TYPES.items():
+        for word in types:
+            cases.setdefault(word, []).append((kind, word))
+    a = ahocorasick.Automaton()
+    for word, found in cases.items():
+        a.add_word(word, tuple(found))
     a.make_automaton()
     return a
 
@@ -393,8 +441,8 @@ def _bad_surname(s: str) -> bool:
     return s.lower().strip("'-") in _NOT_SURNAME or s.lower().split("-")[0] in _NOT_SURNAME
 
 
-def persons(t: str, low: str) -> Iterator[Span]:
-    for last, (cue, name) in _given().iter(low):
+def persons(t: str, low: str, hits: list) -> Iterator[Span]:
+    for last, cue, name in ((last, *case) for last, cases in hits for case in cases if case[0] < 6):
         start, end = last - len(name) + 1, last + 1
         if cue:
             if span := _by_context(t, low, start, end, cue) if cue > 2 else _cued(t, low, start, end, cue == 2):
@@ -469,12 +517,10 @@ def find_spans(text: str | None) -> list[Span]:
     if not text:
         return []
     t, where = fold(text)
-    plain = t if t.isascii() else t.translate(_PLAIN)
-    low = plain.lower()
-    if len(low) != len(t):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    named = list(persons(t, low))
-    found = [*emails(t), *addresses(t, low), *numbers(t), *named, *(j for s in named for j in _joined(t, low, s))]
+    low = plain_lower(t)
+    hits = list(_words().iter(low))
+    named = list(persons(t, low, hits))
+    found = [*emails(t), *addresses(t, low, hits), *numbers(t), *named, *(j for s in named for j in _joined(t, low, s))]
     found.sort(key=lambda s: (ORDER[s.kind], -s.score, s.start, -s.end))
     taken: list[Span] = []  # in order of position
     for s in found:
