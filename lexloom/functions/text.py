@@ -186,7 +186,9 @@ def normal_date(c: Column) -> Column:
 
 
 def deadline_date(text: Column, effective: Column) -> Column:
-    """A deadline as a date: absolute, or relative to the effective date unless it names another start or business days."""
+    """A deadline as a date: absolute, or relative to the effective date unless it names another start or business days.
+
+    The patterns are fixed values: ISO and month-name dates, business days, other starts, and numbers of days, weeks, months and years."""
     iso = r"(\d{4})-(\d{2})-(\d{2})"
     us = r"(\w+)\s+(\d{1,2}),?\s+(\d{4})"
     month = F.create_map(*[x for i, m in enumerate(_MONTHS) for x in (F.lit(m), F.lit(i + 1))], *[x for i, m in enumerate("january february march april june july august september october november december".split()) for x in (F.lit(m), F.lit(i + 1 if i < 4 else i + 2))])

@@ -20,64 +20,78 @@ from lexloom.plans.runtime import materialize
 
 #: Labels of the clause taxonomy with indicative words, in label order.
 CLAUSE_WORDS = {
-    "termination_for_cause": "terminate for cause|material breach|default|cure period",
-    "termination_for_convenience": "terminate for convenience|terminate without cause|at its sole discretion",
-    "notice_period_to_terminate": "days' notice|days notice|written notice of termination",
-    "payment_terms": "payment|invoice|net 30|net 60|fee|remit",
-    "cap_on_liability": "liability shall not exceed|aggregate liability|cap on liability|maximum liability",
-    "uncapped_liability": "unlimited liability|no limit on liability|no cap",
-    "liquidated_damages": "liquidated damages|penalty|pre-agreed damages",
-    "indemnification": "indemnif|hold harmless|defend|indemnitor",
-    "confidentiality": "confidential|non-disclosure|proprietary information|trade secret",
-    "governing_law": "governed by|governing law|laws of the state|applicable law",
-    "arbitration": "arbitration|arbitrator|aaa rules|jams|binding arbitration",
-    "venue": "venue|jurisdiction|courts of|exclusive jurisdiction",
-    "ip_ownership_assignment": "assigns all|intellectual property rights|work made for hire|assigns to|vests in",
-    "license_grant": "license|non-exclusive|royalty-free|sublicense|right to use",
-    "non_compete": "non-compete|not compete|refrain from competing|competing business",
-    "exclusivity": "exclusive|exclusivity|sole and exclusive",
-    "no_solicit_of_employees": "no solicit|non-solicitation|solicit employees",
-    "no_solicit_of_customers": "solicit customers|solicit clients|solicit business",
-    "anti_assignment": "shall not assign|may not assign|without prior written consent|anti-assignment",
-    "change_of_control": "change of control|merger|acquisition|change in ownership",
-    "warranty_disclaimer": "as is|disclaimer of warranties|no warranty|disclaim",
-    "insurance_requirements": "insurance|general liability|workers compensation|certificate of insurance",
-    "data_security": "data security|security measures|personal data|gdpr|data protection",
-    "audit_rights": "audit|right to audit|inspect records|audit rights",
-    "renewal_term": "automatically renew|auto-renew|renewal term|evergreen",
-    "effective_date": "effective date|effective as of|commencement date",
-    "expiration_date": "expiration date|expires on|term ends|end date",
-    "contract_modification": "amendment|modify|modification|may be amended|addendum",
-    "revenue_profit_sharing": "revenue share|profit sharing|royalty|commission",
-    "minimum_commitment": "minimum purchase|minimum commitment|minimum order|take-or-pay",
-    "most_favored_nation": "most favored nation|most-favored-nation|mfn",
-    "rofr_rofo_rofn": "right of first refusal|right of first offer|rofr|rofo",
+    "termination_for_cause": ["terminate for cause", "material breach", "default", "cure period"],
+    "termination_for_convenience": ["terminate for convenience", "terminate without cause", "at its sole discretion"],
+    "notice_period_to_terminate": ["days' notice", "days notice", "written notice of termination"],
+    "payment_terms": ["payment", "invoice", "net 30", "net 60", "fee", "remit"],
+    "cap_on_liability": ["liability shall not exceed", "aggregate liability", "cap on liability", "maximum liability"],
+    "uncapped_liability": ["unlimited liability", "no limit on liability", "no cap"],
+    "liquidated_damages": ["liquidated damages", "penalty", "pre-agreed damages"],
+    "indemnification": ["indemnif", "hold harmless", "defend", "indemnitor"],
+    "confidentiality": ["confidential", "non-disclosure", "proprietary information", "trade secret"],
+    "governing_law": ["governed by", "governing law", "laws of the state", "applicable law"],
+    "arbitration": ["arbitration", "arbitrator", "aaa rules", "jams", "binding arbitration"],
+    "venue": ["venue", "jurisdiction", "courts of", "exclusive jurisdiction"],
+    "ip_ownership_assignment": ["assigns all", "intellectual property rights", "work made for hire", "assigns to", "vests in"],
+    "license_grant": ["license", "non-exclusive", "royalty-free", "sublicense", "right to use"],
+    "non_compete": ["non-compete", "not compete", "refrain from competing", "competing business"],
+    "exclusivity": ["exclusive", "exclusivity", "sole and exclusive"],
+    "no_solicit_of_employees": ["no solicit", "non-solicitation", "solicit employees"],
+    "no_solicit_of_customers": ["solicit customers", "solicit clients", "solicit business"],
+    "anti_assignment": ["shall not assign", "may not assign", "without prior written consent", "anti-assignment"],
+    "change_of_control": ["change of control", "merger", "acquisition", "change in ownership"],
+    "warranty_disclaimer": ["as is", "disclaimer of warranties", "no warranty", "disclaim"],
+    "insurance_requirements": ["insurance", "general liability", "workers compensation", "certificate of insurance"],
+    "data_security": ["data security", "security measures", "personal data", "gdpr", "data protection"],
+    "audit_rights": ["audit", "right to audit", "inspect records", "audit rights"],
+    "renewal_term": ["automatically renew", "auto-renew", "renewal term", "evergreen"],
+    "effective_date": ["effective date", "effective as of", "commencement date"],
+    "expiration_date": ["expiration date", "expires on", "term ends", "end date"],
+    "contract_modification": ["amendment", "modify", "modification", "may be amended", "addendum"],
+    "revenue_profit_sharing": ["revenue share", "profit sharing", "royalty", "commission"],
+    "minimum_commitment": ["minimum purchase", "minimum commitment", "minimum order", "take-or-pay"],
+    "most_favored_nation": ["most favored nation", "most-favored-nation", "mfn"],
+    "rofr_rofo_rofn": ["right of first refusal", "right of first offer", "rofr", "rofo"],
 }
 #: Broader storage types of labels; all others are 'other'.
 STORAGE_TYPES = {
-    "termination": "termination_for_cause termination_for_convenience notice_period_to_terminate",
-    "payment": "payment_terms liquidated_damages price_restrictions revenue_profit_sharing minimum_commitment",
-    "liability": "cap_on_liability uncapped_liability",
-    "indemnification": "indemnification insurance_requirements",
-    "confidentiality": "confidentiality data_security",
+    "termination_for_cause": "termination",
+    "termination_for_convenience": "termination",
+    "notice_period_to_terminate": "termination",
+    "payment_terms": "payment",
+    "liquidated_damages": "payment",
+    "price_restrictions": "payment",
+    "revenue_profit_sharing": "payment",
+    "minimum_commitment": "payment",
+    "cap_on_liability": "liability",
+    "uncapped_liability": "liability",
+    "indemnification": "indemnification",
+    "insurance_requirements": "indemnification",
+    "confidentiality": "confidentiality",
+    "data_security": "confidentiality",
     "governing_law": "governing_law",
-    "dispute_resolution": "venue arbitration",
-    "intellectual_property": "license_grant ip_ownership_assignment joint_ip_ownership",
-    "warranty": "warranty_disclaimer",
-    "assignment": "anti_assignment change_of_control",
-    "amendment": "contract_modification renewal_term",
+    "venue": "dispute_resolution",
+    "arbitration": "dispute_resolution",
+    "license_grant": "intellectual_property",
+    "ip_ownership_assignment": "intellectual_property",
+    "joint_ip_ownership": "intellectual_property",
+    "warranty_disclaimer": "warranty",
+    "anti_assignment": "assignment",
+    "change_of_control": "assignment",
+    "contract_modification": "amendment",
+    "renewal_term": "amendment",
 }
 
 
-def clause_labels(c: Column, words: dict[str, str] = CLAUSE_WORDS) -> Column:
+def clause_labels(c: Column, words: dict[str, list[str]] = CLAUSE_WORDS) -> Column:
     """All labels one of whose words occurs in the text, in label order; empty for null."""
     low = F.lower(c)
-    hits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ws.split("|"))), F.lit(k)) for k, ws in words.items()]
+    hits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ws)), F.lit(k)) for k, ws in words.items()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
 def storage_type(label: Column) -> Column:
-    pairs = [x for k, vs in STORAGE_TYPES.items() for v in vs.split() for x in (F.lit(v), F.lit(k))]
+    pairs = [F.lit(x) for pair in STORAGE_TYPES.items() for x in pair]
     return F.coalesce(F.create_map(*pairs)[label], F.lit("other"))
 
 

@@ -25,6 +25,7 @@ HEADINGS = [
     ("caps_heading", r"(?U)^([A-Z][A-Z\s\-]{2,60})()$"),
 ]
 MAX_LEVEL = 12
+#: Beginnings of schedules and recitals, phrases of governing law, references, definitions and signatures.
 _SCHEDULE = r"(?iU)^(Schedule|Exhibit|Annex|Attachment)\s+([A-Z0-9]+\.?)\s*(.*)?$"
 _RECITAL = r"(?iU)^WHEREAS[,;:]?\s+(.+)$"
 _PLACE = r"([A-Z][a-zA-Z]+(?:\s+(?:(?:and|of)\s+)?[A-Z][a-zA-Z]+)*)"

@@ -302,7 +302,7 @@ def clause_provenance(spark, d):
 
 # ---- extraction -----------------------------------------------------------------------------------------------------
 
-_WORDS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)})' for w in ws.split('|'))} THEN '{k}' END" for k, ws in E.CLAUSE_WORDS.items()) + "], lambda x: x IS NOT NULL)"
+_WORDS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)})' for w in ws)} THEN '{k}' END" for k, ws in E.CLAUSE_WORDS.items()) + "], lambda x: x IS NOT NULL)"
 
 
 def _clauses(spark, d) -> DataFrame:
@@ -314,7 +314,7 @@ def clause_labels(spark, d):
     return _clauses(spark, d).filter("clause_text is not null").select("id", F.array_join(E.clause_labels(F.col("clause_text")), ",").alias("labels"))
 
 
-_STORE_SQL = " ".join(f"WHEN '{v}' THEN '{k}'" for k, vs in E.STORAGE_TYPES.items() for v in vs.split())
+_STORE_SQL = " ".join(f"WHEN '{label}' THEN '{kind}'" for label, kind in E.STORAGE_TYPES.items())
 
 
 @query(f"SELECT storage_type, count(*) AS clauses FROM (SELECT CASE unnest({_WORDS_SQL}) {_STORE_SQL} ELSE 'other' END AS storage_type FROM (SELECT DISTINCT id, lower(clause_text) AS t FROM clauses WHERE clause_text IS NOT NULL)) GROUP BY 1")
