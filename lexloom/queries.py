@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom import queries_constructed, queries_hierarchy, queries_pipeline, queries_reference
+from lexloom import queries_constructed, queries_hierarchy, queries_more, queries_pipeline, queries_reference
 
-_MODULES = [queries_hierarchy, queries_reference, queries_constructed, queries_pipeline]
+_MODULES = [queries_hierarchy, queries_reference, queries_constructed, queries_pipeline, queries_more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,3 +28,14 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
     """Append a stream as Parquet; the checkpoint makes restarts exact."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream until all that is available is done. ``complete`` replaces the output with every batch, so it always is the whole
+    result; ``append`` adds final rows only, each once even if a batch is tried again."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    (query.foreachBatch(replace) if mode == "complete" else query.format("parquet").option("path", path)).start().awaitTermination()
