@@ -313,7 +313,7 @@ def choose_threshold(scores: np.ndarray, y: np.ndarray, counts: np.ndarray) -> f
     found = np.bincount(step[y > 0], minlength=bins)[::-1].cumsum()[::-1] / max(1.0, y.sum())
     half = int(np.flatnonzero(found >= 0.5)[-1])
     sure = y[step >= half].mean() * above[half] / found[half]
-    f1 = 2 * sure * found / (sure + np.maximum(above, sure * found))
+    f1 = 2 * sure * found / np.maximum(sure + np.maximum(above, sure * found), 1e-12)
     best = np.flatnonzero(f1 >= f1[1:].max() - 1e-12)
     return float(best[best > 0][-1]) / bins
 

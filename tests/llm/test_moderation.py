@@ -48,6 +48,9 @@ def test_threshold():
     # of all documents 50 score like the labelled positives, 10 lie between
     t = choose_threshold(np.array([0.95, 0.95, 0.82, 0.3, 0.1]), np.array([1.0, 1, 1, 0, 0]), counts)
     assert 0.3 <= t <= 0.8
+    # no document at all scores like the labelled positives
+    assert choose_threshold(np.array([0.95, 0.05]), np.array([1.0, 0.0]), np.array([90, 0, 0, 0, 0, 0, 0, 0, 0, 0])) >= 0.9
+    assert choose_threshold(np.array([0.95, 0.05]), np.array([1.0, 0.0]), np.zeros(10, int)) >= 0.9
     # without anything between the labels' sides the threshold excludes the low ones all the same
     assert choose_threshold(np.array([0.95, 0.05]), np.array([1.0, 0.0]), np.array([90, 0, 0, 0, 0, 0, 0, 0, 0, 10])) == 0.9
 
@@ -70,3 +73,18 @@ def test_single_words_are_scored():
     model = fit(docs, y)
     alone = "The tenant shall pay the rent."
     assert model.score(f"{alone} Idiot!")[0] > model.score(alone)[0] and model.score(f"{alone} Idiot!")[1] == "idiot"
+
+
+def test_clashing_columns_and_given_model(spark):
+    """Columns named like the operator's own, null and repeated ids, and a model fitted before."""
+    from lexloom.llm.moderation import fit_labelled
+
+    docs, y = corpus(120, 4)
+    names = "score passage is_abusive fold part body doc y rows bias labels step".split()
+    rows = [(i, d, *["x"] * len(names)) for i, d in enumerate(docs)] + [(None, docs[0], *[None] * len(names)), (1, docs[1], *["z"] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, int(v), "r") for i, v in enumerate(y[:80])], "doc_id long, abusive int, text string")
+    fitted = fit_labelled(df, labels)
+    a, b = (sorted(map(tuple, score_documents(df, labels, fitted=f).collect()), key=str) for f in (fitted, None))
+    assert a == b and len(a) == 122
+    assert score_documents(df.limit(0), labels, fitted=fitted).collect() == []
