@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import squeeze, strip, two_decimals
+from lexloom.plans.components import components
 from lexloom.plans.runtime import materialize
 
 #: Labels of the clause taxonomy with indicative words, in label order.
@@ -153,13 +154,73 @@ def _dedupe_group(t: pa.Table, ratio: float) -> pa.Table:
     return pa.Table.from_pylist(kept, schema=t.schema.append(pa.field("place", pa.int64())))
 
 
-def dedupe_clauses(df: DataFrame, ratio: float = 0.90) -> DataFrame:
+#: Clauses of one document and type that one task goes through in order; larger groups are taken apart first, by parts of PART_TEXTS texts.
+GROUP_ROWS, PART_TEXTS = 3_000, 2_000
+
+
+def _touching(ratio: float):
+    """Pairs of nodes (a, b) of two parts of a group whose texts contain each other or reach the ratio."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right = t["part_a"][0].as_py(), t["part_b"][0].as_py()
+        part, node, texts = t["part"].to_numpy(), t["node"].to_numpy(), t["text"].to_pylist()
+        letters = np.stack([_letters(x) for x in texts])
+        sizes = np.array([len(x) for x in texts])
+        rows, others = np.flatnonzero(part == left), np.flatnonzero(part == right)
+        a, b = [], []
+        for n, i in enumerate(rows):
+            js = others if left != right else rows[n + 1 :]
+            common = np.minimum(letters[js], letters[i]).sum(1)
+            near = 2 * common >= ratio * (sizes[js] + sizes[i])
+            maybe = near | (common >= np.minimum(sizes[js], sizes[i]))
+            for j, close in zip(js[maybe], near[maybe], strict=True):
+                x, y = texts[i], texts[j]
+                if x in y or y in x or (close and SequenceMatcher(None, x, y).ratio() >= ratio) or (close and SequenceMatcher(None, y, x).ratio() >= ratio):
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _apart(src: DataFrame, large: DataFrame, ratio: float, part_texts: int) -> DataFrame:
+    """Rows of large groups with column piece: rows of different pieces have nothing in common, directly or through others. Texts of a
+    group meet in parts, two at a time, so no task gets more than two parts; only pairs that touch leave it."""
+    keys = ["doc", "clause_type"]
+    rows = src.join(F.broadcast(large), keys).withColumn("bare", strip(F.col("text"))).withColumn("node", F.xxhash64(*keys, "bare"))
+    rows = materialize(rows.drop("rows"), "large")
+    nodes = rows.groupBy("node", *keys).agg(F.min("bare").alias("text"))
+    parts = F.ceil(F.col("rows") / part_texts).cast("int")
+    cut = nodes.join(F.broadcast(large), keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = cut.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).groupBy(*keys, "part_a", "part_b")
+    edges = materialize(met.applyInArrow(_touching(ratio), "a long, b long"), "touching")
+    return rows.join(components(edges), "node", "left").withColumn("piece", F.coalesce("component", "node")).drop("component", "bare", "node")
+
+
+def dedupe_clauses(df: DataFrame, ratio: float = 0.90, group_rows: int = GROUP_ROWS, part_texts: int = PART_TEXTS) -> DataFrame:
     """Clauses (doc, ord, clause_type, text, confidence) without near-repeats of their type: contained ones go, a containing one takes
-    the place of the contained, of two similar ones the longer (then more confident, null least) stays. Greedy in order, so each
-    (document, type) is one group; groups are as large as one document's clauses of a type."""
+    the place of the contained, of two similar ones the longer (then more confident, null least) stays.
+
+    Greedy in order, so a (document, type) is gone through by one task. A group of more than ``group_rows`` is first taken apart into
+    pieces that have nothing to do with each other, which changes nothing but where the work is done."""
     src = df.select("doc", F.col("ord").cast("long"), "clause_type", "text", F.col("confidence").cast("double")).filter("text is not null")
+    keys = ["doc", "clause_type"]
     schema = ", ".join(f"{n} {t}" for n, t in src.dtypes) + ", place long"
-    return src.groupBy("doc", "clause_type").applyInArrow(lambda t: _dedupe_group(t, ratio), schema)
+    greedy = lambda t: _dedupe_group(t, ratio)
+    # null documents and types are groups of their own, as everywhere
+    src = src.withColumns({"_d": F.coalesce(F.col("doc").cast("string"), F.lit("\x00")), "_t": F.coalesce("clause_type", F.lit("\x00"))})
+    # at most rows / group_rows groups
+    large = materialize(src.groupBy("_d", "_t").agg(F.count("*").alias("rows")).filter(F.col("rows") > group_rows), "groups")
+    plain = src.join(F.broadcast(large.drop("rows")), ["_d", "_t"], "left_anti").drop("_d", "_t").groupBy(*keys).applyInArrow(greedy, schema)
+    if large.isEmpty():
+        return plain
+    named = src.select(F.col("_d").alias("doc"), "ord", F.col("_t").alias("clause_type"), "text", "confidence", F.struct("doc", "clause_type").alias("own"))
+    apart = materialize(_apart(named, large.select(F.col("_d").alias("doc"), F.col("_t").alias("clause_type"), "rows"), ratio, part_texts), "apart")
+    many = apart.groupBy("piece").agg(F.count("*").alias("n"))
+    placed = apart.join(many, "piece").select("own.doc", "ord", "own.clause_type", "text", "confidence", "piece", "n")
+    alone = placed.filter("n = 1").select("doc", "ord", "clause_type", "text", "confidence", F.col("ord").alias("place"))
+    pieces = placed.filter("n > 1").groupBy("piece").applyInArrow(lambda t: greedy(t.drop_columns(["piece", "n"])), schema)
+    return plain.unionByName(alone).unionByName(pieces)
 
 
 #: Formats of legal citations in order of precedence.

@@ -283,3 +283,33 @@ def test_version_comparison_against_all_pairs(spark):
     assert {x.ord_v1: (round(x.similarity, 9), x.ord_v2) for x in got if x.change == "modified"} == {i: m for i, m in want.items() if m and m[0] < 1}
     assert {x.ord_v1 for x in got if x.change == "removed"} == {i for i, m in want.items() if m is None}
     assert {x.ord_v2 for x in got if x.change == "added"} == {x[1] for x in v2} - {m[1] for m in want.values() if m}
+
+
+@pytest.mark.parametrize("group_rows,part_texts", [(5, 3), (20, 7), (10**6, 10)])
+def test_large_groups_of_clauses_in_pieces(spark, group_rows, part_texts):
+    """Taking large groups apart changes nothing."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    words = "fee lease rent buyer seller court notice audit books tax days month year shall pay keep hold give take".split()
+    rows = []
+    for k in range(260):
+        if rows and r.random() < 0.5:
+            t = r.choice(rows)[3]
+            t = r.choice([t, t + " " + r.choice(words), t[: max(1, len(t) * 2 // 3)], t.replace("e", "a", 1), " " + t + " "])
+        else:
+            t = " ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 6, 12, 30])))
+        rows.append((r.choice([1, 1, 1, 2, None]), k, r.choice(["pay", "pay", "law", None]), t, r.choice([None, 0.5, 0.9])))
+    rows.append((1, 999, "pay", None, 0.5))
+    df = spark.createDataFrame(rows, "doc long, ord long, clause_type string, text string, confidence double")
+    got = sorted(map(tuple, E.dedupe_clauses(df, group_rows=group_rows, part_texts=part_texts).collect()), key=lambda x: x[1])
+    want = []
+    for d in (1, 2, None):
+        for c in ("pay", "law", None):
+            mine = [dict(zip(("doc", "ord", "clause_type", "text", "confidence"), x, strict=True)) for x in rows if x[0] == d and x[2] == c and x[3] is not None]
+            if mine:
+                t = pa.Table.from_pylist(mine, schema=pa.schema([("doc", pa.int64()), ("ord", pa.int64()), ("clause_type", pa.string()), ("text", pa.string()), ("confidence", pa.float64())]))
+                want += [tuple(x.values()) for x in E._dedupe_group(t, 0.9).to_pylist()]
+    assert got == sorted(want, key=lambda x: x[1])
