@@ -89,23 +89,25 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     pen = np.array(PENALTY)[level]
     pen[0] = 0.0
     n = len(atoms)
-    lead = np.full(n, overlap)
-    lead[0] = 0
     span = int(end[-1] - start[0])
     pieces = max(1, -(-span // max(1, limit - overlap)))
-    target = span / pieces
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
+    # what a piece costs follows from its size alone; the first one repeats nothing
+    sizes = np.arange(limit + 1)
+    first = 1.0 + ((sizes - span / pieces) / limit) ** 2
+    later = first + SHORTFALL * np.minimum(1.0, np.maximum(0, sizes + overlap - limit) / max(1, overlap))
+    begun = np.full(n + 1, np.inf)  # cost of all before an atom and of the cut before it
     back = np.zeros(n + 1, np.int64)
-    low = 0
+    begins, ends, low = start.tolist(), end.tolist(), 0
     for j in range(1, n + 1):
-        while end[j - 1] - start[low] > limit:
+        stop = ends[j - 1]
+        while stop - begins[low] > limit:
             low += 1
-        size = end[j - 1] - start[low:j]
-        missing = np.maximum(0, size + lead[low:j] - limit) / max(1, overlap)
-        c = cost[low:j] + 1.0 + pen[low:j] + ((size - target) / limit) ** 2 + SHORTFALL * np.minimum(1.0, missing)
-        k = int(np.argmin(c))
-        cost[j], back[j] = c[k], low + k
+        c = begun[low:j] + later[stop - start[low:j]]
+        if low == 0:
+            c[0] = first[stop - begins[0]]
+        k = int(c.argmin())
+        back[j] = low + k
+        begun[j] = c[k] + (pen[j] if j < n else 0.0)
     cuts, j = [], n
     while j > 0:
         cuts.append((int(back[j]), j))
