@@ -171,6 +171,32 @@ def section_headings(spark, d):
     return h.groupBy("doc", "kind").agg(F.count("*").alias("headings"), F.min("ln").cast("long").alias("first_line"))
 
 
+_BARE = r"trim(regexp_replace({c}, '(?i)^(section|article|clause|para(?:graph)?|exhibit|schedule|annex|§)\s*', ''))"
+#: Headings with number, level and order, and the bodies below them.
+_TREE_SQL = (
+    _HEAD_SQL.rstrip()
+    + r""", v AS (SELECT doc, ln, kind, row_number() OVER (PARTITION BY doc ORDER BY ln) AS ord, regexp_replace(trim(CASE kind
+   WHEN 'article' THEN regexp_extract(s, '(?i)^(Article\s+(?:[IVX]+|[0-9]+)\.?)', 1)
+   WHEN 'named_numeric' THEN regexp_extract(s, '(?i)^(Section\s+[0-9]+(?:\.[0-9]+)*(?:\([a-z0-9]+\))*)', 1)
+   WHEN 'deep_numeric' THEN regexp_extract(s, '(?i)^([0-9]+(?:\.[0-9]+)+(?:\([a-z0-9]+\))*\.?)', 1)
+   WHEN 'numeric_top' THEN regexp_extract(s, '^([0-9]+\.)', 1) WHEN 'paren_alpha' THEN regexp_extract(s, '(?i)^(\([a-z]\)(?:\([ivx]+\))?)', 1)
+   WHEN 'alpha_top' THEN regexp_extract(s, '^([A-Z]\.)', 1) ELSE s END), '\.+$', '') AS number FROM k WHERE kind IS NOT NULL),
+t AS (SELECT doc, ln, ord, number, CAST(CASE kind
+   WHEN 'named_numeric' THEN len(regexp_extract_all(regexp_extract(number, '([0-9][0-9.]*)', 1), '\.'))
+   WHEN 'deep_numeric' THEN len(regexp_extract_all(number, '\.')) + len(regexp_extract_all(number, '(?i)\([a-z0-9]+\)'))
+   WHEN 'paren_alpha' THEN len(regexp_extract_all(number, '(?i)\([a-z0-9]+\)')) ELSE 0 END AS INTEGER) AS level FROM v),
+b AS (SELECT t.doc, t.ord, t.number, string_agg(k.line, chr(10) ORDER BY k.ln) AS body FROM t JOIN k ON k.doc = t.doc AND k.kind IS NULL AND k.ln > t.ln
+  AND k.ln < coalesce((SELECT min(n.ln) FROM t n WHERE n.doc = t.doc AND n.ln > t.ln), 1000000000) GROUP BY t.doc, t.ord, t.number)
+"""
+)
+
+
+@query(_TREE_SQL + "SELECT doc, CAST(ord AS INTEGER) AS ord, number, level, CAST((SELECT max(p.ord) FROM t p WHERE p.doc = t.doc AND p.ord < t.ord AND p.level < t.level) AS INTEGER) AS parent_ord FROM t")
+def section_parents(spark, d):
+    """Every section with the nearest one above it of a lower level."""
+    return S.sections(_docs(spark, d), "id", "full_text").select("doc", "ord", "number", "level", "parent_ord")
+
+
 @query()
 def section_tree(spark, d):
     return S.sections(_docs(spark, d), "id", "full_text")
@@ -197,7 +223,12 @@ FROM (SELECT *, min(level) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN UNBOU
 )
 
 
-@query()
+@query(
+    _TREE_SQL
+    + r"""SELECT id AS doc, 'NO_SECTIONS_FOUND' AS code, '' AS location FROM legal_docs WHERE full_text IS NOT NULL AND id NOT IN (SELECT doc FROM t)
+UNION ALL SELECT doc, 'DUPLICATE_SECTION_NUMBER', number FROM t GROUP BY doc, number HAVING count(*) > 1
+UNION ALL SELECT doc, 'MIXED_NUMBERING_SCHEMES', '' FROM (SELECT doc, CASE WHEN regexp_matches(number, '^[IVX]+$') THEN 'roman' WHEN regexp_matches(number, '^[0-9]+') THEN 'numeric' WHEN regexp_matches(number, '^[A-Z]$') THEN 'alpha' WHEN lower(number) LIKE 'article%' THEN 'article' END AS scheme FROM t WHERE level = 0) GROUP BY doc HAVING count(DISTINCT scheme) > 1"""
+)
 def structure_warnings(spark, d):
     docs = _docs(spark, d).filter("full_text is not null")
     return S.parse_warnings(S.sections(docs, "id", "full_text"), docs.select(F.col("id").alias("doc")))
@@ -214,13 +245,22 @@ def term_usages(spark, d):
     return S.term_usages(s, S.defined_terms(s))
 
 
-@query()
+_REFS_SQL = (
+    _TREE_SQL.rstrip()
+    + rf""", r AS (SELECT DISTINCT doc, number, trim(unnest(regexp_extract_all(body, '(?i)(?:\b(?:Section|Article|Clause|Para(?:graph)?|Exhibit|Schedule|Annex)\s+|§\s*)(?:(?-i:[IVX]+|[A-Z])\b|[0-9]+(?:\.[0-9]+)*(?:\([a-z0-9]+\))*)'))) AS raw FROM b),
+x AS (SELECT doc, unnest([number, ltrim(number, '0'), {_BARE.format(c="number")}]) AS key FROM t), i AS (SELECT DISTINCT doc, key FROM x),
+c AS (SELECT DISTINCT r.doc, number AS source_section, raw AS raw_text, {_BARE.format(c="raw")} AS target_number, i.key IS NOT NULL AS resolved FROM r LEFT JOIN i ON i.doc = r.doc AND i.key = {_BARE.format(c="raw")} WHERE {_BARE.format(c="raw")} <> {_BARE.format(c="number")})
+"""
+)
+
+
+@query(_REFS_SQL + "SELECT * FROM c")
 def cross_references(spark, d):
     docs = _docs(spark, d)
     return S.cross_references(S.sections(docs, "id", "full_text"), S.schedules(docs, "id", "full_text"))
 
 
-@query()
+@query(_REFS_SQL + "SELECT * FROM c WHERE NOT resolved")
 def unresolved_references(spark, d):
     return cross_references(spark, d).filter(~F.col("resolved"))
 
@@ -338,6 +378,20 @@ def clause_dedupe(spark, d):
     return E.dedupe_clauses(c).select("doc", "ord", "clause_type", "place")
 
 
+_CITE = [("case", r"[A-Z][A-Za-z\s\.,]+v\.\s+[A-Z][A-Za-z\s\.,]+,\s+[0-9]+\s+[A-Z][A-Za-z\.]+\s+[0-9]+"), ("statute", r"[0-9]+\s+U\.S\.C\.?\s+§+\s+[0-9\w\-\.]+"), ("regulation", r"[0-9]+\s+C\.F\.R\.?\s+§+\s+[0-9\w\-\.]+"), ("regulation", r"(?:Regulation|Directive)\s+\([A-Z]+\)\s+[0-9]{4}/[0-9]+"), ("regulation", "GDPR|CCPA|HIPAA|FERPA|COPPA")]
+
+
+@query(
+    "SELECT doc, citation_type, count(*) AS wordings FROM (SELECT doc, w, arg_min(citation_type, n) AS citation_type FROM ("
+    + " UNION ALL ".join(f"SELECT id AS doc, {n} AS n, '{k}' AS citation_type, trim(unnest(regexp_extract_all(full_text || ' See 1 U.S.C. § ' || id, '{p}'))) AS w FROM legal_docs WHERE full_text IS NOT NULL" for n, (k, p) in enumerate(_CITE))
+    + ") GROUP BY doc, w) GROUP BY doc, citation_type"
+)
+def citation_counts(spark, d):
+    """Citations in all legal texts, to each of which one is added so that there is one."""
+    docs = _docs(spark, d).filter("full_text is not null").select("id", F.concat("full_text", F.lit(" See 1 U.S.C. § "), F.col("id").cast("string")).alias("t"))
+    return E.citations(docs, "id", "t").groupBy("doc", "citation_type").agg(F.count("*").alias("wordings"))
+
+
 @query()
 def legal_citations(spark, d):
     return E.citations(_docs(spark, d), "id", "full_text")
