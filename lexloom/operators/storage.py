@@ -171,3 +171,15 @@ def jdbc(spark, url: str, dbtable: str, key: str | None = None, parts: int = 16,
     if key and bounds:
         r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return r.load()
+
+
+def append_jdbc(df: DataFrame, url: str, dbtable: str, key: str, **options: str) -> None:
+    """Append rows whose key the database's table does not have, each key once: a retry appends nothing twice. A missing table is made."""
+    spark = df.sparkSession
+    new = df.dropDuplicates([key])
+    try:
+        new = new.join(jdbc(spark, url, dbtable, **options).select(F.col(key).alias("_known")), F.col(key) == F.col("_known"), "left_anti")
+    except Exception as e:  # each database has its own words for a missing table
+        if not any(w in str(e).lower() for w in ("not exist", "not found", "no such", "unknown table", "42p01", "42x05")):
+            raise
+    new.write.format("jdbc").option("url", url).option("dbtable", dbtable).options(**options).mode("append").save()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import deadline_date
+from lexloom.operators.chunking import chunk_clause_aware
+from lexloom.operators.contracts import extract
 from lexloom.operators.extraction import clause_labels, text_citations
 from lexloom.operators.privacy import merged_text
 from lexloom.plans.tasks import Provider, Registry, Task, append_columns, complete, prompt
@@ -97,6 +99,22 @@ def risk_task(severities: tuple[str, ...], least: str) -> Task:
     return Task("risk_analysis", run)
 
 
+def extraction_task(provider: Provider, known_types: list[str], threshold: float = 0.5) -> Task:
+    """Adds what a model extracts from a contract: status, type and numbers of parties, clauses and terms. Documents are joined with their
+    records, which are written before, so calls are made once."""
+
+    def run(docs: DataFrame, mine: Column) -> DataFrame:
+        chunks = chunk_clause_aware(docs.filter(mine), "id", "full_text").select("doc", "seq", "chunk")
+        got = extract(chunks, provider, known_types, threshold)
+        told = got.documents.select("doc", "status", "contract_type")
+        for name, part in (("parties", got.parties), ("clauses", got.clauses), ("terms", got.terms)):
+            told = told.join(part.groupBy("doc").agg(F.count("*").alias(name)), "doc", "left")
+        told = told.select(F.col("doc").alias("id"), F.struct("status", "contract_type", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("parties", "clauses", "terms"))).alias("extraction"))
+        return docs.join(told, "id", "left")
+
+    return Task("contract_extraction", run, ("contract",), True)
+
+
 def names_task(recogniser: Callable[[str], list[str]]) -> Task:
     """Adds the entities that a given recogniser names in a text, each once, in order."""
 
@@ -107,7 +125,7 @@ def names_task(recogniser: Callable[[str], list[str]]) -> Task:
 
 
 #: Prompt templates with their versions; ``register_template`` adds newer ones.
-TEMPLATES: dict[tuple[str, int], str] = {("summarization", 1): "Summarise this document:\n", ("obligations", 1): "List the obligations in this document:\n", ("contract_extraction", 1): "List parties, dates and amounts of this contract as JSON:\n"}
+TEMPLATES: dict[tuple[str, int], str] = {("summarization", 1): "Summarise this document:\n", ("obligations", 1): "List the obligations in this document:\n"}
 
 
 def register_template(task_id: str, version: int, text: str) -> None:
@@ -124,7 +142,7 @@ def template(task_id: str, version: int | None = None) -> str:
     return found[max(found) if version is None else version]
 
 
-def default_registry(provider: Provider | None = None, recogniser: Callable[[str], list[str]] | None = None) -> Registry:
+def default_registry(provider: Provider | None = None, recogniser: Callable[[str], list[str]] | None = None, known_types: list[str] | None = None) -> Registry:
     r = Registry()
     for make in (pii_task, label_task, citation_task, timeline_task):
         r.register(make().task_id, make)
@@ -132,9 +150,10 @@ def default_registry(provider: Provider | None = None, recogniser: Callable[[str
     if recogniser is not None:
         r.register("ner", lambda: names_task(recogniser))
     if provider is not None:
-        for name in ("summarization", "obligations", "contract_extraction"):
+        for name in ("summarization", "obligations"):
             r.register(name, lambda n=name: model_task(n, template(n), provider))
         r.register("comparison", lambda: comparison_task(provider))
+        r.register("contract_extraction", lambda: extraction_task(provider, known_types or []))
     return r
 
 

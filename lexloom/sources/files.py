@@ -31,18 +31,31 @@ def _plain(content: bytes) -> str:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def docx_text(content: bytes) -> str:
-    """Body blocks in order: paragraphs, and table rows with cells joined by ' | ' (a merged cell once)."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+def _blocks(root: ElementTree.Element) -> list[str]:
+    """Paragraphs, and table rows with cells joined by ' | ' (a merged cell once), in order; blank ones are left out."""
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
     out = []
-    for block in body if body is not None else ():
+    for block in root:
         if block.tag == f"{_W}p":
             out.append(text(block))
         elif block.tag == f"{_W}tbl":
             out += [" | ".join(text(c).strip() for c in row.iter(f"{_W}tc")) for row in block.iter(f"{_W}tr")]
-    return "\n".join(x for x in out if x.strip())
+    return [x for x in out if x.strip()]
+
+
+def docx_text(content: bytes, headers: bool = False, footers: bool = False) -> str:
+    """The body's blocks in order, after the headers and before the footers where asked for. Headers and footers are parts of the file, so
+    one that several sections share is told once."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        part = lambda kind: [x for n in sorted(z.namelist(), key=lambda n: (len(n), n)) if n.startswith(f"word/{kind}") and n.endswith(".xml") for x in _blocks(ElementTree.fromstring(z.read(n)))]
+        above, below = part("header") if headers else [], part("footer") if footers else []
+    return "\n".join([*above, *(_blocks(body) if body is not None else []), *below])
+
+
+def docx_loader(headers: bool = False, footers: bool = False) -> Callable[[bytes], str]:
+    """A loader for ``load_files`` that also reads headers or footers."""
+    return lambda content: docx_text(content, headers, footers)
 
 
 def pdf_text(content: bytes) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.storage import append_jdbc
+
 
 def distinct_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each event id once; state is dropped when the watermark has passed."""
@@ -39,3 +41,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     (query.foreachBatch(replace) if mode == "complete" else query.format("parquet").option("path", path)).start().awaitTermination()
+
+
+def append_to_jdbc(stream: DataFrame, url: str, dbtable: str, checkpoint: str, key: str = "event_id", **options: str) -> None:
+    """Events of a stream into a table of a database, each id once even if a batch is tried again."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_jdbc(batch, url, dbtable, key, **options)).start().awaitTermination()

@@ -154,3 +154,45 @@ def test_detection_skips_plain_texts_only(spark):
     t = spark.createDataFrame([(1, "no mark"), (2, "a@b.org"), (3, "１２３-45-6789"), (4, None), (5, "")], "id long, t string")
     assert {r.doc for r in P.detect(t, "id", "t").collect()} == {2, 3}
     assert {r.doc for r in P.detect(t, "id", "t", [("X", "no", 0.9)]).collect()} == {1, 2, 3}
+
+
+def test_database_sink(spark, tmp_path):
+    """An embedded database: the table is made, retries and repeated keys add nothing."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "event_id string, n int")
+    B.append_jdbc(df, url, "audit", "event_id", **driver)
+    B.append_jdbc(df.unionByName(spark.createDataFrame([("c", 3)], "event_id string, n int")), url, "audit", "event_id", **driver)
+    assert sorted(map(tuple, B.jdbc(spark, url, "audit", **driver).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    from lexloom.streaming.audit import append_to_jdbc
+
+    df.unionByName(spark.createDataFrame([("d", 4)], "event_id string, n int")).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
+    append_to_jdbc(stream, url, "audit", str(tmp_path / "state"), **driver)
+    append_to_jdbc(stream, url, "audit", str(tmp_path / "other"), **driver)
+    assert B.jdbc(spark, url, "audit", **driver).count() == 4
+
+
+def test_headers_and_footers():
+    import io
+
+    from lexloom.sources.files import docx_loader, docx_text
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('one')}{p(' ')}{p('two')}</w:body></w:document>")
+        z.writestr("word/header1.xml", f"<w:hdr {w}>{p('top')}</w:hdr>")
+        z.writestr("word/footer1.xml", f"<w:ftr {w}>{p('end')}</w:ftr>")
+    assert docx_text(f.getvalue()) == "one\ntwo" and docx_loader(True, True)(f.getvalue()) == "top\none\ntwo\nend"
+
+
+def test_extraction_as_a_task(spark):
+    from lexloom.plans.builtin import default_registry
+
+    answer = '{"contract_type": "NDA", "parties": [{"name": "A", "role": null, "confidence": 0.9}], "clauses": [{"clause_type": "x", "text": "t", "confidence": 0.9}], "financial_terms": []}'
+    docs = spark.createDataFrame([(1, "contract", "any", "1. Text of it"), (2, "letter", "any", "x"), (3, "contract", "blocked", "y"), (4, "contract", "any", None)], "id long, doc_type string, route string, full_text string")
+    out = {r.id: r for r in default_registry(Scripted(lambda p: answer), known_types=["nda"]).pipeline("contract_extraction")(docs).collect()}
+    assert tuple(out[1].extraction) == ("extracted", "nda", 1, 1, 0) and out[2].extraction is None and out[3].extraction is None and out[4].extraction is None
+    assert out[3].task_errors == ["contract_extraction: routing forbids this provider"]
