@@ -138,6 +138,34 @@ def confidence_warnings(spark, d):
     return E.low_confidence_warning(c, "document_id", "clause_type", "c", 0.5).withColumnRenamed("document_id", "doc")
 
 
+#: (variant, text before, value, text behind, whether it is a format that is supported)
+_FORMATS = [
+    ("phone", "Call (", "212) 555-0100", " now", True),
+    ("social security", "No. ", "123-45-6789", ".", True),
+    ("social security, other dashes", "No. ", "123\u201345\u20136789", ".", True),
+    ("social security, hidden character", "No. ", "123-45\u200b-6789", ".", True),
+    ("card", "Paid by ", "4111 1111 1111 1111", ".", True),
+    ("account", "To ", "DE89370400440532013000", ".", True),
+    ("passport", "Holds ", "XY1234567", ".", True),
+    ("birth", "born: ", "01/02/1980", ".", True),
+    ("address", "Mail ", "jane.roe+x@example.org", ", please", True),
+    ("social security in words", "No. ", "one two three", ".", False),
+    ("card, four groups of letters", "Paid by ", "abcd efgh ijkl mnop", ".", False),
+    ("section number", "See Section ", "12.3.4", ".", False),
+    ("sum", "Owes ", "USD 1,000.00", ".", False),
+]
+
+
+@query("SELECT variant, n AS cases, CASE WHEN ok THEN n ELSE 0 END AS caught FROM (VALUES " + ", ".join(f"('{v}', {str(ok).lower()})" for v, _, _, _, ok in _FORMATS) + f") f(variant, ok), (SELECT count(*) AS n FROM {_CUST})")
+def pii_formats(spark, d):
+    """Values in every format and in look-alikes, once for each customer: how many are covered whole by what is detected."""
+    f = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("variant"), F.lit(a).alias("a"), F.lit(x).alias("x"), F.lit(b).alias("b")) for i, (v, a, x, b, _) in enumerate(_FORMATS)))
+    t = _customers(spark, d).select("k", F.explode(f).alias("f")).select((F.col("k") * 100 + F.col("f.i")).alias("id"), "f.variant", F.concat("f.a", "f.x", "f.b").alias("t"), F.length("f.a").cast("long").alias("start"), F.length(F.concat("f.a", "f.x")).cast("long").alias("end"))
+    gold = t.select(F.col("id").alias("doc"), "start", "end", F.col("variant").alias("entity"))
+    covered = V.span_coverage(gold, P.merge_spans(P.detect(t, "id", "t")))
+    return covered.groupBy(F.col("entity").alias("variant")).agg(F.count("*").alias("cases"), F.count_if("covered").alias("caught"))
+
+
 # ---- tasks ----------------------------------------------------------------------------------------------------------
 
 
