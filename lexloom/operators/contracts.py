@@ -86,7 +86,7 @@ def resolve_type(said: Column, hint: Column, known: list[str]) -> Column:
 
 
 def low_confidence(parties: DataFrame, threshold: float) -> DataFrame:
-    """(doc, warning) naming the parties below the threshold, in order."""
+    """(doc, warning) naming the parties below the threshold, in order. The wording is a fixed value."""
     item = F.format_string("Party '%s' (conf=%s)", F.col("name"), F.format_number("confidence", 2))
     low = parties.filter(F.col("confidence") < threshold).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("t")))).alias("w"))
     return low.select("doc", F.concat(F.lit(f"Items below confidence threshold ({threshold}): "), F.array_join(F.transform("w", lambda x: x["t"]), "; ")).alias("warning"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
@@ -17,35 +18,42 @@ from lexloom.plans.tasks import Provider, complete
 LOCAL_NETWORKS = tuple(map(ipaddress.ip_network, ("127.0.0.0/8", "::1/128", "0.0.0.0/32", "::/128", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7", "100.64.0.0/10", "169.254.0.0/16", "fe80::/10")))
 
 
+#: Models that a local server passes on: 'cloud' as the end of the last part of a name, before any digest.
+_CLOUD_MODEL = re.compile(r"(?i)(?:[^@]*[:/-])?cloud(?:@.*)?")
+
+
 def is_local_address(text: str) -> bool:
     at = ipaddress.ip_address(text)
     at = getattr(at, "ipv4_mapped", None) or at
     return any(at in n for n in LOCAL_NETWORKS if n.version == at.version)
 
 
+def addresses_of(host: str | None, resolve: Callable[[str], list[str]] | None) -> list[str]:
+    """The addresses behind a host or its URL: itself if it is one, else what ``resolve`` says; none if that is not known."""
+    name = urlsplit(host if "://" in host else f"//{host}").hostname if host else None
+    if not name:
+        return []
+    try:
+        return [str(ipaddress.ip_address(name))]
+    except ValueError:
+        pass
+    try:
+        return list(resolve(name)) if resolve else []
+    except OSError:
+        return []
+
+
 def not_local(provider: Provider, resolve: Callable[[str], list[str]] | None = None) -> str | None:
     """Why a provider may not see a document for local models only; None if it may. It must say that it is local, name no cloud model,
     and have a host all of whose addresses are local; names are looked up by ``resolve`` (without it only addresses are known)."""
-    if not getattr(provider, "is_local", False):
-        return f"provider {provider.name} is not local"
-    tag = getattr(provider, "model", "").split("@")[0].lower().rsplit("/")[-1].rpartition(":")[2]
-    if tag == "cloud" or tag.endswith("-cloud"):
-        return f"model {provider.model} runs in a cloud"
-    host = getattr(provider, "host", None)
-    if not host:
-        return "its host is not set"
-    name = urlsplit(host if "://" in host else f"http://{host}").hostname or ""
-    try:
-        addresses = [str(ipaddress.ip_address(name))]
-    except ValueError:
-        try:
-            addresses = list(resolve(name)) if resolve else []
-        except OSError:
-            addresses = []
-        if not addresses:
-            return f"its host {name} can't be resolved"
-    away = [a for a in addresses if not is_local_address(a)]
-    return f"its host is at a public address ({away[0]})" if away else None
+    at = addresses_of(getattr(provider, "host", None), resolve)
+    reasons = {
+        f"provider {provider.name} is not local": not getattr(provider, "is_local", False),
+        "its model runs in a cloud": bool(_CLOUD_MODEL.fullmatch(getattr(provider, "model", ""))),
+        "the addresses of its host are not known": not at,
+        "its host is at a public address": not all(map(is_local_address, at)),
+    }
+    return next((why for why, holds in reasons.items() if holds), None)
 
 
 def decision(route: Column, sensitivity: Column, done: Column, local_reason: str | None) -> Column:

@@ -464,7 +464,8 @@ def low_confidence_warning(df: DataFrame, doc: str, name: str, confidence: str,
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
-    """(doc, summary) of ``compare_versions``: how many clause types were added and removed and clauses changed, then each by name."""
+    """(doc, summary) of ``compare_versions``: how many clause types were added and removed and clauses changed, then each by name. The wording is a
+    fixed value."""
     order = F.array_sort(F.collect_list(F.when(F.col("change").isin("modified", "removed", "added"), F.struct("clause_type", F.coalesce("ord_v1", F.lit(2**62)).alias("a"), F.coalesce("ord_v2", F.lit(2**62)).alias("b"), "change", "similarity"))))
     types = lambda w: F.array_sort(F.collect_set(F.when(F.col("change") == w, F.col("clause_type"))))
     g = changes.groupBy("doc").agg(types("type_added").alias("more"), types("type_removed").alias("less"), order.alias("each"))

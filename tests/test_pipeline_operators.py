@@ -26,7 +26,8 @@ def test_local_providers():
 
     ok = ["http://127.0.0.1:1", "10.0.0.7", "[::1]:80", "http://192.168.1.1", "100.64.3.4", "[::ffff:10.0.0.1]"]
     assert [N.not_local(At(h)) for h in ok] == [None] * len(ok)
-    for bad in (At("8.8.8.8"), At("http://[2002::1]"), At(None), At("10.0.0.1", "reg/m:120b-cloud@sha"), At("10.0.0.1", "m:Cloud"), At("10.0.0.1", is_local=False), At("nowhere.example")):
+    assert not any(N.not_local(At("10.0.0.1", m)) for m in ("", "cloudy", "a-cloud:small", "reg@x/m:cloudlet", "mcloud"))
+    for bad in (At("8.8.8.8"), At("http://[2002::1]"), At(None), At("10.0.0.1", "reg/m:120b-cloud@sha"), At("10.0.0.1", "m:Cloud"), At("10.0.0.1", "cloud"), At("10.0.0.1", "a/x-cloud"), At("10.0.0.1", is_local=False), At("nowhere.example")):
         assert N.not_local(bad)
     assert N.not_local(At("inside.example"), lambda n: ["10.1.1.1"]) is None and N.not_local(At("inside.example"), lambda n: ["10.1.1.1", "9.9.9.9"])
 
