@@ -29,7 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.plans.runtime import materialize
@@ -301,6 +301,17 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return Fitted(Model(rows.astype(np.float32), float(np.mean(got["bias"].to_numpy()))), flat("scores"), (flat("labels") > 0.5).astype(float))
 
 
+def save_fitted(spark: SparkSession, fitted: Fitted, path: str) -> None:
+    """One row: the model's numbers (1 MB) and the held-out scores, for later runs and other applications."""
+    row = (bytearray(fitted.model.rows.astype("<f4").tobytes()), fitted.model.bias, fitted.scores.tolist(), fitted.labels.tolist())
+    spark.createDataFrame([row], "rows binary, bias double, scores array<double>, labels array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_fitted(spark: SparkSession, path: str) -> Fitted:
+    r = spark.read.parquet(path).first()
+    return Fitted(Model(np.frombuffer(bytes(r["rows"]), "<f4").copy(), r["bias"]), np.array(r["scores"]), np.array(r["labels"]))
+
+
 def choose_threshold(scores: np.ndarray, y: np.ndarray, counts: np.ndarray) -> float:
     """The threshold with the best F1 over all documents, of which ``counts`` says how many score in each of its equal steps.
 

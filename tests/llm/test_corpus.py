@@ -75,3 +75,32 @@ def test_mix(spark):
     assert sum(r.tokens for r in out if r.source == "big_source") == report["big_source"].emitted_tokens
     assert sorted(map(tuple, out)) == sorted(map(tuple, mix(df, targets).collect()))
     assert mix(df.limit(0), targets).collect() == []
+
+
+def test_clashing_columns_nulls_and_ties(spark):
+    """Columns named like the operators' own, nulls in every column, equal texts and rows delivered twice."""
+    names = "tokens doc body source_key text_key rate copies share class group piece_no container_id".split()
+    extra = ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"word {i % 7} " * 9, "a" if i % 2 else None, *["x"] * len(names)) for i in range(60)] + [(None, "lonely text", "a", *[None] * len(names)), (3, "word 3 " * 9, "a", *["y"] * len(names)), (70, None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {extra}")
+    packed = pack(df, capacity=64).collect()
+    held = {}
+    for r in packed:
+        held[r.container_id] = held.get(r.container_id, 0) + r.tokens
+    assert len(packed) == 62 and max(held.values()) <= 64
+    targets = spark.createDataFrame([("a", 0.4, 2, "z"), ("A ", 0.1, None, "z"), (None, 0.5, 1, "z"), ("b", None, 1, "z"), ("c", 0.0, 1, "z")], "source string, target_share double, max_repeats int, texts string")
+    out = mix(df, targets).collect()
+    assert {r.source for r in out} == {"a"} and max(r.copy_no for r in out) <= 2
+    assert len({r.doc for r in out}) == len({(r.doc, r.tokens) for r in out}) <= 8
+    assert mix(df, targets.limit(0)).collect() == [] and mix_report(df.limit(0), targets).count() == 1
+
+
+def test_shares_come_close_and_caps_bind(spark):
+    """With many texts the shares reached are near the targets; a source too small for its share is repeated up to its cap only."""
+    rows = [(i, f"text {i} " + "of some words " * (i % 9), "big" if i % 10 else "small") for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = lambda cap: spark.createDataFrame([("big", 0.7, None), ("small", 0.3, cap)], "source string, target_share double, max_repeats int")
+    free = {r.source: r for r in mix_report(df, targets(None)).collect()}
+    assert abs(free["small"].reached_share - 0.3) < 0.01 and free["small"].most_copies in (3, 4)
+    capped = {r.source: r for r in mix_report(df, targets(2)).collect()}
+    assert capped["small"].most_copies == 2 and capped["small"].emitted_tokens == 2 * capped["small"].available_tokens

@@ -75,9 +75,9 @@ def test_single_words_are_scored():
     assert model.score(f"{alone} Idiot!")[0] > model.score(alone)[0] and model.score(f"{alone} Idiot!")[1] == "idiot"
 
 
-def test_clashing_columns_and_given_model(spark):
+def test_clashing_columns_and_given_model(spark, tmp_path):
     """Columns named like the operator's own, null and repeated ids, and a model fitted before."""
-    from lexloom.llm.moderation import fit_labelled
+    from lexloom.llm.moderation import fit_labelled, load_fitted, save_fitted
 
     docs, y = corpus(120, 4)
     names = "score passage is_abusive fold part body doc y rows bias labels step".split()
@@ -85,6 +85,8 @@ def test_clashing_columns_and_given_model(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     labels = spark.createDataFrame([(i, int(v), "r") for i, v in enumerate(y[:80])], "doc_id long, abusive int, text string")
     fitted = fit_labelled(df, labels)
-    a, b = (sorted(map(tuple, score_documents(df, labels, fitted=f).collect()), key=str) for f in (fitted, None))
-    assert a == b and len(a) == 122
+    save_fitted(spark, fitted, str(tmp_path / "model"))
+    again = load_fitted(spark, str(tmp_path / "model"))
+    a, b, c = (sorted(map(tuple, score_documents(df, labels, fitted=f).collect()), key=str) for f in (fitted, None, again))
+    assert a == b == c and len(a) == 122
     assert score_documents(df.limit(0), labels, fitted=fitted).collect() == []
