@@ -22,6 +22,8 @@ from lexloom.queries_constructed import _ORDERS
 from lexloom.queries_pipeline import _CUST, _orders, _text
 from lexloom.session import table
 from lexloom.sources.exports import write_csv
+from lexloom.sources.files import load_files
+from lexloom.sources.web import fetch, fetch_pages
 from lexloom.streaming import audit as A
 
 QUERIES: dict = {}
@@ -291,6 +293,84 @@ def csv_roundtrip(spark, d):
     return back.groupBy(F.coalesce("doc_type", F.lit("")).alias("doc_type"), F.coalesce("language", F.lit("")).alias("language")).agg(F.count("*").alias("cells"))
 
 
+# ---- sources --------------------------------------------------------------------------------------------------------
+
+
+def _server(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], str]:
+    """A scripted server: by its number a page is new, unchanged, missing, moved to itself, or moved to a private address."""
+    k = int(url.rsplit("/", 1)[-1].split("?")[0])
+    if k % 5 == 1 and headers.get("If-None-Match") == f"e{k}":
+        return 304, {}, ""
+    if k % 5 == 2:
+        return 404, {}, "gone"
+    if k % 5 == 3 and not url.endswith("?moved"):
+        return 302, {"Location": f"/{k}?moved"}, ""
+    if k % 5 == 4:
+        return 301, {"Location": f"http://10.0.0.1/{k}"}, ""
+    return 200, {"ETag": f"e{k}"}, f"page {k}"
+
+
+@query(
+    f"""SELECT 'http://93.184.216.34/' || k AS url, CASE k % 5 WHEN 1 THEN 304 WHEN 2 THEN 404 WHEN 4 THEN 301 ELSE 200 END AS status, CASE WHEN k % 5 IN (0, 3) THEN 'page ' || k WHEN k % 5 = 1 THEN '' END AS body,
+  k % 5 IN (0, 3) AND NOT (k % 5 = 0 AND k % 2 = 0) AS changed, CASE k % 5 WHEN 2 THEN 'HTTP 404' WHEN 4 THEN 'not followed: http://10.0.0.1/' || k END AS error FROM {_CUST}"""
+)
+def fetched_pages(spark, d):
+    """Conditional fetches of a page for every customer, some of them known; a public page does not lead to a private address."""
+    k = F.col("k")
+    known = F.when(k % 5 == 1, F.sha2(F.lit("old"), 256)).when((k % 5 == 0) & (k % 2 == 0), F.sha2(_text("page ", k), 256))
+    urls = _customers(spark, d).select(_text("http://93.184.216.34/", k).alias("url"), F.when(k % 5 == 1, _text("e", k)).alias("etag"), F.lit(None).cast("string").alias("last_modified"), known.alias("content_hash"))
+    return fetch(urls, _server, backoff=0).select("url", "status", "body", "changed", "error")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS k, 'a' || n_nationkey || chr(10) || chr(10) || 'b' || n_nationkey AS texts FROM nation")
+def paged_texts(spark, d):
+    """Two pages of an API for every nation, the second named by a header, a page without a text between them."""
+
+    def send(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], str]:
+        path, _, page = url.partition("?p=")
+        k = path.rsplit("/", 1)[-1]
+        if not page:
+            return 200, {"Link": f'<{path}?p=2>; rel="next"'}, f'{{"data": {{"text": "a{k}"}}}}'
+        return (200, {}, f'{{"data": {{}}, "next": "{path}?p=3"}}') if page == "2" else (200, {}, f'{{"data": {{"text": "b{k}"}}, "next": "{url}"}}')
+
+    keys = [r[0] for r in table(spark, d, "nation").select("n_nationkey").distinct().collect()]
+    return spark.createDataFrame([(int(k), fetch_pages(f"http://93.184.216.34/{k}", send, "data.text")) for k in keys], "k int, texts string")
+
+
+@query("SELECT 'txt' AS suffix, p_name AS line, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_name")
+def loaded_files(spark, d):
+    """Names of parts written as text files and loaded as documents."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, d, "part").select("p_name").repartition(4).write.text(path)
+    got = load_files(spark, path).filter("error is null and size > 0")
+    lines = got.select(F.regexp_replace("suffix", "^[.]", "").alias("suffix"), F.explode(F.split("full_text", "\n")).alias("line")).filter("line <> ''")
+    return lines.groupBy("suffix", "line").agg(F.count("*").alias("n"))
+
+
+# ---- rules and deadlines --------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT k AS doc, 'must' AS rule_id FROM {_CUST} WHERE k % 2 = 1 UNION ALL SELECT k, 'never' FROM {_CUST} WHERE k % 3 = 0 UNION ALL SELECT k, 'absent' FROM {_CUST}")
+def built_rule_patterns(spark, d):
+    """A pattern that must be there, one that must not, and a clause type that no document has."""
+    k = F.col("k")
+    text = F.concat(F.when(k % 2 == 0, "Due in 30 DAYS.").otherwise("Due soon."), F.when(k % 3 == 0, " Late fee: 5 %.").otherwise(""))
+    c = _customers(spark, d).select(k.alias("doc"), F.lit(1).alias("ord"), F.lit("pay").alias("clause_type"), text.alias("text"))
+    rules = [("must", 1, "pay", [], [], r"\b\d+ days?\b", "", False), ("never", 2, "pay", [], [], "", r"late\s+fee:\s*\d", False), ("absent", 3, "law", [], [], "", "", True)]
+    schema = "rule_id string, rule_ord int, clause_type string, required array<string>, forbidden array<string>, required_pattern string, forbidden_pattern string, if_missing boolean"
+    return E.apply_rules(c, spark.createDataFrame(rules, schema), c).select("doc", "rule_id")
+
+
+#: (phrase, the date it gives for an effective date of 31 January 2024)
+_PHRASES = [("by 2024-06-30", "2024-06-30"), ("no later than March 5, 2024", "2024-03-05"), ("within 2 weeks", "2024-02-14"), ("1 month after the Effective Date", "2024-02-29"), ("within 1 year", "2025-01-31"), ("thirty (30) days", "2024-03-01"), ("10 business days", None), ("5 days after delivery", None), ("soon", None), ("2024-02-30", None)]
+
+
+@query("SELECT k AS doc, phrase, due FROM (VALUES " + ", ".join(f"('{p}', {f'DATE {chr(39)}{day}{chr(39)}' if day else 'NULL'})" for p, day in _PHRASES) + f") v(phrase, due), {_CUST}")
+def built_deadlines(spark, d):
+    c = _customers(spark, d).select(F.col("k").alias("doc"), F.explode(F.array(*(F.lit(p) for p, _ in _PHRASES))).alias("phrase"))
+    return c.select("doc", "phrase", X.deadline_date(F.col("phrase"), F.lit("2024-01-31").cast("date")).alias("due"))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 
