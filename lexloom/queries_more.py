@@ -17,7 +17,7 @@ from lexloom.operators import storage as B
 from lexloom.operators import structure as S
 from lexloom.plans.builtin import default_registry, first_chunks_prompt, provider_kind
 from lexloom.plans.runtime import shared_dir
-from lexloom.plans.tasks import Scripted
+from lexloom.plans.tasks import Scripted, estimate
 from lexloom.queries_constructed import _ORDERS
 from lexloom.queries_pipeline import _CUST, _orders, _text
 from lexloom.session import table
@@ -187,6 +187,17 @@ def built_pipeline(spark, d):
     return out.select("id", F.array_join("pii_types", ",").alias("pii_types"), "sensitivity", F.array_join("labels", ",").alias("labels"), F.array_join("citations", ",").alias("citations"), F.col("summarization_answer").alias("answer"), F.size("task_errors").alias("errors"), "due_date")
 
 
+@query(
+    """SELECT 'summarization' AS task_id, count(full_text) AS documents, CAST(sum(length(left(full_text, 12000)) // 4) AS BIGINT) AS tokens FROM legal_docs
+UNION ALL SELECT 'contract_extraction', count(full_text), CAST(coalesce(sum(length(left(full_text, 2000)) // 4), 0) AS BIGINT) FROM legal_docs WHERE doc_type = 'contract' UNION ALL SELECT 'classification', 0, 0"""
+)
+def task_costs(spark, d):
+    """What two tasks with a model and one without would be sent of all legal texts."""
+    r = default_registry(Scripted(str))
+    tasks = [r.get(t) for t in ("summarization", "contract_extraction", "classification")]
+    return estimate(table(spark, d, "legal_docs"), tasks, {"contract_extraction": 2_000}, 1.0).select("task_id", "documents", "tokens")
+
+
 @query("SELECT doc_id AS doc, left('Ask: ' || string_agg(chunk_text, chr(10) || chr(10) ORDER BY chunk_index, chunk_text), 105) AS prompt FROM (SELECT DISTINCT doc_id, chunk_index, chunk_text FROM document_chunks) WHERE chunk_index < 2 AND chunk_text IS NOT NULL GROUP BY doc_id")
 def chunk_prompts(spark, d):
     c = table(spark, d, "document_chunks").filter("chunk_text is not null").select(F.col("doc_id").alias("doc"), F.col("chunk_index").alias("seq"), F.col("chunk_text").alias("chunk")).distinct()
