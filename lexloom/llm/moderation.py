@@ -294,7 +294,10 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     kinds = texts.agg(F.count_if(F.col("y") > 0.5).alias("bad"), F.count_if(F.col("y") < 0.5).alias("good")).first()
     if kinds["bad"] < 2 or kinds["good"] < 2:
         return None
-    folds = texts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).repartition(FOLDS, "fold")
+    # so many partitions that no two folds share one
+    marks = [r[0] for r in docs.sparkSession.range(FOLDS).select(F.hash(F.col("id").cast("int"))).collect()]
+    parts = next(n for n in range(FOLDS, 1000) if len({m % n for m in marks}) == FOLDS)
+    folds = texts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).repartition(parts, "fold")
     got = folds.groupBy("fold").applyInArrow(_fit_fold, "rows binary, bias double, scores array<double>, labels array<double>").toArrow()
     rows = np.mean([np.frombuffer(r.as_py(), np.float32) for r in got["rows"]], axis=0)
     flat = lambda c: np.array([x for r in got[c].to_pylist() for x in r])
