@@ -1,19 +1,17 @@
-"""Near-duplicate texts by adaptive multi-match prefixes (p6).
+"""Near-duplicate texts by banded signatures, each candidate verified (p6).
 
 Texts are sets of ``width`` consecutive words (runs of letters and digits, lower case), and two texts match if
 intersection / union reaches ``threshold``.
 
 1. Texts with the same words form a class at once; only a class's smallest id (its representative) goes on.
-2. A count sketch of fixed size (2^SKETCH_BITS counters) over all representatives gives every shingle's approximate document
-   frequency, and each text's shingles are ordered by (frequency, hash), rarest first. The order is only a matter of speed:
-   any order common to all texts gives the same result.
-3. A text of n shingles keeps its first n - ceil(threshold n) + l. If two texts match with o common shingles, at least
-   o - (shingles left out by the text whose prefix ends first) of these are among both prefixes. A longer prefix costs
-   more list entries but asks for more common ones: l is chosen for each text by the estimated cost of list entries
-   plus candidates to verify.
-4. Prefixes meet in cells: bands of sizes (partners lie in the same band or the next lower one), each cut into as many hash buckets
-   of shingles as keep a cell's lists bounded. By the pigeonhole principle a match has 1/buckets of its common shingles in
-   some bucket, and only pairs with that many leave the cell.
+2. A text's shingles are thrown into BINS bins by many hash functions; each bin keeps one. Two texts keep the same one in a bin with
+   a probability of intersection / union.
+3. Bins form bands of a few, the more the higher the threshold; texts with the same key in a band meet. Work grows so with the
+   pairs that are alike by chance to the power of a band's bins, not with the lengths of common shingles' lists. Some bands make up a
+   cell, the unit of one task: as many as keep it bounded, and one band is cut by its keys if it alone is too large.
+4. A pair leaves a cell if its sizes can match and enough of CHECK_BITS one-bit values of other bins agree; it is a candidate if it
+   leaves HITS cells. There are so many cells that a pair just at the threshold fails this with a probability of at most MISS;
+   for one above it that is less by many orders of magnitude.
 5. Candidates are verified exactly on the whole texts.
 
 Defined results: null texts and texts without a letter or digit match nothing; a text of fewer than ``width`` words is one
@@ -23,7 +21,6 @@ shingle of all its words; ties do not arise; repeated rows (equal id) count once
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +33,35 @@ from lexloom.llm.pairing import pairs_within
 from lexloom.plans.components import components
 from lexloom.plans.runtime import materialize
 
-#: 2^22 counters of 4 bytes: 16 MB on the driver and each worker, whatever the input.
-SKETCH_BITS = 22
-SLICES = 64
-#: Prefix entries of one cell (4 bytes each).
-CELL_ENTRIES = 6_000_000
-#: Cost of verifying a pair in list entries, and how much rarer each further common shingle makes a chance pair.
-VERIFY_COST = 3000.0
-CHANCE = 0.65
-LENGTHEN = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Bins of a text's signature, and shingles thrown for each.
+BIN_BITS = 11
+BINS = 1 << BIN_BITS
+LOAD = 5
+#: Two texts' bins are the same with intersection / union times this at least (less than 1 in 100 bins takes another's shingle).
+ALIKE = 0.99
+#: Probability that a pair at the threshold is no candidate.
+MISS = 1e-9
+HITS = 2
+MOST_ROWS = 16
+MOST_BANDS = 8
+CHECK_BITS = 32
+#: Share of the pairs at the threshold that the check bits let pass.
+CHECK_KEEPS = 0.9
+#: Band keys of one cell (4 to 10 bytes each with ids and check bits).
+CELL_ENTRIES = 12_000_000
+#: Texts whose signatures are packed into one row a cell, and those computed at once (16 MB).
+CHUNK = 8_192
+BLOCK = 2_048
+#: Pairs that a cell gathers at least before equal ones are merged.
+EVENTS = 3_000_000
+#: Copies up to this many are left out by broadcast (about 70 bytes each); more by shuffle of the texts.
+BROADCAST_COPIES = 500_000
 #: Candidate pairs up to this many are sent to the texts by broadcast (about 50 bytes each); more by shuffle.
 BROADCAST_PAIRS = 200_000
-EVENTS = 3_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_M32 = np.uint32(0x2C1B3C6D)
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 31, LOAD * BINS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_PROBES = np.random.default_rng(8).integers(0, BINS, (64, BINS))
 
 
 class Shingler:
@@ -81,158 +94,179 @@ class Shingler:
         return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def _band(n: int, threshold: float) -> int:
-    return int(math.log(n) / -math.log(threshold) + 1e-9)
-
-
-def _need(threshold: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Least intersection of sets of n and m shingles that match."""
-    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
-
-
 def normal_words(c):
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def _sketch_batches(width: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts, entries = Shingler(width), np.zeros(1 << SKETCH_BITS, np.uint32), {}
-        pending, held = [], 0
-        for b in batches:
-            for kind, norm in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle(norm.as_py())
-                pending.append(s)
-                held += len(s)
-                key = (kind, _band(len(s), threshold))
-                entries[key] = entries.get(key, 0) + len(s)
-                if held > 1_000_000:
-                    counts += np.bincount(np.concatenate(pending) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    pending, held = [], 0
-        if pending:
-            counts += np.bincount(np.concatenate(pending) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        if entries:
-            parts = np.split(counts, SLICES)
+def _tail(n: int, p: float, least: int) -> float:
+    """Probability of ``least`` or more successes in n trials."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+
+
+class Plan:
+    """Bins a band (rows), cells, bands a cell, and check bits that must agree, for a threshold."""
+
+    def __init__(self, threshold: float, bands: int):
+        if not 0 < threshold <= 1:
+            raise ValueError("threshold must lie in (0, 1]")
+        same = threshold * ALIKE
+        self.threshold, self.bands = threshold, bands
+        self.agree = max(x for x in range(CHECK_BITS + 1) if _tail(CHECK_BITS, (1 + same) / 2, x) >= CHECK_KEEPS)
+        kept = _tail(CHECK_BITS, (1 + same) / 2, self.agree)
+        for self.rows in range(MOST_ROWS, 0, -1):
+            hit = kept * (1 - (1 - same**self.rows) ** bands)
+            most = BINS // (self.rows * bands)
+            self.cells = next((c for c in range(HITS, most + 1) if sum(math.comb(c, k) * hit**k * (1 - hit) ** (c - k) for k in range(HITS)) <= MISS), 0)
+            if self.cells:
+                break
+        else:
+            raise ValueError(f"threshold {threshold} is too low for {BINS} bins")
+        random = np.random.default_rng(6)
+        self.checked = random.integers(0, BINS, (self.cells, CHECK_BITS))
+        self.factors = random.integers(0, 1 << 31, self.rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        """Quarters of the ratio that sizes of a match may have: classes of a match differ by 4 at most."""
+        step = max(1e-3, -math.log(self.threshold) / 4) * (1 + 1e-9)
+        return np.minimum(255, np.log(n) / step).astype(np.uint8)
+
+    def signature(self, winners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, cell, band) keys of 32 bits and (text, cell, byte) check bits of texts' winners."""
+        used = winners[:, : self.cells * self.bands * self.rows].reshape(len(winners), -1, self.rows)
+        key = used[:, :, 0] * self.factors[0]
+        for x in range(1, self.rows):
+            key ^= key >> np.uint32(15)
+            key = key * _M32 + used[:, :, x] * self.factors[x]
+        key ^= key >> np.uint32(16)
+        key *= _M32
+        key ^= key >> np.uint32(13)
+        bits = ((winners ^ (winners >> np.uint32(15))) * _FACTORS[:BINS] >> np.uint32(31)).astype(np.uint8)
+        return key.reshape(len(winners), self.cells, self.bands), np.packbits(bits[:, self.checked], axis=2)
+
+
+def bin_winners(s: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` with one shingle for each bin. Two texts have the same one in a bin with about the probability intersection / union.
+
+    Every round throws all shingles into the bins; the first round that hits a bin decides it, in a round the lowest hash. So many rounds
+    are made that LOAD shingles are thrown for each bin; the few bins left take the shingle of another one."""
+    token = (s >> np.uint64(32)).astype(np.uint32)[::-1]
+    rounds = -(-LOAD * BINS // len(token))
+    h = _FACTORS[:rounds][::-1, None] * token
+    h ^= h >> np.uint32(15)
+    h *= _M32
+    out[:] = 0
+    # of equal indices the last one counts: the first round, the lowest hash
+    out[(h >> np.uint32(32 - BIN_BITS)).ravel()] = np.broadcast_to(token | np.uint32(1), h.shape).ravel()
+    empty = np.flatnonzero(out == 0)
+    if len(empty):
+        full = out.copy()
+        for probe in _PROBES:
+            out[empty] = full[probe[empty]]
+            empty = empty[out[empty] == 0]
+            if not len(empty):
+                break
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lower bytes of integers, all first bytes, then all second ones: what hardly varies compresses well."""
+    return np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8)[:, :width].T).tobytes()
+
+
+def _from_planes(b: bytes, width: int, kind) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((x.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = x.T
+    return out.view(kind).ravel()
+
+
+def _signature_batches(width: int, plan: Plan, parts: int):
+    """Rows (kind, cell, part) with the ids, size classes, check bits and band keys of up to CHUNK texts. Where a cell has several parts
+    (one band then) a text goes to the part that its key names."""
+
+    def packed(kind: str, ids: list[int], sizes: list[int], keys: list[np.ndarray], checks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids, kind="stable")
+        i, n = np.array(ids, np.int64)[order], plan.size_class(np.array(sizes))[order]
+        key, check = np.concatenate(keys)[order], np.concatenate(checks)[order]
+        for cell in range(plan.cells):
+            out: list[list] = [[] for _ in range(4)]
+            part = (key[:, cell, 0] >> np.uint32(24)) % np.uint32(parts)
+            for x in range(parts):
+                at = np.flatnonzero(part == x) if parts > 1 else slice(None)
+                out[0].append(_planes(np.diff(i[at], prepend=0), 8))
+                out[1].append(n[at].tobytes())
+                out[2].append(np.ascontiguousarray(check[at, cell].T).tobytes())
+                out[3].append(b"".join(_planes(np.ascontiguousarray(key[at, cell, y]), 3) for y in range(plan.bands)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*range(SLICES), *([-1] * len(entries))], pa.int32()),
-                    pa.array([*([None] * SLICES), *(k for k, _ in entries)], pa.string()),
-                    pa.array([*([0] * SLICES), *(b for _, b in entries)], pa.int32()),
-                    pa.array([*([0] * SLICES), *entries.values()], pa.int64()),
-                    pa.array([*(zlib.compress(p.tobytes(), 1) for p in parts), *([None] * len(entries))], pa.binary()),
-                ],
-                names=["slice", "kind", "band", "entries", "counts"],
+                [pa.array([kind] * parts, pa.string()), pa.array([cell] * parts, pa.int32()), pa.array(range(parts), pa.int32()), *(pa.array(c, pa.binary()) for c in out)],
+                names=["kind", "cell", "part", "ids", "sizes", "checks", "keys"],
             )
 
-    return run
-
-
-def _add_slices(t: pa.Table) -> pa.Table:
-    """Sum of one slice's counters over the tasks that emitted it."""
-    total = None
-    for c in t["counts"]:
-        x = np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
-        total = x.copy() if total is None else total + x
-    return pa.table({"slice": t["slice"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def _lengthen(counts: np.ndarray, base: int, texts: int, buckets: int) -> int:
-    """l for a text whose ordered shingles have these frequencies; ``base`` of them must stay out of any prefix with l = 0."""
-    n = len(counts)
-    events = np.cumsum(np.maximum(counts.astype(np.float64) - 1, 0))
-    at = [min(n, base + x) for x in LENGTHEN]
-    best, cost = 1, math.inf
-    for x, p in zip(LENGTHEN, at, strict=True):
-        ev = events[p - 1]
-        c = ev + VERIFY_COST * min(ev, texts) * CHANCE ** (-(-x // buckets) - 1)
-        if c < cost:
-            best, cost = p - base, c
-        if p == n:
-            break
-    return best
-
-
-def _prefix_batches(width: int, threshold: float, sketch, buckets: dict[tuple[str, int], int], texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, freq, mask = Shingler(width), sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
+        shingle, winners, held = Shingler(width), np.zeros((BLOCK, BINS), np.uint32), {}
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for kind, i, norm in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = shingle(norm.as_py())
-                n = len(s)
-                f = freq[s & mask]
-                order = np.argsort(f, kind="stable")  # s is sorted
-                s, f = s[order], f[order]
-                base = n - math.ceil(threshold * n - 1e-9)
-                band = _band(n, threshold)
-                p = min(n, base + _lengthen(f, base, texts, buckets.get((kind, band), 1)))
-                end = (int(f[p - 1]) << 40) | int(s[p - 1] >> np.uint64(24))
-                token = np.sort((s[:p] >> np.uint64(32)).astype(np.uint32))
-                for role, at in ((0, band), (1, band - 1)):
-                    k = buckets.get((kind, at), 0)
-                    if not k:
-                        continue
-                    bucket = token % k if k > 1 else None
-                    for x in range(k):
-                        t = token[bucket == x] if k > 1 else token
-                        if len(t):
-                            for col, v in zip(out, (kind, at, x, role, i, n, (n - p, end), t.tobytes()), strict=True):
-                                col.append(v)
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            rem = [r for r, _ in out[6]]
-            ends = [e for _, e in out[6]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip([*out[:6], rem, ends, out[7]], kinds, strict=True)],
-                names=["kind", "band", "bucket", "role", "id", "n", "rem", "stop", "tokens"],
-            )
+            kinds = np.array(b.column(0).to_pylist(), object)
+            for kind in sorted(set(kinds)):
+                mine = np.flatnonzero(kinds == kind)
+                for start in range(0, len(mine), BLOCK):
+                    rows = mine[start : start + BLOCK]
+                    ids, sizes, keys, checks = held.setdefault(kind, ([], [], [], []))
+                    for x, row in enumerate(rows):
+                        s = shingle(b.column(2)[row].as_py())
+                        bin_winners(s, winners[x])
+                        ids.append(b.column(1)[row].as_py())
+                        sizes.append(len(s))
+                    key, check = plan.signature(winners[: len(rows)])
+                    keys.append(key)
+                    checks.append(check)
+                    if len(ids) >= CHUNK:
+                        yield from packed(kind, *held.pop(kind))
+            while sum(len(x[0]) for x in held.values()) >= 2 * CHUNK:
+                kind = max(held, key=lambda k: len(held[k][0]))
+                yield from packed(kind, *held.pop(kind))
+        for kind, x in held.items():
+            yield from packed(kind, *x)
 
     return run
 
 
-def match_cell(ids, n, rem, stop, role, tokens, threshold: float, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (shorter text, longer text; ties by id) with enough common prefix shingles. role 0: both sides, 1: longer only."""
-    order = np.lexsort((ids, n))
-    ids, n, rem, stop, role = ids[order], n[order], rem[order], stop[order], role[order]
-    lists = [np.frombuffer(tokens[i], np.uint32) for i in order]
-    rank = np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in lists])
-    # one sort by (shingle, rank): the list entries before a text's own are then counted by a running sum
-    key = np.sort((np.concatenate(lists).astype(np.uint64) << np.uint64(32)) | rank)
-    rank = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    listed = role[rank] == 0
-    index = rank[listed].astype(np.int32)
-    low_rank = np.searchsorted(n, np.ceil(threshold * n - 1e-9)).astype(np.uint64)
-    low = np.searchsorted(key[listed], (key & np.uint64(0xFFFFFFFF00000000)) | low_rank[rank])
-    count = np.cumsum(listed) - listed - low
-    some = np.flatnonzero(count > 0)
-    some = some[np.argsort(rank[some], kind="stable")]
-    rank, low, count = rank[some], low[some], count[some]
-    upto = np.concatenate([[0], np.cumsum(count)])
-    ends = np.append(np.flatnonzero(rank[1:] != rank[:-1]) + 1, len(rank)) if len(rank) else np.zeros(0, np.int64)
-    found_a, found_b = [], []
-    start = text = 0
-    while start < len(rank):
-        # whole texts, as many as stay within EVENTS list entries, one at least
-        text = max(text + 1, int(np.searchsorted(upto[ends], upto[start] + EVENTS, "right")))
-        at = int(ends[text - 1])
-        c, total = count[start:at], int(upto[at] - upto[start])
-        pos = np.repeat(low[start:at] - (upto[start:at] - upto[start]), c) + np.arange(total)
-        pairs, common = np.unique((np.repeat(rank[start:at], c) << 32) | index[pos], return_counts=True)
-        j, i = pairs >> 32, pairs & 0xFFFFFFFF
-        first = np.where(stop[i] < stop[j], rem[i], np.where(stop[j] < stop[i], rem[j], np.maximum(rem[i], rem[j])))
-        least = np.maximum(1, _need(threshold, n[i], n[j]) - first)
-        ok = (common >= -(-least // buckets)) & (i != j)
-        found_a.append(ids[i[ok]])
-        found_b.append(ids[j[ok]])
-        start = at
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def _match_cells(threshold: float, buckets: dict[tuple[str, int], int]):
+def match_cell(ids: np.ndarray, sizes: np.ndarray, checks: np.ndarray, keys: list[np.ndarray], agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller id, larger id), each once, that share a band's key, could match by their sizes and agree in enough check bits."""
+    pairs, held = [np.zeros(0, np.int64)], 0
+    for key in keys:
+        run = np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(ids), dtype=np.uint64))
+        rank, key = (run & np.uint64(0xFFFFFFFF)).astype(np.int64), run >> np.uint64(32)
+        left, step = np.flatnonzero(key[1:] == key[:-1]), 1
+        while len(left):
+            # all pairs ``step`` apart in a run of equal keys; only these can have another one step further
+            i, j = rank[left], rank[left + step]
+            ok = np.abs(sizes[i].astype(np.int16) - sizes[j]) <= 4
+            i, j = i[ok], j[ok]
+            ok = (np.bitwise_count(checks[i] ^ checks[j]) <= CHECK_BITS - agree) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            pairs.append((np.minimum(i, j) << 32) | np.maximum(i, j))
+            held += len(i)
+            if held > max(EVENTS, len(pairs[0])):
+                pairs, held = [np.unique(np.concatenate(pairs))], 0
+            step += 1
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]
+    found = np.unique(np.concatenate(pairs))
+    a, b = ids[found >> 32], ids[found & 0xFFFFFFFF]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _match_cells(plan: Plan):
     def run(t: pa.Table) -> pa.Table:
-        kind, band = t["kind"][0].as_py(), t["band"][0].as_py()
-        a, b = match_cell(*(t[c].to_numpy() for c in ("id", "n", "rem", "stop", "role")), t["tokens"].to_pylist(), threshold, buckets[(kind, band)])
-        return pa.table({"kind": pa.array([kind] * len(a), pa.string()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        ids, checks, keys = [], [], [[] for _ in range(plan.bands)]
+        for d, c, k in zip(t["ids"], t["checks"], t["keys"], strict=True):
+            ids.append(np.cumsum(_from_planes(d.as_py(), 8, np.int64)))
+            checks.append(_from_planes(c.as_py(), CHECK_BITS // 8, np.uint32))
+            k, each = k.as_py(), 3 * len(ids[-1])
+            for x in range(plan.bands):
+                keys[x].append(_from_planes(k[x * each : (x + 1) * each], 3, np.uint32))
+        sizes = np.frombuffer(b"".join(t["sizes"].to_pylist()), np.uint8)
+        a, b = match_cell(np.concatenate(ids), sizes, np.concatenate(checks), [np.concatenate(k) for k in keys], plan.agree)
+        return pa.table({"kind": pa.array([t["kind"][0].as_py()] * len(a), pa.string()), "a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -262,28 +296,25 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, kind_col: str | N
         .withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")}),
         "normalised",
     )
-    classes = keyed.groupBy("kind", "h1", "h2").agg(F.min(F.struct("id", "norm")).alias("m"))
-    reps = materialize(classes.select("kind", F.col("m.id").alias("id"), F.col("m.norm").alias("norm"), "h1", "h2"), "representatives")
-    members = materialize(keyed.select("kind", "id", "h1", "h2").join(reps.select("kind", "h1", "h2", F.col("id").alias("class_id")), ["kind", "h1", "h2"]).select("kind", "id", "class_id").distinct(), "members")
-
-    told = materialize(reps.select("kind", "norm").mapInArrow(_sketch_batches(width, threshold), "slice int, kind string, band int, entries long, counts binary"), "sketch")
-    # at most 64 slices of 2^16 counters, and a row for each band of sizes
-    slices = {r["slice"]: r["counts"] for r in told.filter("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()}
-    bands = told.filter("slice < 0").groupBy("kind", "band").agg(F.sum("entries").alias("n")).collect()
+    hashes = ["kind", "h1", "h2"]
+    classes = keyed.groupBy(*hashes).agg(F.min("id").alias("class_id"))
+    placed = materialize(keyed.select("id", *hashes).join(classes, hashes).distinct(), "members")
+    members = placed.select("kind", "id", "class_id")
     spark = df.sparkSession
-    if not bands:
+    texts = placed.filter("id = class_id").groupBy("kind").count().agg(F.max("count")).first()[0]
+    if not texts:
         return members, spark.createDataFrame([], "kind string, a long, b long, similarity double")
-    # a band's cells also take the prefixes of the next higher band
-    size = {(r["kind"], r["band"]): r["n"] for r in bands}
-    entries = {k: (n + size.get((k[0], k[1] + 1), 0)) * (1.1 - threshold) for k, n in size.items()}
-    buckets = {k: max(1, math.ceil(n / cell_entries)) for k, n in entries.items()}
-    sketch = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(zlib.decompress(slices[i]), np.uint32) for i in range(SLICES)]))
-    texts = reps.count()
-    prefixes = reps.select("kind", "id", "norm").mapInArrow(
-        _prefix_batches(width, threshold, sketch, buckets, texts), "kind string, band int, bucket int, role int, id long, n long, rem long, stop long, tokens binary"
-    )
-    found = prefixes.groupBy("kind", "band", "bucket").applyInArrow(_match_cells(threshold, buckets), "kind string, a long, b long")
-    pairs = materialize(found.distinct(), "candidates")
+    copies = placed.filter("id <> class_id").select("id", *hashes)
+    if copies.count() <= BROADCAST_COPIES and keyed.count() == placed.count():
+        reps = keyed.join(F.broadcast(copies), ["id", *hashes], "left_anti").select("kind", "id", "norm")
+    else:
+        firsts = keyed.groupBy(*hashes).agg(F.min(F.struct("id", "norm")).alias("m"))
+        reps = materialize(firsts.select("kind", "m.id", "m.norm"), "representatives")
+    plan, parts = Plan(threshold, max(1, min(MOST_BANDS, cell_entries // texts))), -(-texts // cell_entries)
+    signatures = reps.mapInArrow(_signature_batches(width, plan, parts), "kind string, cell int, part int, ids binary, sizes binary, checks binary, keys binary")
+    met = signatures.groupBy("kind", "cell", "part").applyInArrow(_match_cells(plan), "kind string, a long, b long")
+    found = met.groupBy("kind", "a", "b").count().filter(F.col("count") >= HITS).drop("count")
+    pairs = materialize(found, "candidates")
     count = pairs.count()
     side = lambda c: pairs.select("kind", "a", "b", F.lit(c).alias("side"), F.col(c).alias("id"))
     sides = side("a").unionByName(side("b"))
