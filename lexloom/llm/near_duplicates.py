@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ CHECK_BITS = 32
 #: Share of the pairs at the threshold that the check bits let pass.
 CHECK_KEEPS = 0.9
 #: Band keys of one cell (4 to 10 bytes each with ids and check bits).
-CELL_ENTRIES = 12_000_000
+CELL_ENTRIES = 9_000_000
 #: Texts whose signatures are packed into one row a cell, and those computed at once (16 MB).
 CHUNK = 8_192
 BLOCK = 2_048
@@ -167,15 +168,16 @@ def bin_winners(s: np.ndarray, out: np.ndarray) -> None:
                 break
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The lower bytes of integers, all first bytes, then all second ones: what hardly varies compresses well."""
+def _planes(x: np.ndarray, width: int = 0) -> bytes:
+    """The lower bytes of integers, all first bytes, then all second ones: what hardly varies compresses well. width 0: as many as are used."""
+    width = width or next(w for w in range(1, 9) if w == 8 or not (x >> (8 * w)).any())
     return np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8)[:, :width].T).tobytes()
 
 
-def _from_planes(b: bytes, width: int, kind) -> np.ndarray:
-    x = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((x.shape[1], np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = x.T
+def _from_planes(b, count: int, kind) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).reshape(-1, count)
+    out = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+    out[:, : len(x)] = x.T
     return out.view(kind).ravel()
 
 
@@ -192,7 +194,7 @@ def _signature_batches(width: int, plan: Plan, parts: int):
             part = (key[:, cell, 0] >> np.uint32(24)) % np.uint32(parts)
             for x in range(parts):
                 at = np.flatnonzero(part == x) if parts > 1 else slice(None)
-                out[0].append(_planes(np.diff(i[at], prepend=0), 8))
+                out[0].append(_planes(np.diff(i[at], prepend=0)))
                 out[1].append(n[at].tobytes())
                 out[2].append(np.ascontiguousarray(check[at, cell].T).tobytes())
                 out[3].append(b"".join(_planes(np.ascontiguousarray(key[at, cell, y]), 3) for y in range(plan.bands)))
@@ -229,27 +231,33 @@ def _signature_batches(width: int, plan: Plan, parts: int):
     return run
 
 
-def match_cell(ids: np.ndarray, sizes: np.ndarray, checks: np.ndarray, keys: list[np.ndarray], agree: int) -> tuple[np.ndarray, np.ndarray]:
+def match_cell(ids: np.ndarray, sizes: np.ndarray, checks: np.ndarray, keys: Iterator[np.ndarray], agree: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smaller id, larger id), each once, that share a band's key, could match by their sizes and agree in enough check bits."""
     pairs, held = [np.zeros(0, np.int64)], 0
     for key in keys:
-        run = np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(ids), dtype=np.uint64))
-        rank, key = (run & np.uint64(0xFFFFFFFF)).astype(np.int64), run >> np.uint64(32)
-        left, step = np.flatnonzero(key[1:] == key[:-1]), 1
-        while len(left):
-            # all pairs ``step`` apart in a run of equal keys; only these can have another one step further
-            i, j = rank[left], rank[left + step]
-            ok = np.abs(sizes[i].astype(np.int16) - sizes[j]) <= 4
-            i, j = i[ok], j[ok]
-            ok = (np.bitwise_count(checks[i] ^ checks[j]) <= CHECK_BITS - agree) & (ids[i] != ids[j])
-            i, j = i[ok], j[ok]
-            pairs.append((np.minimum(i, j) << 32) | np.maximum(i, j))
-            held += len(i)
-            if held > max(EVENTS, len(pairs[0])):
-                pairs, held = [np.unique(np.concatenate(pairs))], 0
-            step += 1
-            left = left[left + step < len(key)]
-            left = left[key[left] == key[left + step]]
+        run = key.astype(np.uint64)
+        run <<= np.uint64(32)
+        run |= np.arange(len(ids), dtype=np.uint32)
+        run.sort()
+        rank, key = run.astype(np.uint32), (run >> np.uint64(32)).astype(np.uint32)
+        del run
+        starts = np.flatnonzero(key[1:] == key[:-1])
+        for first in range(0, len(starts), EVENTS // 10):
+            left, step = starts[first : first + EVENTS // 10], 1
+            while len(left):
+                # all pairs ``step`` apart in a run of equal keys; only these can have another one step further
+                i, j = rank[left], rank[left + step]
+                ok = np.abs(sizes[i].astype(np.int16) - sizes[j]) <= 4
+                i, j = i[ok], j[ok]
+                ok = (np.bitwise_count(checks[i] ^ checks[j]) <= CHECK_BITS - agree) & (ids[i] != ids[j])
+                i, j = i[ok].astype(np.int64), j[ok].astype(np.int64)
+                pairs.append((np.minimum(i, j) << 32) | np.maximum(i, j))
+                held += len(i)
+                if held > max(EVENTS, len(pairs[0])):
+                    pairs, held = [np.unique(np.concatenate(pairs))], 0
+                step += 1
+                left = left[left + step < len(key)]
+                left = left[key[left] == key[left + step]]
     found = np.unique(np.concatenate(pairs))
     a, b = ids[found >> 32], ids[found & 0xFFFFFFFF]
     return np.minimum(a, b), np.maximum(a, b)
@@ -257,15 +265,22 @@ def match_cell(ids: np.ndarray, sizes: np.ndarray, checks: np.ndarray, keys: lis
 
 def _match_cells(plan: Plan):
     def run(t: pa.Table) -> pa.Table:
-        ids, checks, keys = [], [], [[] for _ in range(plan.bands)]
-        for d, c, k in zip(t["ids"], t["checks"], t["keys"], strict=True):
-            ids.append(np.cumsum(_from_planes(d.as_py(), 8, np.int64)))
-            checks.append(_from_planes(c.as_py(), CHECK_BITS // 8, np.uint32))
-            k, each = k.as_py(), 3 * len(ids[-1])
-            for x in range(plan.bands):
-                keys[x].append(_from_planes(k[x * each : (x + 1) * each], 3, np.uint32))
         sizes = np.frombuffer(b"".join(t["sizes"].to_pylist()), np.uint8)
-        a, b = match_cell(np.concatenate(ids), sizes, np.concatenate(checks), [np.concatenate(k) for k in keys], plan.agree)
+        counts = pc.binary_length(t["sizes"]).to_pylist()
+        ends = np.cumsum([0, *counts])
+        ids, checks = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.uint32)
+        for x, (d, c, n) in enumerate(zip(t["ids"], t["checks"], counts, strict=True)):
+            ids[ends[x] : ends[x + 1]] = np.cumsum(_from_planes(d.as_buffer(), n, np.int64)) if n else 0
+            checks[ends[x] : ends[x + 1]] = _from_planes(c.as_buffer(), n, np.uint32) if n else 0
+
+        def keys() -> Iterator[np.ndarray]:
+            for y in range(plan.bands):
+                key = np.empty(len(sizes), np.uint32)
+                for x, (k, n) in enumerate(zip(t["keys"], counts, strict=True)):
+                    key[ends[x] : ends[x + 1]] = _from_planes(k.as_buffer()[3 * n * y : 3 * n * (y + 1)], n, np.uint32) if n else 0
+                yield key
+
+        a, b = match_cell(ids, sizes, checks, keys(), plan.agree)
         return pa.table({"kind": pa.array([t["kind"][0].as_py()] * len(a), pa.string()), "a": pa.array(a), "b": pa.array(b)})
 
     return run
