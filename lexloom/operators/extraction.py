@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import squeeze, strip, two_decimals
+from lexloom.operators.alike import best_alike
 from lexloom.plans.components import components
-from lexloom.plans.runtime import materialize
+from lexloom.plans.runtime import blocks_for, materialize
 
 #: Labels of the clause taxonomy with indicative words, in label order.
 CLAUSE_WORDS = {
@@ -271,53 +271,68 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def ratio_at_least(least: float):
-    """``text_ratio`` where it reaches a bound, else null. What two texts have in common is bounded by their letters, so most pairs that
-    don't reach it are never aligned."""
-
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[str, np.ndarray] = {}
-        letters = lambda x: seen[x] if x in seen else seen.setdefault(x, _letters(x))
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x == y:
-                out.append(1.0)
-                continue
-            whole = len(x) + len(y)
-            r = 0.0 if 2 * int(np.minimum(letters(x), letters(y)).sum()) < least * whole else SequenceMatcher(None, x, y).ratio()
-            out.append(r if r >= least else None)
-        return pd.Series(out, dtype="float64")
+#: Clauses of one document, type and version that one task compares; more are cut into parts that meet two at a time.
+VERSION_TEXTS = 5_000
 
-    return run
 
+def _most_alike(least: float):
+    """For clauses of version 1 the most alike ones of version 2 in a cell (of whole documents and types, or of two parts of a large one)."""
+
+    def run(t1: pa.Table, t2: pa.Table) -> pa.Table:
+        ids: dict[tuple, int] = {}
+        group = lambda t: np.array([ids.setdefault(k, len(ids)) for k in zip(t["doc"].to_pylist(), t["clause_type"].to_pylist(), strict=True)], np.int64)
+        found = best_alike(t1["t1"].to_pylist(), group(t1), t2["t2"].to_pylist(), group(t2), t2["ord_v2"].to_pylist(), least)
+        rows, others, ratios = zip(*found, strict=True) if found else ((), (), ())
+        own = t1.select(["doc", "clause_type", "ord_v1"]).take(pa.array(rows, pa.int64()))
+        return own.append_column("ord_v2", t2["ord_v2"].take(pa.array(others, pa.int64()))).append_column("similarity", pa.array(ratios, pa.float64()))
 
-def _length_band(c: Column, least: float) -> Column:
-    """Lengths by powers of how much longer a text may be whose ratio to another can still reach a bound: partners lie in one band or the
-    next."""
-    return F.floor(F.log(F.length(c) + F.lit(1.0)) / F.lit(math.log(max((2 - least) / least, 1.0001)))).cast("int")
+    return run
 
 
-def compare_versions(v1: DataFrame, v2: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _alike(a: DataFrame, b: DataFrame, least: float, part_texts: int) -> DataFrame:
+    """(doc, clause_type, ord_v1, ord_v2, similarity) of the most alike clauses of ``a`` (ord_v1, t1) and ``b`` (ord_v2, t2). Small groups
+    share a cell; the parts of large ones meet two at a time, so a clause may come out once for each part it met."""
+    keys = ["doc", "clause_type"]
+    sides = a.select(*keys, F.lit(1).alias("n1"), F.lit(0).alias("n2")).unionByName(b.select(*keys, F.lit(0).alias("n1"), F.lit(1).alias("n2")))
+    sizes = materialize(sides.groupBy(*keys).agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")), "sizes")
+    parts = [F.ceil(F.col(n) / part_texts).cast("int").alias(p) for n, p in (("n1", "p1"), ("n2", "p2"))]
+    small = F.greatest("n1", "n2") <= part_texts
+    totals = sizes.agg(F.sum(F.when(small, F.col("n1") + F.col("n2"))), F.sum(F.when(~small, F.ceil(F.col("n1") / part_texts) * F.ceil(F.col("n2") / part_texts)))).first()
+    shared = blocks_for(totals[0] or 0, part_texts)
+    # at most rows / part_texts groups
+    large = F.broadcast(materialize(sizes.filter(~small).select(*keys, *parts), "large"))
+    tasks = min(10_000, shared + (totals[1] or 0))
+
+    def cells(side: DataFrame, order: str, own: str, other: str) -> DataFrame:
+        cut = side.dropna(subset=keys).join(large, keys, "left")
+        cut = cut.withColumn(f"_{own}", F.pmod(F.xxhash64(order), F.coalesce(own, F.lit(1))).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        cell = F.when(F.col("p1").isNull(), F.pmod(F.xxhash64(*keys), F.lit(shared))).otherwise(F.xxhash64(*keys, "_p1", "_p2"))
+        return cut.withColumn("cell", cell).drop("p1", "p2", "_p1", "_p2").repartition(tasks, "cell")
+
+    types = dict(a.dtypes) | dict(b.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "ord_v1", "ord_v2")) + ", similarity double"
+    met = cells(a, "ord_v1", "p1", "p2").groupBy("cell").cogroup(cells(b, "ord_v2", "p2", "p1").groupBy("cell"))
+    return met.applyInArrow(_most_alike(least), schema)
+
+
+def compare_versions(v1: DataFrame, v2: DataFrame, threshold: float = 0.85, part_texts: int = VERSION_TEXTS) -> DataFrame:
     """Changes between two versions' clauses (doc, ord, clause_type, text): (doc, clause_type, change, ord_v1, ord_v2, similarity).
 
     Each clause of version 1 finds its most alike clause of its type in version 2 (the first among equals). From the threshold on
     they are one clause, modified if not equal; below, the clause was removed. Clauses of version 2 that nothing found were added.
-    Equal texts are matched by a join on the text's hash; of the others only texts of about the same length meet (bands of lengths are
-    part of the join's key, so a document of many clauses is many keys), and only pairs with letters enough in common are aligned. None
-    of this leaves out a pair that reaches the threshold."""
-    a = v1.select("doc", "clause_type", F.col("ord").alias("ord_v1"), F.col("text").alias("t1"))
-    b = v2.select("doc", "clause_type", F.col("ord").alias("ord_v2"), F.col("text").alias("t2"))
+    Equal texts are matched by a join on the text's hash. Of the others those of a document and type are compared within a task, or part
+    by part in several where they are more than ``part_texts``, and only pairs whose common subsequence is long enough are aligned (see
+    ``alike``). None of this leaves out a pair that reaches the threshold."""
+    a = materialize(v1.select("doc", "clause_type", F.col("ord").alias("ord_v1"), F.col("text").alias("t1")), "v1")
+    b = materialize(v2.select("doc", "clause_type", F.col("ord").alias("ord_v2"), F.col("text").alias("t2")), "v2")
     keys = ["doc", "clause_type"]
     # of equal texts in version 2 the first is enough
-    first = b.groupBy(*keys, F.sha2("t2", 256).alias("h")).agg(F.min("ord_v2").alias("ord_v2"))
-    same = a.withColumn("h", F.sha2("t1", 256)).join(first, [*keys, "h"]).select(*keys, "ord_v1", "ord_v2", F.lit(1.0).alias("similarity"))
-    rest = a.join(same.select(*keys, "ord_v1"), [*keys, "ord_v1"], "left_anti").withColumn("band", _length_band(F.col("t1"), threshold))
-    band = F.col("band")
-    others = b.withColumn("band", _length_band(F.col("t2"), threshold)).select(*keys, "ord_v2", "t2", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    n1, n2 = F.length("t1"), F.length("t2")
-    pairs = rest.join(others, [*keys, "band"]).filter(2 * F.least(n1, n2) >= threshold * (n1 + n2))
-    pairs = pairs.withColumn("similarity", ratio_at_least(threshold)("t1", "t2")).filter("similarity is not null")
+    h = lambda c: F.unhex(F.sha2(c, 256)).alias("h")
+    first = b.groupBy(*keys, h("t2")).agg(F.min("ord_v2").alias("ord_v2"))
+    same = a.select(*keys, "ord_v1", h("t1")).join(first, [*keys, "h"]).select(*keys, "ord_v1", "ord_v2", F.lit(1.0).alias("similarity"))
+    rest = a.join(same.select(*keys, "ord_v1"), [*keys, "ord_v1"], "left_anti").filter("t1 is not null")
+    others = b.filter("t2 is not null")
+    pairs = _alike(rest, others, threshold, part_texts)
     best = pairs.groupBy(*keys, "ord_v1").agg(F.max_by(F.struct("ord_v2", "similarity"), F.struct("similarity", (-F.col("ord_v2")).alias("o"))).alias("m")).select(*keys, "ord_v1", "m.*")
     matched = materialize(same.unionByName(best), "matched")
     types2 = b.select(*keys).distinct()

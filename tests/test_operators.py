@@ -313,3 +313,70 @@ def test_large_groups_of_clauses_in_pieces(spark, group_rows, part_texts):
                 t = pa.Table.from_pylist(mine, schema=pa.schema([("doc", pa.int64()), ("ord", pa.int64()), ("clause_type", pa.string()), ("text", pa.string()), ("confidence", pa.float64())]))
                 want += [tuple(x.values()) for x in E._dedupe_group(t, 0.9).to_pylist()]
     assert got == sorted(want, key=lambda x: x[1])
+
+
+def test_most_alike_texts_match_a_loop():
+    """No bound leaves out a pair, whatever the ratio, length or alphabet; of equals the first counts."""
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from lexloom.operators.alike import best_alike
+
+    r = random.Random(3)
+
+    def edited(t):
+        t = list(t)
+        for _ in range(r.randrange(0, 2 + len(t) // 8)):
+            p = r.randrange(len(t) + 1)
+            t[p : p + r.randrange(2)] = r.choice(["", "a", "xyz", "é", "漢"])
+        return "".join(t)
+
+    base = ["".join(r.choice("abcdefgh iou") for _ in range(r.choice([0, 1, 8, 62, 63, 64, 126, 127, 180, 300]))) for _ in range(90)]
+    x, y = [edited(t) for t in base], [edited(t) for t in base] + base[:30]
+    x_group, y_group = np.array([r.randrange(3) for _ in x]), np.array([r.randrange(3) for _ in y])
+    y_ord = [r.randrange(1000) for _ in y]
+    y_group[:60] = x_group[:60]
+    for least in (0.6, 0.85, 1.0):
+        want = {}
+        for i, t in enumerate(x):
+            best = max(((SequenceMatcher(None, t, u).ratio(), -y_ord[k]) for k, u in enumerate(y) if y_group[k] == x_group[i]), default=(0, 0))
+            want |= {i: (best[0], -best[1])} if best[0] >= least else {}
+        assert {i: (s, y_ord[k]) for i, k, s in best_alike(x, x_group, y, y_group, y_ord, least)} == want and want
+    assert best_alike([], np.zeros(0, int), ["a"], np.zeros(1, int), [0], 0.85) == [] == best_alike(["a"], np.zeros(1, int), [], np.zeros(0, int), [], 0.85)
+
+
+def test_few_pairs_of_versions_are_aligned(monkeypatch):
+    """A large group of clauses written of the same words: its millions of pairs have letters in common, but are not aligned."""
+    import random
+
+    import numpy as np
+
+    from lexloom.operators import alike
+
+    r = random.Random(4)
+    words = "the buyer seller shall pay a fee within thirty days of notice under this lease and not later than rent audit books court term".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(25, 35))) for _ in range(2000)]
+    x = [texts[k].replace("e", "i", 3) for k in range(0, 2000, 100)]
+    aligned = []
+    real = alike.SequenceMatcher
+    monkeypatch.setattr(alike, "SequenceMatcher", lambda *a: aligned.append(1) or real(*a))
+    got = alike.best_alike(x + texts[:500], np.zeros(520, int), texts[500:], np.zeros(1500, int), list(range(1500)), 0.85)
+    assert {(i, j) for i, j, _ in got} >= {(k, 100 * k - 500) for k in range(5, 20)} and len(aligned) < 200
+
+
+@pytest.mark.parametrize("part_texts", [3, 40, 10**6])
+def test_versions_in_parts(spark, part_texts):
+    """Cutting large groups into parts changes nothing."""
+    r = __import__("random").Random(9)
+    words = "fee lease rent buyer seller court notice audit books tax days month".split()
+    rows = []
+    for k in range(150):
+        t = " ".join(r.choice(words) for _ in range(12)) if not rows or r.random() < 0.5 else r.choice(rows)[3].replace(r.choice(words), "x", 1)
+        rows.append(("d" if k % 7 else None, k, r.choice(["a", "a", "a", "b"]), t))
+    schema = "doc string, ord long, clause_type string, text string"
+    v1, v2 = (spark.createDataFrame([x for x in rows if x[1] % 3 != n], schema) for n in (2, 1))
+    key = lambda df: sorted(map(str, df.collect()))
+    got = E.compare_versions(v1, v2, part_texts=part_texts)
+    assert {x.change for x in got.collect()} >= {"modified", "added", "removed"} and key(got) == key(E.compare_versions(v1, v2))
