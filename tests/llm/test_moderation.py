@@ -90,3 +90,32 @@ def test_clashing_columns_and_given_model(spark, tmp_path):
     a, b, c = (sorted(map(tuple, score_documents(df, labels, fitted=f).collect()), key=str) for f in (fitted, None, again))
     assert a == b == c and len(a) == 122
     assert score_documents(df.limit(0), labels, fitted=fitted).collect() == []
+
+
+def test_copies_under_other_ids_change_nothing(spark):
+    """A table repeated with shifted keys gives the same model, held-out scores and documents: copies don't use up the bound on labelled
+    rows, nor does a text stand on both sides of a fold."""
+    from pyspark.sql import functions as F
+
+    from lexloom.llm.moderation import fit_labelled
+
+    docs, y = corpus(120, 4)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, abusive int")
+    many = lambda x: x.crossJoin(spark.range(10).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("k")).drop("k")
+    one, ten = fit_labelled(df, labels, max_labelled=80), fit_labelled(many(df), many(labels), max_labelled=80)
+    assert len(ten.scores) == len(one.scores) == 80 and sorted(ten.scores) == sorted(one.scores)
+    assert np.array_equal(one.model.rows, ten.model.rows)
+    found = lambda d, f: {r.doc_id for r in score_documents(d, labels, fitted=f).filter("is_abusive").collect()}
+    assert found(many(df), ten) == {i + 1000 * k for i in found(df, one) for k in range(10)}
+
+
+def test_a_text_has_the_labels_of_all_its_documents(spark):
+    """Two of three readers find a text abusive that stands in three documents; one that readers are at odds about is left out."""
+    from lexloom.llm.moderation import fit_labelled
+
+    docs, y = corpus(60, 4)
+    rows = [*enumerate(docs), (100, BAD[0]), (101, BAD[0]), (102, BAD[0]), (103, GOOD[0]), (104, GOOD[0]), (102, BAD[0])]
+    said = [(i, int(v)) for i, v in enumerate(y)] + [(100, 1), (101, 0), (102, 1), (103, 1), (104, 0)]
+    fitted = fit_labelled(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(said, "doc_id long, abusive int"))
+    assert len(fitted.labels) == 61 and fitted.labels.sum() == sum(y) + 1
